@@ -109,7 +109,8 @@ def count_series(
         # The watermarked column must go into the window as it is; `watermark` has moved it back.
         at = F.col("_at") if "_at" in df.columns else before(ts)
         return (
-            rows.groupBy(*by, F.window(at, _seconds(span), _seconds(step)).alias("w"))
+            # Windows start on multiples of the step; the offset makes them end there instead.
+            rows.groupBy(*by, F.window(at, _seconds(span), _seconds(step), _seconds(-span % step)).alias("w"))
             .agg(F.count("*").alias("n"))
             .select(*by, F.col("w.end").alias("at"), "n")
         )
