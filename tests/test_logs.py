@@ -88,9 +88,9 @@ def test_series_against_brute_force(spark, span, step):
     ]
     df = spark.createDataFrame([(s, t) for s, t in samples], "compose_service string, ts timestamp")
     got = {
-        (r.compose_service, r.at.replace(tzinfo=timezone.utc)): r.n
+        (r.compose_service, r.window_end.replace(tzinfo=timezone.utc)): r.n
         for r in logs.count_series(df, ["compose_service"], span, step)
-        .withColumn("at", F.col("at").cast("timestamp_ntz")).collect()
+        .withColumn("window_end", F.col("window_end").cast("timestamp_ntz")).collect()
     }
     # Steps are whole multiples of the step since the epoch.
     first = datetime.fromtimestamp(T0.timestamp() // step.total_seconds() * step.total_seconds(), timezone.utc)
@@ -124,7 +124,7 @@ def test_status_and_availability(spark):
     df = spark.createDataFrame([(T0 + timedelta(seconds=s), j, v) for j, s, v in SAMPLES],
                                "ts timestamp, job string, value double")
     assert rows(logs.service_status(df), "job", "status") == [("a", "UP"), ("b", "UP"), ("d", "2.0")]
-    got = logs.availability(df, "a|b", MIN).withColumn("m", F.minute("at"))
+    got = logs.availability(df, "a|b", MIN).withColumn("m", F.minute("window_end"))
     assert rows(got, "job", "m", "last", "up_ratio") == [
         ("a", 0, 1.0, 1.0), ("a", 1, 1.0, 0.5), ("a", 2, 1.0, 1.0), ("b", 0, 0.0, 0.0), ("b", 1, 1.0, 1.0),
     ]
@@ -147,13 +147,13 @@ def test_stream_equals_batch(spark, lines, tmp_path):
     stream = logs.parse_logs(log_streams.open_json(spark, source, log_streams.RECORD_SCHEMA, 1), KEEP)
     series = logs.count_series(logs.watermark(stream), ["compose_service"], pattern=ERROR_PATTERN)
     query = log_streams.start_measure(
-        series, str(tmp_path / "out"), "errors", ["compose_service", "at"], str(tmp_path / "cp"), once=True
+        series, str(tmp_path / "out"), "errors", ["compose_service", "window_end"], str(tmp_path / "cp"), once=True
     )
     query.awaitTermination(300)
-    got = log_streams.read_measure(spark, str(tmp_path / "out"), ["compose_service", "at"])
+    got = log_streams.read_measure(spark, str(tmp_path / "out"), ["compose_service", "window_end"])
     want = logs.count_series(lines, ["compose_service"], pattern=ERROR_PATTERN)
-    in_range = F.col("at") >= F.lit(T0 - timedelta(hours=167))
-    assert rows(got.filter(in_range), "compose_service", "at", "n") == rows(want.filter(in_range), "compose_service", "at", "n")
+    in_range = F.col("window_end") >= F.lit(T0 - timedelta(hours=167))
+    assert rows(got.filter(in_range), "compose_service", "window_end", "n") == rows(want.filter(in_range), "compose_service", "window_end", "n")
 
 
 def test_store_and_read_by_day(spark, tmp_path):

@@ -64,13 +64,21 @@ def reject_old(
     df: DataFrame, ts: str = "ts", as_of: Column | datetime | None = None, max_age: timedelta = MAX_AGE
 ) -> DataFrame:
     """Drop samples older than `max_age` at their arrival; default arrival is the batch's time."""
-    arrived = F.current_timestamp() if as_of is None else as_of if isinstance(as_of, Column) else F.lit(as_of)
+    if isinstance(as_of, datetime):
+        arrived = _at(df, ts, as_of)
+    else:
+        arrived = F.current_timestamp() if as_of is None else as_of
     return df.filter(F.col(ts) >= arrived - F.expr(f"INTERVAL {max_age.total_seconds()} SECOND"))
 
 
-def in_range(ts: str, as_of: datetime, span: timedelta) -> Column:
+def _at(df: DataFrame, ts: str, when: datetime) -> Column:
+    """A moment as a literal of the type of the time column, so that the column itself is not cast."""
+    return F.lit(when).cast(dict(df.dtypes)[ts])
+
+
+def in_range(df: DataFrame, ts: str, as_of: datetime, span: timedelta) -> Column:
     """as_of - span < ts <= as_of, with literal bounds that reach the parquet scan."""
-    return (F.col(ts) > F.lit(as_of - span)) & (F.col(ts) <= F.lit(as_of))
+    return (F.col(ts) > _at(df, ts, as_of - span)) & (F.col(ts) <= _at(df, ts, as_of))
 
 
 def count_over_time(
@@ -84,7 +92,7 @@ def count_over_time(
     line: str = "line",
 ) -> DataFrame:
     """Number of matching lines in the range before `as_of`: in total (0 if none), or per label."""
-    rows = select_streams(df.filter(in_range(ts, as_of, span)), labels, pattern, line)
+    rows = select_streams(df.filter(in_range(df, ts, as_of, span)), labels, pattern, line)
     return rows.groupBy(*by).agg(F.count("*").alias("n"))
 
 
@@ -98,7 +106,7 @@ def count_series(
     ts: str = "ts",
     line: str = "line",
 ) -> DataFrame:
-    """Matching lines per label in the trailing range at every step: (by.., at, n).
+    """Matching lines per label in the trailing range at every step: (by.., window_end, n).
 
     A table is first counted into buckets of one step, and only the buckets are spread over the
     ranges that contain them, so the rows are scanned and combined once however many ranges overlap.
@@ -112,7 +120,7 @@ def count_series(
             # Windows start on multiples of the step; the offset makes them end there instead.
             rows.groupBy(*by, F.window(at, _seconds(span), _seconds(step), _seconds(-span % step)).alias("w"))
             .agg(F.count("*").alias("n"))
-            .select(*by, F.col("w.end").alias("at"), "n")
+            .select(*by, F.col("w.end").alias("window_end"), "n")
         )
     buckets = (
         rows.groupBy(*by, F.window(before(ts), _seconds(step)).alias("w"))
@@ -121,8 +129,8 @@ def count_series(
     )
     reach = (span - step).total_seconds()
     ends = f"sequence(first_at, first_at + INTERVAL {reach} SECOND, INTERVAL {step.total_seconds()} SECOND)"
-    spread = buckets.select(*by, F.explode(F.expr(ends)).alias("at"), "n")
-    return spread.groupBy(*by, "at").agg(F.sum("n").alias("n"))
+    spread = buckets.select(*by, F.explode(F.expr(ends)).alias("window_end"), "n")
+    return spread.groupBy(*by, "window_end").agg(F.sum("n").alias("n"))
 
 
 def before(ts: str) -> Column:
@@ -139,9 +147,9 @@ def watermark(df: DataFrame, delay: timedelta = MAX_AGE, ts: str = "ts") -> Data
 
 def rate(df: DataFrame, by: Sequence[str], span: timedelta = RATE_RANGE,
          step: timedelta = timedelta(minutes=1), **options) -> DataFrame:
-    """Lines per second per label in the trailing range at every step: (by.., at, rate)."""
+    """Lines per second per label in the trailing range at every step: (by.., window_end, rate)."""
     series = count_series(df, by, span, step, **options)
-    return series.select(*by, "at", (F.col("n") / span.total_seconds()).alias("rate"))
+    return series.select(*by, "window_end", (F.col("n") / span.total_seconds()).alias("rate"))
 
 
 def search(
@@ -175,7 +183,7 @@ def series_stats(
     by: Sequence[str],
     value: str,
     functions: Sequence[str] = ("max", "mean", "sum", "last"),
-    at: str = "at",
+    at: str = "window_end",
 ) -> DataFrame:
     """Legend figures of every series: any of max, mean, sum, last."""
     aggs = {
@@ -225,5 +233,5 @@ def availability(
         samples.filter(matches(by, jobs) & F.col(value).isNotNull())
         .groupBy(by, F.window(at, _seconds(step)).alias("w"))
         .agg(F.max_by(value, key).alias("last"), F.avg(value).alias("up_ratio"))
-        .select(by, F.col("w.end").alias("at"), "last", "up_ratio")
+        .select(by, F.col("w.end").alias("window_end"), "last", "up_ratio")
     )
