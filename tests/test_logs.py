@@ -5,7 +5,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from vitalake.functions.values import ERROR_PATTERN
+from vitalake.functions.values import ERROR_WORDS
 from vitalake.operators import logs
 from vitalake.session import shared_dir
 from vitalake.streaming import log_streams
@@ -62,9 +62,9 @@ def test_reject_old(lines):
 
 def test_count_over_time(lines):
     span = 5 * MIN
-    assert rows(logs.count_over_time(lines, T0, span, ERROR_PATTERN)) == [(4,)]
+    assert rows(logs.count_over_time(lines, T0, span, ERROR_WORDS)) == [(4,)]
     assert rows(logs.count_over_time(lines, T0, span, "nothing like it")) == [(0,)]
-    by = logs.count_over_time(lines, T0, span, ERROR_PATTERN, by=["compose_service"])
+    by = logs.count_over_time(lines, T0, span, ERROR_WORDS, by=["compose_service"])
     assert rows(by) == [("api", 3), ("gateway", 1)]
     only = logs.count_over_time(lines, T0, span, labels={"compose_service": (".+", "api")})
     assert rows(only) == [(1,)]
@@ -107,7 +107,7 @@ def test_rate_and_stats(spark):
 
 
 def test_search_and_labels(lines):
-    newest = logs.search(lines, pattern=ERROR_PATTERN, limit=2, tie=["line"]).collect()
+    newest = logs.search(lines, pattern=ERROR_WORDS, limit=2, tie=["line"]).collect()
     assert [r.line for r in newest] == ["Exception on the edge", "error"]
     assert [r[0] for r in logs.label_values(lines, "compose_service", exclude="gateway").collect()] == ["api"]
     chained = logs.label_values(lines, "container", labels={"compose_service": ("gateway", None)})
@@ -145,13 +145,13 @@ def write_records(folder, batches):
 def test_stream_equals_batch(spark, lines, tmp_path):
     source = write_records(tmp_path / "in", [RECORDS[:3], RECORDS[3:6], RECORDS[6:]])
     stream = logs.parse_logs(log_streams.open_json(spark, source, log_streams.RECORD_SCHEMA, 1), KEEP)
-    series = logs.count_series(logs.watermark(stream), ["compose_service"], pattern=ERROR_PATTERN)
+    series = logs.count_series(logs.watermark(stream), ["compose_service"], pattern=ERROR_WORDS)
     query = log_streams.start_measure(
         series, str(tmp_path / "out"), "errors", ["compose_service", "window_end"], str(tmp_path / "cp"), once=True
     )
     query.awaitTermination(300)
     got = log_streams.read_measure(spark, str(tmp_path / "out"), ["compose_service", "window_end"])
-    want = logs.count_series(lines, ["compose_service"], pattern=ERROR_PATTERN)
+    want = logs.count_series(lines, ["compose_service"], pattern=ERROR_WORDS)
     in_range = F.col("window_end") >= F.lit(T0 - timedelta(hours=167))
     assert rows(got.filter(in_range), "compose_service", "window_end", "n") == rows(want.filter(in_range), "compose_service", "window_end", "n")
 

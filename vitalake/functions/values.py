@@ -15,9 +15,9 @@ from vitalake.functions.ids import ColumnLike, as_col
 # dashboards, and the label format of lake versions.
 BLANK = ("",)
 BLANK_OR_NONE = ("", "None")
-ERROR_PATTERN = "(?i)(error|exception|fatal|panic)"
-WARN_PATTERN = "(?i)(warn|warning)"
-FATAL_PATTERN = "(?i)(fatal|panic)"
+ERROR_WORDS = ("error", "exception", "fatal", "panic")
+WARN_WORDS = ("warn", "warning")
+FATAL_WORDS = ("fatal", "panic")
 LABEL_FORMAT = "yyyy-MM-dd'T'HH-mm-ss'Z'"
 
 
@@ -59,13 +59,27 @@ def matches(col: ColumnLike, include: str | None = None, exclude: str | None = N
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
+def contains_any(line: ColumnLike, words: Sequence[str]) -> Column:
+    """True where the line holds one of the lower-case words in any case.
+
+    Plain substring search: several times faster than the regular expression it stands for.
+    """
+    needed = [w for w in words if not any(o != w and o in w for o in words)]
+    lowered = F.lower(as_col(line))
+    return reduce(lambda a, b: a | b, [lowered.contains(w) for w in needed])
+
+
+def line_holds(line: ColumnLike, pattern: str | Sequence[str]) -> Column:
+    """Line filter: a regular expression, or words in any case."""
+    return as_col(line).rlike(pattern) if isinstance(pattern, str) else contains_any(line, pattern)
+
+
 def severity_flags(line: ColumnLike) -> dict[str, Column]:
     """Error, warning and fatal flags of a log line; a line may carry several."""
-    c = as_col(line)
     return {
-        "is_error": c.rlike(ERROR_PATTERN),
-        "is_warning": c.rlike(WARN_PATTERN),
-        "is_fatal": c.rlike(FATAL_PATTERN),
+        "is_error": contains_any(line, ERROR_WORDS),
+        "is_warning": contains_any(line, WARN_WORDS),
+        "is_fatal": contains_any(line, FATAL_WORDS),
     }
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 from datetime import datetime
-from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -37,43 +36,48 @@ def require_enum(col: str, allowed: Iterable[str] | None) -> Column:
     return F.when(c.isNull() | c.isin(*allowed), c).otherwise(F.raise_error(message)).alias(col)
 
 
-def parse_number(col: ColumnLike, kind: str) -> Column:
-    """Number in a text column, NULL where it is not one.
+# Spellings of infinity a float column may hold; 'd', 'f' and 'x' occur in no other number.
+_INFINITY = "('inf', '+inf', '-inf', 'infinity', '+infinity', '-infinity')"
+
+
+def _number_sql(col: str, kind: str) -> tuple[str, str]:
+    """SQL of the number in a text column, and of the test that there is one.
 
     Integers take no fraction ('70.0' is rejected). The cast is the JVM's, which also takes a type
     suffix ('1.5f') or a hexadecimal float; those are not numbers in a CSV and are rejected.
     """
-    c = as_col(col)
-    parsed = c.try_cast(schemas.SPARK_TYPE.get(kind, kind))
+    spark_type = schemas.SPARK_TYPE.get(kind, kind)
+    parsed = f"try_cast(`{col}` AS {spark_type})"
     if kind in schemas.MAX_VALUE:
-        return F.when(parsed.between(0, schemas.MAX_VALUE[kind]), parsed)
-    if parsed_as_float(kind):
-        return F.when(~c.rlike(r"(?i)(0x|[0-9.][df]\s*$)"), parsed)
-    return parsed
+        return parsed, f"coalesce(try_cast(`{col}` AS bigint) BETWEEN 0 AND {schemas.MAX_VALUE[kind]}, false)"
+    if spark_type in ("float", "double"):
+        no_suffix = f"(NOT `{col}` RLIKE '[dDfFxX]' OR lower(trim(`{col}`)) IN {_INFINITY})"
+        return parsed, f"({parsed} IS NOT NULL AND {no_suffix})"
+    return parsed, f"({parsed} IS NOT NULL)"
+
 
+def parse_number(col: str, kind: str) -> Column:
+    """Number in a text column, NULL where it is not one."""
+    value, ok = _number_sql(col, kind)
+    return F.expr(f"IF({ok}, {value}, NULL)")
 
-def parsed_as_float(kind: str) -> bool:
-    return schemas.SPARK_TYPE.get(kind, kind) in ("float", "double")
+
+def malformed(spec: Mapping[str, str]) -> Column:
+    """True where a column holds something that is not a number of its kind."""
+    tests = [f"(`{c}` IS NOT NULL AND NOT {_number_sql(c, kind)[1]})" for c, kind in spec.items()]
+    return F.expr(" OR ".join(tests) if tests else "false")
 
 
 def cast_flagged(df: DataFrame, spec: Mapping[str, str], fill: Any = 0) -> DataFrame:
     """Cast text columns, missing ones to `fill`; `_malformed` marks rows with a value that is no number."""
-    parsed = {c: parse_number(c, kind) for c, kind in spec.items()}
-    bad = reduce(
-        lambda a, b: a | b,
-        [F.col(c).isNotNull() & p.isNull() for c, p in parsed.items()],
-        F.lit(False),
-    )
-    types = {c: schemas.SPARK_TYPE.get(kind, kind) for c, kind in spec.items()}
-    return df.withColumns(
-        {
-            MALFORMED: bad,
-            **{
-                c: F.when(F.col(c).isNull(), F.lit(fill).cast(types[c])).otherwise(p)
-                for c, p in parsed.items()
-            },
-        }
-    )
+
+    def cell(c: str) -> str:
+        value, ok = _number_sql(c, spec[c])
+        spark_type = schemas.SPARK_TYPE.get(spec[c], spec[c])
+        return f"CASE WHEN `{c}` IS NULL THEN CAST({fill} AS {spark_type}) WHEN {ok} THEN {value} END AS `{c}`"
+
+    cells = [F.expr(cell(c)) if c in spec else F.col(f"`{c}`") for c in df.columns]
+    return df.select(*cells, malformed(spec).alias(MALFORMED))
 
 
 def strict_cast(df: DataFrame, spec: Mapping[str, str], fill: Any = 0) -> tuple[DataFrame, DataFrame]:
@@ -82,9 +86,7 @@ def strict_cast(df: DataFrame, spec: Mapping[str, str], fill: Any = 0) -> tuple[
     A row is skipped when a value is there but is not a number; a missing value becomes `fill`.
     """
     flagged = cast_flagged(df, spec, fill)
-    good = flagged.filter(~F.col(MALFORMED)).drop(MALFORMED)
-    tests = [F.col(c).isNotNull() & parse_number(c, kind).isNull() for c, kind in spec.items()]
-    return good, df.filter(reduce(lambda a, b: a | b, tests, F.lit(False)))
+    return flagged.filter(~F.col(MALFORMED)).drop(MALFORMED), df.filter(malformed(spec))
 
 
 def stamp(df: DataFrame, load_ts: datetime | None = None) -> DataFrame:

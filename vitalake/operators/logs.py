@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalake import schemas
-from vitalake.functions.values import matches
+from vitalake.functions.values import line_holds, matches
 
 # The monitoring services themselves, left out of every overview panel, the age limit
 # of arriving samples, the trailing range of the rate panels, and the time between two samples.
@@ -26,18 +26,19 @@ SAMPLE_STEP = timedelta(seconds=15)
 TAIL_LINES = 200
 
 Labels = Mapping[str, tuple[str | None, str | None]]
+Pattern = str | Sequence[str]
 
 
 def _seconds(span: timedelta) -> str:
     return f"{span // timedelta(microseconds=1)} microseconds"
 
 
-def select_streams(df: DataFrame, labels: Labels | None = None, pattern: str | None = None,
+def select_streams(df: DataFrame, labels: Labels | None = None, pattern: Pattern | None = None,
                    line: str = "line") -> DataFrame:
-    """Rows whose labels match {label: (include, exclude)} and whose line holds the pattern."""
+    """Rows whose labels match {label: (include, exclude)} and whose line holds the pattern (or words)."""
     for label, (include, exclude) in (labels or {}).items():
         df = df.filter(matches(label, include, exclude))
-    return df.filter(F.col(line).rlike(pattern)) if pattern else df
+    return df.filter(line_holds(line, pattern)) if pattern else df
 
 
 def parse_logs(df: DataFrame, keep: Sequence[str], arrived: str = "arrived") -> DataFrame:
@@ -85,7 +86,7 @@ def count_over_time(
     df: DataFrame,
     as_of: datetime,
     span: timedelta,
-    pattern: str | None = None,
+    pattern: Pattern | None = None,
     labels: Labels | None = None,
     by: Sequence[str] = (),
     ts: str = "ts",
@@ -101,7 +102,7 @@ def count_series(
     by: Sequence[str],
     span: timedelta = RATE_RANGE,
     step: timedelta = timedelta(minutes=1),
-    pattern: str | None = None,
+    pattern: Pattern | None = None,
     labels: Labels | None = None,
     ts: str = "ts",
     line: str = "line",
@@ -155,7 +156,7 @@ def rate(df: DataFrame, by: Sequence[str], span: timedelta = RATE_RANGE,
 def search(
     df: DataFrame,
     labels: Labels | None = None,
-    pattern: str | None = None,
+    pattern: Pattern | None = None,
     limit: int | None = None,
     ts: str = "ts",
     tie: Sequence[str] = (),

@@ -599,7 +599,7 @@ _DAY = timedelta(hours=24)
 )
 def _(t):
     chosen = {"compose_service": ("svc-.+", "svc-0|svc-7")}
-    return logs.count_over_time(log_lines(t), AS_OF, _DAY, values.ERROR_PATTERN, chosen)
+    return logs.count_over_time(log_lines(t), AS_OF, _DAY, values.ERROR_WORDS, chosen)
 
 
 @query("count_over_time_none", f"SELECT count(*) AS n FROM {_LINES} WHERE {_RANGE} AND regexp_matches(line, 'no such text')")
@@ -612,7 +612,7 @@ def _(t):
     f"SELECT compose_service, count(*) AS n FROM {_LINES} WHERE {_RANGE} AND regexp_matches(line, '(warn|warning|purchase)', 'i') GROUP BY 1",
 )
 def _(t):
-    return logs.count_over_time(log_lines(t), AS_OF, _DAY, "(?i)(warn|warning|purchase)", by=["compose_service"])
+    return logs.count_over_time(log_lines(t), AS_OF, _DAY, (*values.WARN_WORDS, "purchase"), by=["compose_service"])
 
 
 def _series_sql(where: str = "true", span_steps: int = 5) -> str:
@@ -632,7 +632,7 @@ def _(t):
 
 @query("errors_by_service", _series_sql(_ERRORS))
 def _(t):
-    return logs.count_series(log_lines(t), ["compose_service"], pattern=values.ERROR_PATTERN)
+    return logs.count_series(log_lines(t), ["compose_service"], pattern=values.ERROR_WORDS)
 
 
 @query(
@@ -649,7 +649,7 @@ def _(t):
         F.concat_ws(" ", "event_type", "props").alias("line"),
     )
     keys = ["compose_service", "window_end"]
-    series = logs.count_series(logs.watermark(lines), keys[:1], pattern=values.ERROR_PATTERN)
+    series = logs.count_series(logs.watermark(lines), keys[:1], pattern=values.ERROR_WORDS)
     out, checkpoint = f"{t.scratch}/errors", f"{t.scratch}/checkpoint"
     log_streams.start_measure(series, out, f"errors-{uuid.uuid4().hex}", keys, checkpoint, once=True).awaitTermination()
     return log_streams.read_measure(t.spark, out, keys).withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
@@ -662,7 +662,7 @@ def _(t):
 )
 def _(t):
     found = logs.search(
-        log_lines(t), {"compose_service": ("svc-[1-4]", None)}, values.ERROR_PATTERN, logs.TAIL_LINES, tie=["event_id"]
+        log_lines(t), {"compose_service": ("svc-[1-4]", None)}, values.ERROR_WORDS, logs.TAIL_LINES, tie=["event_id"]
     )
     return found.select("event_id", "ts", "compose_service", "line")
 
@@ -690,7 +690,7 @@ def _(t):
         FROM ({_series_sql(_ERRORS)}) GROUP BY 1""",
 )
 def _(t):
-    series = logs.count_series(log_lines(t), ["compose_service"], pattern=values.ERROR_PATTERN)
+    series = logs.count_series(log_lines(t), ["compose_service"], pattern=values.ERROR_WORDS)
     return logs.series_stats(series, ["compose_service"], "n")
 
 
@@ -729,7 +729,7 @@ def _(t):
         FROM ({_series_sql(_ERRORS)})""",
 )
 def _(t):
-    series = logs.count_series(log_lines(t), ["compose_service"], pattern=values.ERROR_PATTERN)
+    series = logs.count_series(log_lines(t), ["compose_service"], pattern=values.ERROR_WORDS)
     return series.withColumn("band", values.band("n", values.ERROR_RATE_STEPS))
 
 
@@ -844,6 +844,10 @@ def _raw(landed: DataFrame, columns) -> DataFrame:
     return raw.filter(F.col(readers.CORRUPT).isNull()).drop(readers.CORRUPT)
 
 
+def _warehouse(dataset: str, table: str, *raws: DataFrame) -> DataFrame:
+    return warehouse.build(dataset, raws, LOAD_TS, only=[table])[table]
+
+
 def _widened(df: DataFrame, *cols: str) -> DataFrame:
     out = df.select(*cols)
     return out.withColumns({c: F.col(c).cast("double") for c, kind in out.dtypes if kind == "float"}).withColumns(
@@ -859,7 +863,7 @@ def _widened(df: DataFrame, *cols: str) -> DataFrame:
         QUALIFY row_number() OVER (PARTITION BY p_brand, p_size, p_name ORDER BY p_partkey DESC) = 1""",
 )
 def _(t):
-    item = warehouse.daily_food(_raw(landed_food(t), schemas.DAILY_FOOD), LOAD_TS)["food_item"]
+    item = _warehouse("daily_food", "food_item", _raw(landed_food(t), schemas.DAILY_FOOD))
     return _widened(
         item, "id", "name", "meal_type", "category_ids", "category_names", "calories", "protein_g", "water_intake_ml"
     )
@@ -870,7 +874,7 @@ def _(t):
     f"SELECT DISTINCT {sid('category')} AS id, category AS name FROM {_FOOD} WHERE category <> ''",
 )
 def _(t):
-    return warehouse.daily_food(_raw(landed_food(t), schemas.DAILY_FOOD), LOAD_TS)["food_category"].select("id", "name")
+    return _warehouse("daily_food", "food_category", _raw(landed_food(t), schemas.DAILY_FOOD)).select("id", "name")
 
 
 def _known_categories(t: Tables) -> DataFrame:
@@ -883,6 +887,11 @@ def _known_categories(t: Tables) -> DataFrame:
     )
 
 
+def _serving_food(t: Tables, table: str) -> DataFrame:
+    current = {"food_category": _known_categories(t)}
+    return serving.build("food_item", landed_food(t), current, LOAD_TS, only=[table])[table]
+
+
 @query(
     "serving_food_item",
     f"""SELECT {sid('p_name')} AS id, p_name AS name, p_brand AS meal_type, CASE WHEN category IN ('', 'None') THEN ''
@@ -891,9 +900,8 @@ def _known_categories(t: Tables) -> DataFrame:
         QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_partkey DESC) = 1""",
 )
 def _(t):
-    tables, _skipped = serving.food_item(landed_food(t), {"food_category": _known_categories(t)}, LOAD_TS)
     return _widened(
-        tables["food_item"], "id", "name", "meal_type", "category_ids", "calories", "protein_g", "water_intake_ml"
+        _serving_food(t, "food_item"), "id", "name", "meal_type", "category_ids", "calories", "protein_g", "water_intake_ml"
     )
 
 
@@ -903,8 +911,7 @@ def _(t):
         AS id, category AS name, category NOT IN ('SMALL', 'ECONOMY') AS created_now FROM {_FOOD} WHERE category NOT IN ('', 'None')""",
 )
 def _(t):
-    tables, _skipped = serving.food_item(landed_food(t), {"food_category": _known_categories(t)}, LOAD_TS)
-    return tables["food_category"].select("id", "name", (F.col("created_at") == F.lit(LOAD_TS)).alias("created_now"))
+    return _serving_food(t, "food_category").select("id", "name", (F.col("created_at") == F.lit(LOAD_TS)).alias("created_now"))
 
 
 def landed_diet(t: Tables) -> DataFrame:
@@ -945,8 +952,8 @@ _DISEASES = f"""CASE WHEN disease IS NULL THEN '[]' ELSE
     CAST(to_json([{{'id': {sid('disease')}, 'severity': severity}}]) AS VARCHAR) END"""
 
 
-def _warehouse_diet(t: Tables) -> dict[str, DataFrame]:
-    return warehouse.diet_recommendation(_raw(landed_diet(t), schemas.DIET), LOAD_TS)
+def _warehouse_diet(t: Tables, table: str) -> DataFrame:
+    return _warehouse("diet_recommendation", table, _raw(landed_diet(t), schemas.DIET))
 
 
 @query(
@@ -957,7 +964,7 @@ def _warehouse_diet(t: Tables) -> dict[str, DataFrame]:
 )
 def _(t):
     return _widened(
-        _warehouse_diet(t)["patient"], "id", "id_data_set", "age", "gender", "allergy_ids", "allergy_names", "diseases"
+        _warehouse_diet(t, "patient"), "id", "id_data_set", "age", "gender", "allergy_ids", "allergy_names", "diseases"
     )
 
 
@@ -967,7 +974,7 @@ def _(t):
         height::INTEGER AS height_cm, 1.5::DOUBLE AS bmi FROM {_DIET} {_newest('pid')}""",
 )
 def _(t):
-    return _widened(_warehouse_diet(t)["metrics"], "id", "patient_id", "weight_kg", "height_cm", "bmi")
+    return _widened(_warehouse_diet(t, "metrics"), "id", "patient_id", "weight_kg", "height_cm", "bmi")
 
 
 @query(
@@ -976,7 +983,7 @@ def _(t):
         FROM {_DIET} {_newest('pid')}""",
 )
 def _(t):
-    return _warehouse_diet(t)["exercises"].select("id", "patient_id", "physical_activity_level")
+    return _warehouse_diet(t, "exercises").select("id", "patient_id", "physical_activity_level")
 
 
 @query(
@@ -988,7 +995,7 @@ def _(t):
         age::SMALLINT AS patient_age FROM {_DIET} {_newest('cuisine, kcal, pid, status')}""",
 )
 def _(t):
-    return _warehouse_diet(t)["diets"].select(
+    return _warehouse_diet(t, "diets").select(
         "id",
         "daily_caloric_intake",
         "patient_id",
@@ -1012,8 +1019,8 @@ _DIET_DIMS = ("disease", "allergy", "preferred_cuisine", "dietary_restriction",
         UNION ALL SELECT DISTINCT 'diet_recommendation', status FROM {_DIET}) WHERE name IS NOT NULL""",
 )
 def _(t):
-    tables = _warehouse_diet(t)
-    return merge.union_tagged({d: tables[d].select("id", "name") for d in _DIET_DIMS}, "dim")
+    tables = warehouse.build("diet_recommendation", [_raw(landed_diet(t), schemas.DIET)], LOAD_TS, only=_DIET_DIMS)
+    return merge.union_tagged({d: df.select("id", "name") for d, df in tables.items()}, "dim")
 
 
 def _known_patients(t: Tables) -> DataFrame:
@@ -1042,8 +1049,9 @@ def _known_metrics(t: Tables) -> DataFrame:
     )
 
 
-def _serving_diet(t: Tables) -> dict[str, DataFrame]:
-    return serving.diet(landed_diet(t), {"patient": _known_patients(t), "metrics": _known_metrics(t)}, LOAD_TS)
+def _serving_diet(t: Tables, table: str) -> DataFrame:
+    current = {"patient": _known_patients(t), "metrics": _known_metrics(t)}
+    return serving.build("diet", landed_diet(t), current, LOAD_TS, only=[table])[table]
 
 
 _PATIENT_KEYS = "(SELECT c_custkey, 'P' || c_custkey AS known FROM customer WHERE c_acctbal > 0)"
@@ -1057,7 +1065,7 @@ _PATIENT_KEYS = "(SELECT c_custkey, 'P' || c_custkey AS known FROM customer WHER
         FROM (SELECT * FROM {_DIET} {_newest('pid')}) FULL JOIN {_PATIENT_KEYS} ON pid = known""",
 )
 def _(t):
-    patient = _serving_diet(t)["patient"]
+    patient = _serving_diet(t, "patient")
     stamped = patient.withColumns(
         {
             "created_now": F.col("created_at") == F.lit(LOAD_TS),
@@ -1078,7 +1086,7 @@ def _(t):
         WHERE patient_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)""",
 )
 def _(t):
-    return _serving_diet(t)["metrics"].select("id", "patient_id", "weight_kg", "height_cm")
+    return _serving_diet(t, "metrics").select("id", "patient_id", "weight_kg", "height_cm")
 
 
 @query(
@@ -1090,7 +1098,7 @@ def _(t):
         LEFT JOIN {_PATIENT_KEYS} ON pid = known)""",
 )
 def _(t):
-    return _serving_diet(t)["diets"].select(
+    return _serving_diet(t, "diets").select(
         "id",
         "daily_caloric_intake",
         "patient_id",
@@ -1135,7 +1143,7 @@ def _ids_sql(elements: str) -> str:
 def _(t):
     raw = warehouse.raw_exercise(landed_exercise(t)).drop(readers.CORRUPT)
     return _widened(
-        warehouse.exercise_db(raw, LOAD_TS)["exercise"],
+        _warehouse("exercise_db", "exercise", raw),
         "id",
         "name",
         "force",
@@ -1157,10 +1165,9 @@ def _(t):
         UNION ALL SELECT DISTINCT 'exercise_category', p_brand FROM part)""",
 )
 def _(t):
-    tables = warehouse.exercise_db(warehouse.raw_exercise(landed_exercise(t)), LOAD_TS)
-    return merge.union_tagged(
-        {d: tables[d].select("id", "name") for d in ("muscle", "equipment", "exercise_category")}, "dim"
-    )
+    names = ("muscle", "equipment", "exercise_category")
+    tables = warehouse.build("exercise_db", [warehouse.raw_exercise(landed_exercise(t))], LOAD_TS, only=names)
+    return merge.union_tagged({d: df.select("id", "name") for d, df in tables.items()}, "dim")
 
 
 @query(
@@ -1173,7 +1180,7 @@ def _(t):
 )
 def _(t):
     return _widened(
-        serving.exercise(landed_exercise(t), {}, LOAD_TS)["exercise"],
+        serving.build("exercise", landed_exercise(t), {}, LOAD_TS, only=["exercise"])["exercise"],
         "id",
         "name",
         "level",
@@ -1233,7 +1240,7 @@ def _session_sql(source: str, table: str, age: str, gender: str, kind: str, calo
     + _session_sql("api", "orders", "30", "o_orderstatus", "o_orderpriority", "'1.0'"),
 )
 def _(t):
-    session = warehouse.workout_session(*raw_sessions(t), LOAD_TS)["session"]
+    session = _warehouse("workout_session", "session", *raw_sessions(t))
     return _widened(session, "id", "source", "age", "gender", "workout_type_id", "workout_type_name", "calories")
 
 
@@ -1243,7 +1250,7 @@ def _(t):
         UNION SELECT o_orderpriority FROM orders)""",
 )
 def _(t):
-    return warehouse.workout_session(*raw_sessions(t), LOAD_TS)["workout_type"].select("id", "name")
+    return _warehouse("workout_session", "workout_type", *raw_sessions(t)).select("id", "name")
 
 
 # ── Models ───────────────────────────────────────────────────────────────────

@@ -18,8 +18,8 @@ from vitalake.sources.tolerance import tolerate
 from vitalake.sources.versions import VersionNotFound, read_tables, read_version, write_tables
 
 EXTERNAL, API, RAW, WAREHOUSE, SERVING = "raw/external", "raw/api", "warehouse/raw", "warehouse", "serving"
-WAREHOUSE_DATASETS = ("daily_food", "diet_recommendation", "exercise_db", "workout_session")
-SERVING_DATASETS = ("food_item", "exercise", "diet")
+WAREHOUSE_DATASETS = tuple(warehouse.DATASETS)
+SERVING_DATASETS = tuple(serving.DATASETS)
 
 
 def _now() -> datetime:
@@ -55,27 +55,23 @@ def load_warehouse_dataset(
 ) -> str:
     """Reload one warehouse dataset from the latest landed files; returns its label."""
     load_ts = load_ts or _now()
-    if dataset == "daily_food":
-        raw = _raw(spark, root, dataset, warehouse.raw_csv(
-            read_version(spark, root, EXTERNAL, dataset), schemas.DAILY_FOOD), label)
-        tables = warehouse.daily_food(raw, load_ts)
-    elif dataset == "diet_recommendation":
-        raw = _raw(spark, root, dataset, warehouse.raw_csv(
-            read_version(spark, root, EXTERNAL, dataset), schemas.DIET), label)
-        tables = warehouse.diet_recommendation(raw, load_ts)
-    elif dataset == "exercise_db":
-        raw = _raw(spark, root, dataset, warehouse.raw_exercise(
-            read_version(spark, root, EXTERNAL, "exercise")), label)
-        tables = warehouse.exercise_db(raw, load_ts)
+    if dataset not in WAREHOUSE_DATASETS:
+        raise ValueError(f"unknown dataset {dataset!r}; known: {', '.join(WAREHOUSE_DATASETS)}")
+    if dataset == "exercise_db":
+        frames = {dataset: warehouse.raw_exercise(read_version(spark, root, EXTERNAL, "exercise"))}
     elif dataset == "workout_session":
-        raw_external = _raw(spark, root, "workout_csv", warehouse.raw_csv(
-            read_version(spark, root, EXTERNAL, dataset), schemas.WORKOUT), label)
+        external = read_version(spark, root, EXTERNAL, dataset)
         # No export yet is no error: the API part of the table is then empty.
-        raw_api = _raw(spark, root, "workout_api", warehouse.raw_csv(
-            _landed_or_empty(spark, root, API, dataset, schemas.WORKOUT_API), schemas.WORKOUT_API), label)
-        tables = warehouse.workout_session(raw_external, raw_api, load_ts)
+        api = _landed_or_empty(spark, root, API, dataset, schemas.WORKOUT_API)
+        frames = {
+            "workout_csv": warehouse.raw_csv(external, schemas.WORKOUT),
+            "workout_api": warehouse.raw_csv(api, schemas.WORKOUT_API),
+        }
     else:
-        raise ValueError(f"unknown dataset {dataset!r}; known: {', '.join(WAREHOUSE_DATASETS)}")
+        columns = schemas.DAILY_FOOD if dataset == "daily_food" else schemas.DIET
+        frames = {dataset: warehouse.raw_csv(read_version(spark, root, EXTERNAL, dataset), columns)}
+    raws = [_raw(spark, root, name, frame, label) for name, frame in frames.items()]
+    tables = warehouse.build(dataset, raws, load_ts)
     return write_tables(tables, root, WAREHOUSE, dataset, label, sort_keys=schemas.SORT_KEY)
 
 
@@ -89,22 +85,16 @@ def load_serving_dataset(
 ) -> dict[str, int]:
     """Merge the latest landed files into the serving tables; returns rows skipped as malformed."""
     load_ts = load_ts or _now()
+    if dataset not in SERVING_DATASETS:
+        raise ValueError(f"unknown dataset {dataset!r}; known: {', '.join(SERVING_DATASETS)}")
     try:
         current = read_tables(spark, root, SERVING, dataset)
     except VersionNotFound:
         current = {}
-    skipped = 0
-    if dataset == "food_item":
-        landed = read_version(spark, root, EXTERNAL, "daily_food")
-        tables, bad = serving.food_item(landed, current, load_ts, enums)
-        skipped = bad.count()
-    elif dataset == "exercise":
-        tables = serving.exercise(read_version(spark, root, EXTERNAL, "exercise"), current, load_ts, enums)
-    elif dataset == "diet":
-        landed = read_version(spark, root, EXTERNAL, "diet_recommendation")
-        tables = serving.diet(landed, current, load_ts, enums)
-    else:
-        raise ValueError(f"unknown dataset {dataset!r}; known: {', '.join(SERVING_DATASETS)}")
+    source = {"food_item": "daily_food", "exercise": "exercise", "diet": "diet_recommendation"}[dataset]
+    landed = read_version(spark, root, EXTERNAL, source)
+    tables = serving.build(dataset, landed, current, load_ts, enums)
+    skipped = serving.skipped_foods(landed).count() if dataset == "food_item" else 0
     write_tables(tables, root, SERVING, dataset, label)
     return {"skipped": skipped}
 

@@ -6,7 +6,7 @@ other bad value fails the whole load, and nothing of it is published.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -16,14 +16,13 @@ from vitalake import schemas
 from vitalake.functions.arrays import condition_entries, json_array, single_or_empty
 from vitalake.functions.ids import stable_id
 from vitalake.functions.values import null_tokens
-from vitalake.operators.clean import parse_number, rename_map, require_enum, stamp, strict_cast
+from vitalake.operators.clean import malformed, parse_number, rename_map, require_enum, stamp, strict_cast
 from vitalake.operators.dims import DIM_SCHEMA, array_names, names_of, upsert_dim
 from vitalake.operators.lookups import lookup_arrays, lookup_or_new
 from vitalake.operators.merge import first_by_key, latest_by_key, upsert
 from vitalake.sources.readers import SEQ
 
-Tables = dict[str, DataFrame]
-_KEPT = ("id", "created_at")
+Tables = Mapping[str, DataFrame]
 Enums = Mapping[str, Iterable[str]]
 
 # Tables of the serving store, for a first load into nothing.
@@ -56,24 +55,38 @@ TABLE_SCHEMA = {
 }
 
 
-def _current(tables: Tables, name: str, like: DataFrame) -> DataFrame:
-    if name in tables:
-        return tables[name]
-    return like.sparkSession.createDataFrame([], TABLE_SCHEMA[name])
+class Load:
+    """What a table of a load is made from: landed rows, tables before the load, its time, enums."""
+
+    def __init__(self, landed: DataFrame, current: Tables, load_ts: datetime, enums: Enums | None = None):
+        if SEQ not in landed.columns:
+            raise ValueError(f"landed rows need {SEQ}, their order decides which duplicate counts")
+        self.landed, self.tables, self.load_ts, self.enums = landed, current, load_ts, enums or {}
+
+    def current(self, name: str) -> DataFrame:
+        if name in self.tables:
+            return self.tables[name]
+        return self.landed.sparkSession.createDataFrame([], TABLE_SCHEMA[name])
+
+    def enum(self, col: str) -> Column:
+        return require_enum(col, self.enums.get(col))
+
+    def merge(self, name: str, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """Upsert rows that are already one per key."""
+        return upsert(
+            self.current(name), rows, keys, None, self.load_ts, keep=("id", "created_at"), reduced=True
+        )
 
 
 def _rows(landed: DataFrame, columns) -> DataFrame:
     names = [name for _, name, _ in columns]
-    rows = rename_map(landed, {**schemas.rename(columns), SEQ: SEQ})
-    if SEQ not in rows.columns:
-        raise ValueError(f"landed rows need {SEQ}, their order decides which duplicate counts")
-    return null_tokens(rows, names)
+    return null_tokens(rename_map(landed, {**schemas.rename(columns), SEQ: SEQ}), names)
 
 
 def required(col: str, value: Column | None = None) -> Column:
     """The value; a NULL fails the job."""
     v = F.col(col) if value is None else value
-    return F.when(v.isNotNull(), v).otherwise(F.raise_error(F.lit(f"{col}: missing or malformed"))).alias(col)
+    return F.coalesce(v, F.raise_error(F.lit(f"{col}: missing or malformed"))).alias(col)
 
 
 def number(col: str, kind: str) -> Column:
@@ -83,80 +96,78 @@ def number(col: str, kind: str) -> Column:
     ).alias(col)
 
 
-def food_item(
-    landed: DataFrame, current: Tables, load_ts: datetime, enums: Enums | None = None
-) -> tuple[Tables, DataFrame]:
-    """Merge foods by name. Returns the new tables and the skipped rows."""
-    enums = enums or {}
-    rows = _rows(landed, schemas.DAILY_FOOD)
-    number_of_calories = F.col("calories").isNull() | parse_number("calories", "bigint").isNotNull()
-    known = _current(current, "food_category", landed)
-    categories = upsert_dim(known, names_of(rows.filter(number_of_calories), "category"), load_ts)
-    kinds = {
-        name: "double" if kind == "Float32" else "bigint"
-        for _, name, kind in schemas.DAILY_FOOD
-        if kind != "String"
-    }
-    good, skipped = strict_cast(rows, kinds)
+# ── food_item ────────────────────────────────────────────────────────────────
+
+_FOOD_NUMBERS = {
+    name: "double" if kind == "Float32" else "bigint" for _, name, kind in schemas.DAILY_FOOD if kind != "String"
+}
+
+
+def food_category(load: Load) -> DataFrame:
+    """Categories of the rows whose calories are a number or missing."""
+    rows = _rows(load.landed, schemas.DAILY_FOOD)
+    counted = rows.filter(~malformed({"calories": "bigint"}))
+    return upsert_dim(load.current("food_category"), names_of(counted, "category"), load.load_ts)
+
+
+def food_item(load: Load) -> DataFrame:
+    """Foods merged by name; the last row of a name counts."""
+    good, _ = strict_cast(_rows(load.landed, schemas.DAILY_FOOD), _FOOD_NUMBERS)
     last = latest_by_key(
         good.select(
-            stable_id("food_item").alias("id"),
-            required("food_item").alias("name"),
-            require_enum("meal_type", enums.get("meal_type")),
-            "category",
-            *kinds,
-            SEQ,
+            required("food_item").alias("name"), load.enum("meal_type"), "category", *_FOOD_NUMBERS, SEQ
         ),
         ["name"],
         seq=SEQ,
     )
     # A row whose numbers all parse has its category in the dimension.
-    items = lookup_or_new(last, known, "category", "_category_id").withColumn(
-        "category_ids", single_or_empty("_category_id", "category")
+    items = lookup_or_new(last, load.current("food_category"), "category", "_category_id").withColumns(
+        {"id": stable_id("name"), "category_ids": single_or_empty("_category_id", "category")}
     )
-    target = _current(current, "food_item", landed)
-    merged = upsert(target, items, ["name"], None, load_ts, keep=_KEPT, reduced=True)
-    return {"food_category": categories, "food_item": merged}, skipped
-
-
-def exercise(landed: DataFrame, current: Tables, load_ts: datetime, enums: Enums | None = None) -> Tables:
-    """Merge exercises by name."""
-    enums = enums or {}
-    known = {name: _current(current, name, landed) for name in ("muscle", "equipment", "exercise_category")}
-    names = {
-        "muscle": array_names(landed, ["primaryMuscles", "secondaryMuscles"]),
-        "equipment": names_of(landed, "equipment"),
-        "exercise_category": names_of(landed, "category"),
-    }
-    rows = landed.select(
-        stable_id("name").alias("id"),
+    return load.merge("food_item", items, ["name"])
+
+
+def skipped_foods(landed: DataFrame) -> DataFrame:
+    """Food rows that are not loaded because a value is not a number."""
+    return strict_cast(_rows(landed, schemas.DAILY_FOOD), _FOOD_NUMBERS)[1]
+
+
+# ── exercise ─────────────────────────────────────────────────────────────────
+
+
+def _exercise_dim(name: str, names):
+    def build(load: Load) -> DataFrame:
+        return upsert_dim(load.current(name), names(load.landed), load.load_ts)
+
+    return build
+
+
+def exercise(load: Load) -> DataFrame:
+    """Exercises merged by name; the last one of a name counts."""
+    rows = load.landed.select(
         required("name"),
-        require_enum("force", enums.get("force")),
-        require_enum("level", enums.get("level")),
-        require_enum("mechanic", enums.get("mechanic")),
+        load.enum("force"),
+        load.enum("level"),
+        load.enum("mechanic"),
         json_array("instructions").alias("instruction"),
         json_array("images").alias("photo"),
         "primaryMuscles",
         "secondaryMuscles",
-        "category",
-        "equipment",
+        F.expr("nullif(category, '')").alias("category"),
+        F.expr("nullif(equipment, '')").alias("equipment"),
         SEQ,
     )
     # One row per name first: the element lookups then handle what is kept and nothing else.
     last = latest_by_key(rows, ["name"], seq=SEQ)
     muscles = {"primaryMuscles": "primary_muscle_ids", "secondaryMuscles": "secondary_muscle_ids"}
-    found = lookup_arrays(last, known["muscle"], muscles, ["name"], new_ids=True)
-    for col, name, out in (
-        ("category", "exercise_category", "category_id"),
-        ("equipment", "equipment", "equipment_id"),
-    ):
-        found = found.withColumn(col, F.when(F.col(col) != "", F.col(col)))
-        found = lookup_or_new(found, known[name], col, out)
-    target = _current(current, "exercise", landed)
-    merged = upsert(target, found, ["name"], None, load_ts, keep=_KEPT, reduced=True)
-    return {**{name: upsert_dim(known[name], names[name], load_ts) for name in known}, "exercise": merged}
+    found = lookup_arrays(last, load.current("muscle"), muscles, ["name"], new_ids=True)
+    found = lookup_or_new(found, load.current("exercise_category"), "category", "category_id")
+    found = lookup_or_new(found, load.current("equipment"), "equipment", "equipment_id")
+    return load.merge("exercise", found.withColumn("id", stable_id("name")), ["name"])
 
 
+# ── diet ─────────────────────────────────────────────────────────────────────
+
 _DIET_DIMS = {
     "disease": "disease_type",
     "allergy": "allergies",
@@ -166,90 +177,115 @@ _DIET_DIMS = {
 }
 
 
-def diet(landed: DataFrame, current: Tables, load_ts: datetime, enums: Enums | None = None) -> Tables:
-    """Merge patients and diets; add metrics and exercises of patients that have none."""
-    enums = enums or {}
-    rows = _rows(landed, schemas.DIET)
-    known = {name: _current(current, name, landed) for name in _DIET_DIMS}
-    dims = {name: upsert_dim(known[name], names_of(rows, col), load_ts) for name, col in _DIET_DIMS.items()}
-    # A cuisine or recommendation is in its dimension unless it is missing, so the lookups that must
-    # hit are checked on the row, before any shuffle, and on every row.
-    checked = rows.select(
-        required("patient_id").alias("id_data_set"),
-        required("age", parse_number("age", "bigint")),
-        require_enum("gender", enums.get("gender")),
-        "disease_type",
-        "severity",
-        "allergies",
-        "dietary_restrictions",
-        required("preferred_cuisine"),
-        required("diet_recommendation"),
-        require_enum("physical_activity_level", enums.get("physical_activity_level")),
-        number("weight_kg", "double"),
-        number("height_cm", "double").cast("bigint").alias("height_cm"),
-        *[
-            number(c, "double")
-            for c in (
-                "bmi",
-                "cholesterol_mg_dl",
-                "blood_pressure_mmhg",
-                "glucose_mg_dl",
-                "weekly_exercise_hours",
-                "adherence_to_diet_plan",
-                "dietary_nutrient_imbalance_score",
-            )
-        ],
-        number("daily_caloric_intake", "bigint"),
-        SEQ,
-    )
+def _diet_dim(name: str):
+    def build(load: Load) -> DataFrame:
+        rows = _rows(load.landed, schemas.DIET)
+        return upsert_dim(load.current(name), names_of(rows, _DIET_DIMS[name]), load.load_ts)
 
-    key = ["id_data_set"]
+    return build
 
-    # Each table reduces the columns it needs and no others, so each check runs once, on all rows.
-    last = latest_by_key(
-        checked.select(*key, "age", "gender", "allergies", "disease_type", "severity", SEQ), key, seq=SEQ
+
+def _diet_rows(load: Load, *cols: Column | str) -> DataFrame:
+    """The landed rows with some of their columns, checked on every row and before any shuffle."""
+    rows = _rows(load.landed, schemas.DIET)
+    return rows.select(required("patient_id").alias("id_data_set"), *cols, SEQ)
+
+
+def _with_patient(load: Load, rows: DataFrame, table: str) -> DataFrame:
+    found = lookup_or_new(rows, load.current("patient"), "id_data_set", "patient_id", name="id_data_set")
+    return found.withColumn("id", stable_id("patient_id", F.lit(table)))
+
+
+def patient(load: Load) -> DataFrame:
+    """Patients merged by their id in the data set; the last row of a patient counts."""
+    rows = _diet_rows(
+        load, required("age", parse_number("age", "bigint")), load.enum("gender"), "disease_type", "severity", "allergies"
     )
-    found = lookup_or_new(last, known["disease"], "disease_type", "_disease_id")
-    found = lookup_or_new(found, known["allergy"], "allergies", "_allergy_id")
-    known_patients = _current(current, "patient", landed)
-    patients = upsert(
-        known_patients,
-        found.select(
-            stable_id("id_data_set").alias("id"),
-            *key,
-            "age",
-            "gender",
-            single_or_empty("_allergy_id", "allergies").alias("allergy_ids"),
-            condition_entries("disease_type", F.col("_disease_id"), "severity").alias("diseases"),
-        ),
-        key,
-        None,
-        load_ts,
-        keep=_KEPT,
-        reduced=True,
+    last = latest_by_key(rows, ["id_data_set"], seq=SEQ)
+    found = lookup_or_new(last, load.current("disease"), "disease_type", "_disease_id")
+    found = lookup_or_new(found, load.current("allergy"), "allergies", "_allergy_id")
+    patients = found.select(
+        stable_id("id_data_set").alias("id"),
+        "id_data_set",
+        "age",
+        "gender",
+        single_or_empty("_allergy_id", "allergies").alias("allergy_ids"),
+        condition_entries("disease_type", F.col("_disease_id"), "severity").alias("diseases"),
     )
+    return load.merge("patient", patients, ["id_data_set"])
 
-    def with_patient(rows: DataFrame, table: str) -> DataFrame:
-        found = lookup_or_new(rows, known_patients, *key, "patient_id", name=key[0])
-        return found.withColumn("id", stable_id("patient_id", F.lit(table)))
 
-    def added(table: str) -> DataFrame:
-        target = _current(current, table, landed)
-        needed = [c for c in target.columns if c in checked.columns]
-        first = first_by_key(checked.select(*key, *needed, SEQ), key, seq=SEQ)
-        fresh = with_patient(first, table).join(
-            target.select("patient_id").distinct(), "patient_id", "left_anti"
-        )
-        return target.unionByName(stamp(fresh, load_ts).select(*target.columns))
+def _added(load: Load, table: str, *cols: Column) -> DataFrame:
+    """The first row of every patient that has no row in the table yet."""
+    target = load.current(table)
+    first = first_by_key(_diet_rows(load, *cols), ["id_data_set"], seq=SEQ)
+    known = target.select("patient_id").distinct()
+    fresh = _with_patient(load, first, table).join(known, "patient_id", "left_anti")
+    return target.unionByName(stamp(fresh, load.load_ts).select(*target.columns))
+
 
-    diet_dims = ("dietary_restriction", "preferred_cuisine", "diet_recommendation")
-    measures = ("daily_caloric_intake", "adherence_to_diet_plan", "dietary_nutrient_imbalance_score")
-    plans = latest_by_key(
-        checked.select(*key, *measures, *[_DIET_DIMS[d] for d in diet_dims], SEQ), key, seq=SEQ
+def metrics(load: Load) -> DataFrame:
+    """Body measures, one row per patient."""
+    doubles = ("weight_kg", "bmi", "cholesterol_mg_dl", "blood_pressure_mmhg", "glucose_mg_dl")
+    height = number("height_cm", "double").cast("bigint").alias("height_cm")
+    return _added(load, "metrics", height, *[number(c, "double") for c in doubles])
+
+
+def exercises(load: Load) -> DataFrame:
+    """Exercise habits, one row per patient."""
+    return _added(
+        load, "exercises", number("weekly_exercise_hours", "double"), load.enum("physical_activity_level")
     )
-    plans = with_patient(plans, "diets")
-    for name in diet_dims:
-        plans = lookup_or_new(plans, known[name], _DIET_DIMS[name], f"{name}_id")
-    target = _current(current, "diets", landed)
-    diets = upsert(target, plans, ["patient_id"], None, load_ts, keep=_KEPT, reduced=True)
-    return {**dims, "patient": patients, "metrics": added("metrics"), "exercises": added("exercises"), "diets": diets}
+
+
+def diets(load: Load) -> DataFrame:
+    """Diets merged by patient; the last row of a patient counts.
+
+    A cuisine or advice is in its dimension unless it is missing, so the lookups that must hit are
+    checked as columns that must be there.
+    """
+    dims = ("dietary_restriction", "preferred_cuisine", "diet_recommendation")
+    rows = _diet_rows(
+        load,
+        number("daily_caloric_intake", "bigint"),
+        number("adherence_to_diet_plan", "double"),
+        number("dietary_nutrient_imbalance_score", "double"),
+        "dietary_restrictions",
+        required("preferred_cuisine"),
+        required("diet_recommendation"),
+    )
+    found = _with_patient(load, latest_by_key(rows, ["id_data_set"], seq=SEQ), "diets")
+    for name in dims:
+        found = lookup_or_new(found, load.current(name), _DIET_DIMS[name], f"{name}_id")
+    return load.merge("diets", found, ["patient_id"])
+
+
+DATASETS = {
+    "food_item": {"food_category": food_category, "food_item": food_item},
+    "exercise": {
+        "muscle": _exercise_dim("muscle", lambda df: array_names(df, ["primaryMuscles", "secondaryMuscles"])),
+        "equipment": _exercise_dim("equipment", lambda df: names_of(df, "equipment")),
+        "exercise_category": _exercise_dim("exercise_category", lambda df: names_of(df, "category")),
+        "exercise": exercise,
+    },
+    "diet": {
+        **{name: _diet_dim(name) for name in _DIET_DIMS},
+        "patient": patient,
+        "metrics": metrics,
+        "exercises": exercises,
+        "diets": diets,
+    },
+}
+
+
+def build(
+    dataset: str,
+    landed: DataFrame,
+    current: Tables,
+    load_ts: datetime,
+    enums: Enums | None = None,
+    only: Sequence[str] = (),
+) -> dict[str, DataFrame]:
+    """The tables of a dataset (or `only` some) after merging the landed rows, with one load time."""
+    load = Load(landed, current, load_ts, enums)
+    return {name: table(load) for name, table in DATASETS[dataset].items() if not only or name in only}

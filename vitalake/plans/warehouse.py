@@ -6,6 +6,7 @@ was written once; every output then reads only its own columns of it.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -14,34 +15,32 @@ from pyspark.sql import functions as F
 from vitalake import schemas
 from vitalake.functions.arrays import condition_entries, json_array, single, single_or_empty
 from vitalake.functions.ids import stable_id, stable_ids
-from vitalake.functions.values import BLANK_OR_NONE, fill_missing, when_present
-from vitalake.operators.clean import MALFORMED, cast_flagged, rename_map, stamp, tag
+from vitalake.functions.values import BLANK, BLANK_OR_NONE, fill_missing, present, when_present
+from vitalake.operators.clean import MALFORMED, cast_flagged, rename_map, stamp
 from vitalake.operators.dims import build_dim, build_dim_arrays, build_dim_union
-from vitalake.operators.merge import latest_by_key, split_entities, union_tagged
+from vitalake.operators.merge import latest_by_key, union_tagged
 from vitalake.operators.occurrences import occurrence_id
 from vitalake.sources.readers import CORRUPT, SEQ
 
-Tables = dict[str, DataFrame]
-
-
 def raw_csv(landed: DataFrame, columns) -> DataFrame:
     """Typed raw table of a landed CSV; `_corrupt` is the text of a row to quarantine.
 
     A row is bad when its field count was off or a value is no number of the declared type. Missing
     values become '' and 0, as the warehouse stores them.
     """
-    mapping = {**schemas.rename(columns), CORRUPT: CORRUPT, SEQ: SEQ}
-    renamed = rename_map(landed, mapping)
-    if CORRUPT not in renamed.columns:
-        renamed = renamed.withColumn(CORRUPT, F.lit(None).cast("string"))
+    named = rename_map(landed, {**schemas.rename(columns), CORRUPT: CORRUPT, SEQ: SEQ})
     numbers = {name: kind for _, name, kind in columns if kind != "String"}
-    texts = {name: "" for _, name, kind in columns if kind == "String"}
+    texts = [name for _, name, kind in columns if kind == "String"]
     # An empty field is a missing one, whatever its type.
-    emptied = renamed.withColumns({c: F.when(F.trim(c) != "", F.col(c)) for c in numbers})
-    flagged = cast_flagged(emptied, numbers)
-    first = next(name for _, name, kind in columns if kind == "String")
-    bad = F.when(F.col(MALFORMED), F.coalesce(CORRUPT, first, F.lit(""))).otherwise(F.col(CORRUPT))
-    return fill_missing(flagged.withColumn(CORRUPT, bad).drop(MALFORMED), texts)
+    cleaned = named.selectExpr(
+        *[f"nullif(trim(`{c}`), '') AS `{c}`" for c in numbers],
+        *[f"coalesce(`{c}`, '') AS `{c}`" for c in texts],
+        CORRUPT if CORRUPT in named.columns else f"CAST(NULL AS string) AS {CORRUPT}",
+        *_seq(named),
+    )
+    flagged = cast_flagged(cleaned, numbers)
+    bad = F.expr(f"CASE WHEN {MALFORMED} THEN coalesce({CORRUPT}, `{texts[0]}`) ELSE {CORRUPT} END")
+    return flagged.select(*numbers, *texts, bad.alias(CORRUPT), *_seq(named))
 
 
 def raw_exercise(landed: DataFrame) -> DataFrame:
@@ -70,116 +69,100 @@ def raw_exercise(landed: DataFrame) -> DataFrame:
     )
 
 
-def _final(tables: Tables, names) -> Tables:
-    """Reduce the named tables to the newest row per sort key; the place in the file breaks ties."""
-    out = {}
-    for name, df in tables.items():
-        seq = SEQ if SEQ in df.columns else None
-        if name in names:
-            df = latest_by_key(df, schemas.SORT_KEY[name], "updated_at", seq)
-        out[name] = df.drop(SEQ)
-    return out
-
-
 def _seq(df: DataFrame) -> list[str]:
     return [SEQ] if SEQ in df.columns else []
 
 
-def daily_food(raw: DataFrame, load_ts: datetime | None = None) -> Tables:
-    """food_category and food_item."""
+def _final(name: str, rows: DataFrame, load_ts: datetime | None) -> DataFrame:
+    """Stamp the rows and keep the newest per sort key; the place in the file breaks ties."""
+    stamped = stamp(rows, load_ts)
+    seq = SEQ if SEQ in rows.columns else None
+    return latest_by_key(stamped, schemas.SORT_KEY[name], "updated_at", seq).drop(SEQ)
+
+
+def _dim(col: str, tokens: Sequence[str] = BLANK):
+    def build(raw: DataFrame, load_ts: datetime | None = None) -> DataFrame:
+        return build_dim(raw, col, tokens, load_ts)
+
+    return build
+
+
+def food_item(raw: DataFrame, load_ts: datetime | None = None) -> DataFrame:
+    """Foods with their category as one-element arrays."""
+    measures = [name for _, name, kind in schemas.DAILY_FOOD if kind != "String"]
     item = raw.select(
         stable_id("food_item").alias("id"),
         F.col("food_item").alias("name"),
         "meal_type",
         single(stable_id("category")).alias("category_ids"),
         single("category").alias("category_names"),
-        "calories",
-        "protein_g",
-        "carbohydrates_g",
-        "fat_g",
-        "fiber_g",
-        "sugars_g",
-        "sodium_mg",
-        "cholesterol_mg",
-        "water_intake_ml",
+        *measures,
         *_seq(raw),
     )
-    tables = {
-        "food_category": build_dim(raw, "category", load_ts=load_ts),
-        "food_item": stamp(item, load_ts),
-    }
-    return _final(tables, ("food_item",))
-
-
-def diet_recommendation(raw: DataFrame, load_ts: datetime | None = None) -> Tables:
-    """Five dimensions, patient, metrics, exercises and diets."""
-    patient = stable_id("patient_id")
-    restricted = lambda expr, default: when_present("dietary_restrictions", expr, default, BLANK_OR_NONE)
-    entities = split_entities(
-        raw,
-        {
-            "patient": [
-                patient.alias("id"),
-                F.col("patient_id").alias("id_data_set"),
-                "age",
-                "gender",
-                single_or_empty(stable_id("allergies"), "allergies").alias("allergy_ids"),
-                single_or_empty("allergies", "allergies").alias("allergy_names"),
-                condition_entries("disease_type", stable_id("disease_type"), "severity").alias("diseases"),
-                *_seq(raw),
-            ],
-            "metrics": [
-                stable_id("patient_id", F.lit("metrics")).alias("id"),
-                patient.alias("patient_id"),
-                "weight_kg",
-                "height_cm",
-                "bmi",
-                "cholesterol_mg_dl",
-                "blood_pressure_mmhg",
-                "glucose_mg_dl",
-                *_seq(raw),
-            ],
-            "exercises": [
-                stable_id("patient_id", F.lit("exercises")).alias("id"),
-                patient.alias("patient_id"),
-                "weekly_exercise_hours",
-                "physical_activity_level",
-                *_seq(raw),
-            ],
-            "diets": [
-                stable_id("patient_id", "daily_caloric_intake", "diet_recommendation").alias("id"),
-                "daily_caloric_intake",
-                "adherence_to_diet_plan",
-                "dietary_nutrient_imbalance_score",
-                patient.alias("patient_id"),
-                restricted(stable_id("dietary_restrictions"), F.lit(0).cast("bigint")).alias(
-                    "dietary_restriction_id"
-                ),
-                stable_id("preferred_cuisine").alias("preferred_cuisine_id"),
-                stable_id("diet_recommendation").alias("diet_recommendation_id"),
-                F.col("preferred_cuisine").alias("preferred_cuisine_name"),
-                restricted(F.col("dietary_restrictions"), "").alias("dietary_restriction_name"),
-                F.col("diet_recommendation").alias("diet_recommendation_name"),
-                F.col("age").alias("patient_age"),
-                F.col("gender").alias("patient_gender"),
-                *_seq(raw),
-            ],
-        },
+    return _final("food_item", item, load_ts)
+
+
+def patient(raw: DataFrame, load_ts: datetime | None = None) -> DataFrame:
+    """Patients with their allergy and, as JSON text, their condition."""
+    rows = raw.select(
+        stable_id("patient_id").alias("id"),
+        F.col("patient_id").alias("id_data_set"),
+        "age",
+        "gender",
+        single_or_empty(stable_id("allergies"), "allergies").alias("allergy_ids"),
+        single_or_empty("allergies", "allergies").alias("allergy_names"),
+        condition_entries("disease_type", stable_id("disease_type"), "severity").alias("diseases"),
+        *_seq(raw),
     )
-    tables = {
-        "disease": build_dim(raw, "disease_type", BLANK_OR_NONE, load_ts),
-        "allergy": build_dim(raw, "allergies", BLANK_OR_NONE, load_ts),
-        "preferred_cuisine": build_dim(raw, "preferred_cuisine", load_ts=load_ts),
-        "dietary_restriction": build_dim(raw, "dietary_restrictions", BLANK_OR_NONE, load_ts),
-        "diet_recommendation": build_dim(raw, "diet_recommendation", load_ts=load_ts),
-        **{name: stamp(df, load_ts) for name, df in entities.items()},
-    }
-    return _final(tables, tuple(entities))
+    return _final("patient", rows, load_ts)
+
 
+_METRICS = ("weight_kg", "height_cm", "bmi", "cholesterol_mg_dl", "blood_pressure_mmhg", "glucose_mg_dl")
 
-def exercise_db(raw: DataFrame, load_ts: datetime | None = None) -> Tables:
-    """muscle, equipment, exercise_category and exercise."""
-    exercise = raw.select(
+
+def _of_patient(name: str, measures: Sequence[str]):
+    def build(raw: DataFrame, load_ts: datetime | None = None) -> DataFrame:
+        rows = raw.select(
+            stable_id("patient_id", F.lit(name)).alias("id"),
+            stable_id("patient_id").alias("patient_id"),
+            *measures,
+            *_seq(raw),
+        )
+        return _final(name, rows, load_ts)
+
+    return build
+
+
+def diets(raw: DataFrame, load_ts: datetime | None = None) -> DataFrame:
+    """Diets with the ids and names of cuisine, restriction and advice."""
+    restricted = present("dietary_restrictions", BLANK_OR_NONE)
+    rows = raw.select(
+        stable_id("patient_id", "daily_caloric_intake", "diet_recommendation").alias("id"),
+        "daily_caloric_intake",
+        "adherence_to_diet_plan",
+        "dietary_nutrient_imbalance_score",
+        stable_id("patient_id").alias("patient_id"),
+        F.when(restricted, stable_id("dietary_restrictions")).otherwise(0).alias("dietary_restriction_id"),
+        stable_id("preferred_cuisine").alias("preferred_cuisine_id"),
+        stable_id("diet_recommendation").alias("diet_recommendation_id"),
+        F.col("preferred_cuisine").alias("preferred_cuisine_name"),
+        F.when(restricted, F.col("dietary_restrictions")).otherwise("").alias("dietary_restriction_name"),
+        F.col("diet_recommendation").alias("diet_recommendation_name"),
+        F.col("age").alias("patient_age"),
+        F.col("gender").alias("patient_gender"),
+        *_seq(raw),
+    )
+    return _final("diets", rows, load_ts)
+
+
+def muscle(raw: DataFrame, load_ts: datetime | None = None) -> DataFrame:
+    """Muscles named by either array."""
+    return build_dim_arrays(raw, ["primary_muscles", "secondary_muscles"], load_ts=load_ts)
+
+
+def exercise(raw: DataFrame, load_ts: datetime | None = None) -> DataFrame:
+    """Exercises with the ids of muscles, category and equipment."""
+    rows = raw.select(
         F.col("id_str").alias("id"),
         "name",
         "force",
@@ -190,35 +173,34 @@ def exercise_db(raw: DataFrame, load_ts: datetime | None = None) -> Tables:
         stable_ids("primary_muscles").alias("primary_muscle_ids"),
         stable_ids("secondary_muscles").alias("secondary_muscle_ids"),
         stable_id("category").alias("category_id"),
-        when_present("equipment", stable_id("equipment"), F.lit(0).cast("bigint")).alias("equipment_id"),
+        when_present("equipment", stable_id("equipment"), 0).alias("equipment_id"),
         F.col("category").alias("category_name"),
         F.col("equipment").alias("equipment_name"),
         F.col("primary_muscles").alias("primary_muscle_names"),
         *_seq(raw),
     )
-    tables = {
-        "muscle": build_dim_arrays(raw, ["primary_muscles", "secondary_muscles"], load_ts=load_ts),
-        "equipment": build_dim(raw, "equipment", load_ts=load_ts),
-        "exercise_category": build_dim(raw, "category", load_ts=load_ts),
-        "exercise": stamp(exercise, load_ts),
-    }
-    return _final(tables, ("exercise",))
+    return _final("exercise", rows, load_ts)
+
+
+def workout_type(raw_external: DataFrame, raw_api: DataFrame, load_ts: datetime | None = None) -> DataFrame:
+    """Workout types of both sources."""
+    return build_dim_union([(raw_external, "workout_type"), (raw_api, "workout_type")], load_ts=load_ts)
 
 
-def workout_session(raw_external: DataFrame, raw_api: DataFrame, load_ts: datetime | None = None) -> Tables:
-    """workout_type and session, from the external file and the API export."""
+def session(raw_external: DataFrame, raw_api: DataFrame, load_ts: datetime | None = None) -> DataFrame:
+    """Sessions of the external file and the API export.
+
+    Ids hold the source, the content and the number among identical rows, so each id is one row and
+    nothing is left to reduce by sort key.
+    """
     measures = [name for _, name, _ in schemas.WORKOUT]
     sources = {"external_csv": raw_external.select(*measures), "api": raw_api.select(*measures)}
-    # Ids hold the source, the content and the number among identical rows, so each id is one row.
     numbered = union_tagged({name: occurrence_id(df, name) for name, df in sources.items()})
-    zero = F.lit(0).cast("bigint")
-    session = tag(
-        numbered, member_id=zero, snapshot_id=zero, started_at=F.lit(None).cast("timestamp")
-    ).select(
+    rows = numbered.select(
         "id",
         "source",
-        "member_id",
-        "snapshot_id",
+        F.lit(0).cast("bigint").alias("member_id"),
+        F.lit(0).cast("bigint").alias("snapshot_id"),
         "age",
         "gender",
         "height_m",
@@ -235,11 +217,40 @@ def workout_session(raw_external: DataFrame, raw_api: DataFrame, load_ts: dateti
         "max_bpm",
         "resting_bpm",
         "water_intake_liters",
-        "started_at",
+        F.lit(None).cast("timestamp").alias("started_at"),
     )
+    return stamp(rows, load_ts)
+
+
+DATASETS = {
+    "daily_food": {"food_category": _dim("category"), "food_item": food_item},
+    "diet_recommendation": {
+        "disease": _dim("disease_type", BLANK_OR_NONE),
+        "allergy": _dim("allergies", BLANK_OR_NONE),
+        "preferred_cuisine": _dim("preferred_cuisine"),
+        "dietary_restriction": _dim("dietary_restrictions", BLANK_OR_NONE),
+        "diet_recommendation": _dim("diet_recommendation"),
+        "patient": patient,
+        "metrics": _of_patient("metrics", _METRICS),
+        "exercises": _of_patient("exercises", ("weekly_exercise_hours", "physical_activity_level")),
+        "diets": diets,
+    },
+    "exercise_db": {
+        "muscle": muscle,
+        "equipment": _dim("equipment"),
+        "exercise_category": _dim("category"),
+        "exercise": exercise,
+    },
+    "workout_session": {"workout_type": workout_type, "session": session},
+}
+
+
+def build(
+    dataset: str, raws: Sequence[DataFrame], load_ts: datetime | None = None, only: Sequence[str] = ()
+) -> dict[str, DataFrame]:
+    """The tables of a dataset (or `only` some) from its raw tables, with one load time."""
     return {
-        "workout_type": build_dim_union(
-            [(df, "workout_type") for df in sources.values()], load_ts=load_ts
-        ),
-        "session": stamp(session, load_ts),
+        name: table(*raws, load_ts=load_ts)
+        for name, table in DATASETS[dataset].items()
+        if not only or name in only
     }

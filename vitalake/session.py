@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # HotSpot does not compile methods over 8,000 bytes; past that, smaller generated methods win.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
