@@ -33,8 +33,26 @@ def test_missing_value_rules(spark):
 
 def test_matcher_is_anchored(spark):
     df = spark.createDataFrame([("loki",), ("loki-2",), ("",), (None,), ("api\n",)], "s string")
-    keep = rows(df.filter(values.matches("s", ".+", "loki|grafana")))
-    assert keep == [("loki-2",)]
+
+    def kept(include=None, exclude=None):
+        return rows(df.filter(values.matches("s", include, exclude)))
+
+    assert kept(".+", "loki|grafana") == [("api\n",), ("loki-2",)]
+    assert kept("lok.*") == [("loki",), ("loki-2",)]
+    assert kept("loki|x") == [("loki",)]
+    assert kept("(lo)?") == [("",), (None,)]
+    assert kept(None, "lok.*") == [("",), ("api\n",), (None,)]
+    assert kept(None, "(loki)?") == [("api\n",), ("loki-2",)]
+    assert len(kept()) == 5
+
+
+def test_words_equal_their_regular_expression(spark):
+    lines = ["ERRor", "wArn", "Warning!", "xpanicx", "fat al", "", "EXCEPTION", "pan\u0130c", "err\nor"]
+    df = spark.createDataFrame([(x,) for x in lines] + [(None,)], "line string")
+    for words in (values.ERROR_WORDS, values.WARN_WORDS, values.FATAL_WORDS):
+        pattern = "(?i)(" + "|".join(words) + ")"
+        got = df.select(values.line_holds("line", words).alias("w"), values.line_holds("line", pattern).alias("r"))
+        assert all(r.w == r.r for r in got.collect())
 
 
 def test_severity_overlaps(spark):

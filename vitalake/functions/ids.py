@@ -15,18 +15,24 @@ def as_col(col: ColumnLike) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def stable_id(*cols: ColumnLike) -> Column:
-    """60-bit id of one or more values: the first 15 hex digits of their md5, as a long.
+def id_text(*cols: ColumnLike) -> Column:
+    """The text that stands for one or more values in an id.
 
-    The same value in every engine that has md5. One column: NULL gives NULL. Several columns are
-    joined with a unit separator and a mark for NULL, so ('a', NULL) and ('a', '') differ.
+    One column: its text, NULL for NULL. Several are joined with a unit separator and a mark for
+    NULL, so ('a', NULL) and ('a', '') differ.
     """
     parts = [as_col(c).cast("string") for c in cols]
     if len(parts) == 1:
-        text = parts[0]
-    else:
-        text = F.concat_ws(_SEPARATOR, *[F.coalesce(p, F.lit(_NULL_MARK)) for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+        return parts[0]
+    return F.concat_ws(_SEPARATOR, *[F.coalesce(p, F.lit(_NULL_MARK)) for p in parts])
+
+
+def stable_id(*cols: ColumnLike) -> Column:
+    """60-bit id of one or more values: the first 15 hex digits of the md5 of their text, as a long.
+
+    The same value in every engine that has md5. A single NULL gives NULL.
+    """
+    return F.conv(F.substring(F.md5(id_text(*cols)), 1, 15), 16, 10).cast("long")
 
 
 def stable_ids(array: ColumnLike) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 from functools import reduce
 from typing import Any
@@ -48,14 +49,31 @@ def utc_label(ts: ColumnLike) -> Column:
     return F.date_format(as_col(ts), LABEL_FORMAT)
 
 
+_PLAIN = re.compile(r"[\w-]+(\|[\w-]+)*", re.ASCII)
+
+
+def _whole_match(col: Column, pattern: str) -> Column:
+    # Lists of names and 'anything' need no regular expression, and reach the scan as filters.
+    if pattern == ".+":
+        return col != ""
+    if _PLAIN.fullmatch(pattern):
+        return col.isin(*pattern.split("|"))
+    return col.rlike(rf"(?s)\A(?:{pattern})\z")
+
+
 def matches(col: ColumnLike, include: str | None = None, exclude: str | None = None) -> Column:
-    """Label matcher: the whole value must match `include` and must not match `exclude`."""
-    c = F.coalesce(as_col(col), F.lit(""))
+    """Label matcher: the whole value must match `include` and must not match `exclude`.
+
+    A label that is missing counts as the empty text.
+    """
+    c = as_col(col)
     tests = []
     if include is not None:
-        tests.append(c.rlike(rf"\A(?:{include})\z"))
+        missing = bool(re.fullmatch(include, ""))
+        tests.append(F.coalesce(_whole_match(c, include), F.lit(True)) if missing else _whole_match(c, include))
     if exclude is not None:
-        tests.append(~c.rlike(rf"\A(?:{exclude})\z"))
+        missing = bool(re.fullmatch(exclude, ""))
+        tests.append(F.coalesce(~_whole_match(c, exclude), F.lit(not missing)))
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 

@@ -49,7 +49,7 @@ def parse_logs(df: DataFrame, keep: Sequence[str], arrived: str = "arrived") ->
     its arrival time.
     """
     record = F.from_json("value", schemas.LOG_RECORD)
-    kept = df.filter(matches("meta_service", "|".join(keep))).withColumn("_record", record)
+    kept = df.filter(F.col("meta_service").isin(*keep)).withColumn("_record", record)
     return kept.select(
         F.coalesce(F.col("_record.time").try_cast("timestamp"), F.col(arrived)).alias("ts"),
         F.coalesce("_record.log", "value").alias("line"),

@@ -117,7 +117,8 @@ def scalar(parent: DataFrame, predicate: Column, value: str = "id") -> Column:
 
 def orphans(fact: DataFrame, dim: DataFrame, key: str, dim_key: str = "id") -> DataFrame:
     """Fact rows whose foreign key has no dimension row."""
-    known = dim.select(F.col(dim_key).alias("_known")).distinct()
+    # No distinct on the dimension: AQE splits a hot key only where both sides are plain shuffles.
+    known = dim.select(F.col(dim_key).alias("_known"))
     return fact.join(known, F.col(key) == F.col("_known"), "left_anti")
 
 

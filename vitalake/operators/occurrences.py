@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalake.functions.ids import stable_id
+from vitalake.functions.ids import id_text, stable_id
 
 _BLOCK = 10_000
 
@@ -19,21 +19,24 @@ def occurrence_id(df: DataFrame, tag: str, out: str = "id", block: int = _BLOCK)
     no task holds all copies of one row.
     """
     cols = df.columns
-    counts = df.groupBy(*cols).agg(F.count("*").alias("_n"))
+    # The text of a row is made once per distinct row; a copy then adds its number and is hashed.
+    content = id_text(F.lit(tag), *cols).alias("_content")
+    counts = df.groupBy(*cols).agg(F.count("*").alias("_n")).select(*cols, "_n", content)
     usual = counts.filter(F.col("_n") <= block).select(
-        *cols, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))).alias("_i")
+        *cols, "_content", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))).alias("_i")
     )
     last_block = F.floor((F.col("_n") - 1) / block).cast("bigint")
     first = F.col("_block") * block + 1
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hot = (
         counts.filter(F.col("_n") > block)
-        .select(*cols, "_n", F.explode(F.sequence(F.lit(0).cast("bigint"), last_block)).alias("_block"))
+        .select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last_block)).alias("_block"))
         .repartition(parts, "_block", *cols)
         .select(
             *cols,
+            "_content",
             F.explode(F.sequence(first, F.least(F.col("_n"), first + block - 1))).alias("_i"),
         )
     )
     numbered = usual.unionByName(hot)
-    return numbered.select(stable_id(F.lit(tag), *cols, F.col("_i")).alias(out), *cols)
+    return numbered.select(stable_id("_content", F.col("_i")).alias(out), *cols)

@@ -15,7 +15,15 @@ from vitalake import schemas
 from vitalake.plans import serving, warehouse
 from vitalake.sources.landing import external_sources, land_all, land_export
 from vitalake.sources.tolerance import tolerate
-from vitalake.sources.versions import VersionNotFound, read_tables, read_version, write_tables
+from vitalake.session import bytes_under, size_shuffles
+from vitalake.sources.versions import (
+    VersionNotFound,
+    dataset_path,
+    read_tables,
+    read_version,
+    resolve,
+    write_tables,
+)
 
 EXTERNAL, API, RAW, WAREHOUSE, SERVING = "raw/external", "raw/api", "warehouse/raw", "warehouse", "serving"
 WAREHOUSE_DATASETS = tuple(warehouse.DATASETS)
@@ -99,6 +107,22 @@ def load_serving_dataset(
     return {"skipped": skipped}
 
 
+def _size_for(spark: SparkSession, root: str, names: Iterable[tuple[str, str]]) -> None:
+    """Fit the shuffles to the largest of the landed datasets, before the loads start side by side."""
+    sizes = [0]
+    for section, name in names:
+        base = dataset_path(root, section, name)
+        try:
+            label, _ = resolve(spark, base)
+        except VersionNotFound:
+            continue
+        sizes.append(bytes_under(spark, f"{base}/{label}"))
+    size_shuffles(spark, max(sizes))
+
+
+_LANDED = [(EXTERNAL, d) for d in ("daily_food", "diet_recommendation", "exercise", "workout_session")]
+
+
 def _in_parallel(names: Iterable[str], job: Callable[[str], object]) -> dict[str, object]:
     """Independent loads side by side, so that the tail of one does not idle the cluster."""
     names = list(names)
@@ -110,6 +134,7 @@ def load_warehouse(spark: SparkSession, root: str, load_ts: datetime | None = No
                    datasets: Iterable[str] = WAREHOUSE_DATASETS) -> dict[str, object]:
     """Reload the warehouse datasets, all with one load time."""
     load_ts = load_ts or _now()
+    _size_for(spark, root, [*_LANDED, (API, "workout_session")])
     return _in_parallel(datasets, lambda d: load_warehouse_dataset(spark, root, d, load_ts, label))
 
 
@@ -117,6 +142,7 @@ def load_serving(spark: SparkSession, root: str, load_ts: datetime | None = None
                  datasets: Iterable[str] = SERVING_DATASETS, enums: serving.Enums | None = None):
     """Merge the serving datasets, all with one load time."""
     load_ts = load_ts or _now()
+    _size_for(spark, root, _LANDED)
     return _in_parallel(datasets, lambda d: load_serving_dataset(spark, root, d, load_ts, label, enums))
 
 

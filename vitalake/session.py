@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 # UTC so that labels and windows do not depend on the machine; ANSI so that a bad cast is an
 # error and not a silent NULL; AQE so that partition counts, broadcast and skew splits follow
@@ -43,6 +44,27 @@ def local_session(cores: int | str = 8, name: str = "vitalake", memory: str = "1
     return spark
 
 
+# Bytes of input per shuffle partition: a partition then sorts in the memory of one task.
+SHUFFLE_BYTES = 256 * 1024**2
+
+
+def bytes_under(spark: SparkSession, path: str) -> int:
+    """Size of the files under a path, from the file listing: no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.agg(F.sum("length")).first()[0] or 0
+
+
+def size_shuffles(spark: SparkSession, input_bytes: int, per_partition: int = SHUFFLE_BYTES) -> int:
+    """Raise the number of shuffle partitions to fit an input; AQE merges those that end up small.
+
+    AQE splits no partition but those of skewed joins, so too few of them is what it cannot mend.
+    """
+    wanted = -(-input_bytes // per_partition)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), wanted)
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    return parts
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """Folder `name` under the shared folder the cluster names in spark.checkpoint.dir."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -47,9 +47,10 @@ def read_csv(
         F.col(f"`{f.name}`") if f.name in header else F.lit(None).cast(f.dataType).alias(f.name)
         for f in schema.fields
     ]
-    # Without column pruning a row is bad or good whatever columns the caller asks for.
-    reader = _csv_reader(spark, multiline).option("enforceSchema", False).option("columnPruning", False)
+    reader = _csv_reader(spark, multiline).option("enforceSchema", False)
     if corrupt:
+        # Without column pruning a row is bad or good whatever columns the caller asks for.
+        reader = reader.option("columnPruning", False)
         fields = [*fields, T.StructField(CORRUPT, T.StringType())]
         out = [*out, F.col(CORRUPT)]
         reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
