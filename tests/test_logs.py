@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vitalake.functions.values import ERROR_WORDS
 from vitalake.operators import logs
+from vitalake.plans import dashboards
 from vitalake.session import shared_dir
 from vitalake.streaming import log_streams
 
@@ -193,4 +194,47 @@ def test_shared_folder_comes_from_the_session():
 
     assert shared_dir(Session({"spark.checkpoint.dir": "hdfs:/shared/"}), "streams/x") == "hdfs:/shared/streams/x"
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared_dir(Session({}), "x")
+        shared_dir(Session({"spark.master": "yarn"}), "x")
+    assert shared_dir(Session({"spark.master": "local[2]"}), "x").endswith("/x")
+
+
+def test_sample_streams_equal_batch(spark, tmp_path):
+    df = spark.createDataFrame([(T0 + timedelta(seconds=s), j, v) for j, s, v in SAMPLES],
+                               log_streams.SAMPLE_SCHEMA)
+    source = str(tmp_path / "in")
+    df.repartition(3).write.json(source)
+
+    def streamed(name, build, keys):
+        out = str(tmp_path / name)
+        stream = log_streams.open_json(spark, source, log_streams.SAMPLE_SCHEMA, 1)
+        query = log_streams.start_measure(build(stream), out, name, keys, str(tmp_path / f"{name}-cp"), once=True)
+        query.awaitTermination(300)
+        return log_streams.read_measure(spark, out, keys)
+
+    status = streamed("status", logs.service_status, ["job"])
+    assert rows(status, "job", "last", "status") == rows(logs.service_status(df), "job", "last", "status")
+    cols = ["job", "window_end", "last", "up_ratio"]
+    up = streamed("up", lambda s: logs.availability(logs.watermark(s), "a|b", MIN), cols[:2])
+    assert rows(up, *cols) == rows(logs.availability(df, "a|b", MIN), *cols)
+
+
+def test_panels(lines, spark):
+    df = spark.createDataFrame([(T0 + timedelta(seconds=s), j, v) for j, s, v in SAMPLES],
+                               "ts timestamp, job string, value double")
+    summary = dashboards.log_summary(lines, T0, 5 * MIN).first()
+    assert (summary.total, summary.errors, summary.warnings, summary.fatals) == (5, 4, 1, 1)
+    assert (summary.errors_band, summary.warnings_band, summary.fatals_band, summary.total_band) == (
+        "orange", "yellow", "red", "blue",
+    )
+    empty = dashboards.log_summary(lines, T0, 5 * MIN, service="nobody").first()
+    assert (empty.total, empty.errors, empty.errors_band) == (0, 0, "green")
+    panels = dashboards.container_logs(lines, T0, timedelta(hours=1), service="api")
+    assert rows(panels["services"]) == [("api",), ("gateway",)]
+    assert rows(panels["containers"]) == [("stack-api-1",)]
+    assert panels["errors"].count() == 4 and panels["lines"].count() == 5
+    assert [r.max_rate for r in panels["rate_legend"].collect()] == [pytest.approx(4 / 300)]
+    over = dashboards.overview(lines, df, T0)
+    assert rows(over["status"], "job", "band") == [("a", "green"), ("b", "green"), ("d", "green")]
+    assert rows(over["availability_legend"], "job", "last_last") == [("a", 1.0), ("b", 1.0), ("d", 2.0)]
+    assert over["errors_by_service"].filter("band = 'green'").count() == 0
+    assert over["errors_legend"].count() == 2

@@ -3,6 +3,8 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from vitalake.ml import models
+from vitalake.plans import training
+from vitalake.sources import versions
 
 
 @pytest.fixture(scope="module")
@@ -48,3 +50,26 @@ def test_gym_and_diet_models(spark):
     diet = models.boosted_classes(df, models.DIET_NUMBERS, models.DIET_CLASSES, "diet_recommendation", trees=3, depth=3)
     hit = models.score(df, diet).agg(F.avg((F.col("prediction") == F.col("diet_recommendation")).cast("int"))).first()[0]
     assert hit > 0.95
+
+
+def test_training_from_the_warehouse(spark, sessions, tmp_path):
+    root = str(tmp_path / "lake")
+    typed = sessions.withColumns({"workout_type_name": F.lit("Yoga"), "source": F.lit("api")})
+    versions.write_tables({"session": typed}, root, "warehouse", "workout_session")
+    training.train(spark, root, "exercise_duration")
+    scored = training.score_latest(spark, root, "exercise_duration", typed)
+    assert scored.agg(F.max(F.abs(F.col("prediction") - F.col("duration_hours")))).first()[0] < 1e-6
+    with pytest.raises(ValueError, match="features not in the frame: bmi"):
+        training.score_latest(spark, root, "exercise_duration", typed.drop("bmi"))
+
+    numbers = dict.fromkeys(models.GYM_NUMBERS)
+    raw = spark.range(80).select(
+        *[(F.rand(i) * 10).cast("float").alias(c) for i, c in enumerate(numbers)],
+        F.lit("Male").alias("gender"),
+        F.lit("Yoga").alias("workout_type"),
+        F.when(F.col("id") == 0, "bad").alias("_corrupt"),
+    )
+    raw = raw.withColumn("calories_burned", F.col("age") * 10)
+    versions.write_version(raw, root, "warehouse/raw", "workout_csv")
+    training.train(spark, root, "gym")
+    assert training.score_latest(spark, root, "gym", raw).count() == 80

@@ -7,9 +7,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from vitalake import schemas
-from vitalake.operators.clean import marker_counts, starts_with
+from vitalake.operators.clean import delete_in, marker_counts, starts_with
+from vitalake.operators.lookups import insert_from, scalar
+from vitalake.operators.merge import insert_if_absent
+from vitalake.plans.runs import backup_services
 from vitalake.sources import readers, versions
-from vitalake.sources.backup import backup, restore
+from vitalake.sources.backup import restore
 from vitalake.sources.landing import external_sources, land_all, land_export
 from vitalake.sources.tolerance import TooManyBadRows, tolerate
 
@@ -133,36 +136,96 @@ def test_land_export(spark, tmp_path):
         land_export(spark, "x", "unknown", root)
 
 
+MARK = "BACKUP_TEST_"
+
+
+def seeded(spark):
+    """Two services with marker rows, built the way the seed script does."""
+    user = spark.createDataFrame([(3, "BACKUPXTESTX_eve@x", "Eve")], "id long, email string, name string")
+    new = spark.createDataFrame(
+        [(1, MARK + "alice@x", MARK + "Alice"), (2, MARK + "bob@x", MARK + "Bob"), (9, "BACKUPXTESTX_eve@x", "again")],
+        user.schema,
+    )
+    user = insert_if_absent(user, new, ["email"])
+    post = spark.createDataFrame([], "title string, content string, published boolean, author_id long")
+    post = insert_from(
+        post, user, F.col("email") == MARK + "alice@x",
+        {"title": F.lit(MARK + "Post_Alice"), "published": F.lit(True), "author_id": F.col("id")},
+    )
+    kind = spark.createDataFrame([(1, "Run"), (5, MARK + "Yoga")], "id long, name string")
+    member = spark.createDataFrame([(1, "Male", 1.78)], "id long, gender string, height_m double")
+    snapshot = spark.createDataFrame([(1, 1, 30, 75.0)], "id long, member_id long, age int, weight_kg double")
+    session = spark.range(1).select(
+        F.lit(1).cast("bigint").alias("snapshot_id"),
+        scalar(kind, F.col("name") == MARK + "Yoga").alias("workout_type_id"),
+        F.lit(1.5).alias("duration_hours"),
+    )
+    return {
+        "accounts": {"user": user, "post": post},
+        "tracking": {"workout_type": kind, "member": member, "snapshot": snapshot, "session": session},
+    }
+
+
+def counts(tables):
+    return {
+        service: tuple(marker_counts(frames(tables[service])).first())
+        for service, frames in {
+            "accounts": lambda t: {
+                "users": (t["user"], starts_with("email", MARK)),
+                "posts": (t["post"], starts_with("title", MARK)),
+                "all_users": (t["user"], None),
+            },
+            "tracking": lambda t: {
+                "types": (t["workout_type"], starts_with("name", MARK)),
+                "members": (t["member"], None),
+                "sessions": (t["session"], None),
+            },
+        }.items()
+    }
+
+
 def test_seed_backup_wipe_restore_verify(spark, tmp_path):
     """The manual drill: marker rows are gone after the wipe and back after the restore."""
     root = str(tmp_path / "lake")
-    target = f"{root}/serving/accounts"
-    users = spark.createDataFrame(
-        [(1, "BACKUP_TEST_alice@x"), (2, "BACKUP_TEST_bob@x"), (3, "BACKUPXTESTX_eve@x")], "id long, email string"
-    )
-    posts = spark.createDataFrame([(1, "BACKUP_TEST_Post", 1)], "id long, title string, author_id long")
-    versions.write_tables({"user": users, "post": posts}, root, "serving", "accounts", "2026-01-01T00-00-00Z")
-
-    def marks(tables):
-        return marker_counts(
+    first, second = "2026-01-01T00-00-00Z", "2026-01-02T00-00-00Z"
+    services = seeded(spark)
+    for name, tables in services.items():
+        versions.write_tables(tables, root, "serving", name, first)
+    now = {name: versions.read_tables(spark, root, "serving", name) for name in services}
+    full = {"accounts": (2, 1, 3), "tracking": (1, 1, 1)}
+    assert counts(now) == full
+    assert now["tracking"]["session"].first().workout_type_id == 5
+    assert now["accounts"]["post"].first().author_id == 1
+    backup_services(now, root, first)
+
+    wiped = {
+        "accounts": delete_in(
+            {"user": (now["accounts"]["user"], starts_with("email", MARK)), "post": (now["accounts"]["post"], None)}
+        ),
+        "tracking": delete_in(
             {
-                "users": (tables["user"], starts_with("email", "BACKUP_TEST_")),
-                "posts": (tables["post"], starts_with("title", "BACKUP_TEST_")),
-                "all_users": (tables["user"], None),
+                name: (df, starts_with("name", MARK) if name == "workout_type" else None)
+                for name, df in now["tracking"].items()
             }
-        ).first()
-
-    now = versions.read_tables(spark, root, "serving", "accounts")
-    backup(now, root, "accounts", "2026-01-01T03-00-00Z")
-    versions.write_tables(
-        {"user": now["user"].filter(~starts_with("email", "BACKUP_TEST_")), "post": now["post"].limit(0)},
-        root, "serving", "accounts", "2026-01-02T00-00-00Z",
-    )
-    wiped = versions.read_tables(spark, root, "serving", "accounts")
-    assert tuple(marks(wiped)) == (0, 0, 1)
-    backup(wiped, root, "accounts", "2026-01-02T03-00-00Z")
-    assert tuple(marks(restore(spark, root, "accounts", "2026-01-01T03-00-00Z", target))) == (2, 1, 3)
-    assert tuple(marks(versions.read_tables(spark, root, "serving", "accounts"))) == (2, 1, 3)
-    assert tuple(marks(restore(spark, root, "accounts"))) == (0, 0, 1)
-    import glob
-    assert glob.glob(f"{root}/backups/accounts/2026-01-01T03-00-00Z/user/*.gz.parquet")
+        ),
+    }
+    for name, tables in wiped.items():
+        versions.write_tables(tables, root, "serving", name, second)
+    gone = {name: versions.read_tables(spark, root, "serving", name) for name in services}
+    assert counts(gone) == {"accounts": (0, 0, 1), "tracking": (0, 0, 0)}
+    backup_services(gone, root, second)
+
+    back = {name: restore(spark, root, name, first, f"{root}/serving/{name}") for name in services}
+    assert counts(back) == full
+    assert counts({name: versions.read_tables(spark, root, "serving", name) for name in services}) == full
+    assert counts({name: restore(spark, root, name) for name in services}) == counts(gone)
+    assert list((tmp_path / "lake" / "backups" / "accounts" / first / "user").glob("*.gz.parquet"))
+
+
+def test_json_bad_element(spark, tmp_path):
+    broken = [*EXERCISES, {"id": "z", "name": "Bad", "primaryMuscles": "no list"}]
+    (tmp_path / "e.jsonl").write_text("\n".join([*(json.dumps(e) for e in broken), "{not json"]))
+    df = readers.read_json(spark, str(tmp_path / "e.jsonl"), schemas.EXERCISE, lines=True, corrupt=True, seq=True)
+    df.write.parquet(str(tmp_path / "raw"))
+    good, bad = tolerate(spark.read.parquet(str(tmp_path / "raw")))
+    assert rows(good, "id") == [("a",), ("b",)] and bad.count() == 2

@@ -123,7 +123,9 @@ def boosted_classes(
         *_scaled(numbers),
         *(_one_hot(classes) if classes else []),
         VectorAssembler(inputCols=features, outputCol="_features"),
-        OneVsRest(classifier=booster, featuresCol="_features", labelCol="_label", predictionCol="_class"),
+        OneVsRest(
+            classifier=booster, featuresCol="_features", labelCol="_label", predictionCol="_class", parallelism=4
+        ),
     ]
     fitted = Pipeline(stages=stages).fit(labels.transform(df.filter(df[target].isNotNull())))
     names = IndexToString(inputCol="_class", outputCol="prediction", labels=labels.labels)

@@ -105,6 +105,14 @@ def delete_where(df: DataFrame, predicate: Column) -> DataFrame:
     return df.filter(~F.coalesce(predicate, F.lit(False)))
 
 
+def delete_in(frames: Mapping[str, tuple[DataFrame, Column | None]]) -> dict[str, DataFrame]:
+    """`delete_where` over several tables; a predicate of None deletes every row of a table."""
+    return {
+        name: delete_where(df, F.lit(True) if predicate is None else predicate)
+        for name, (df, predicate) in frames.items()
+    }
+
+
 def marker_counts(frames: Mapping[str, tuple[DataFrame, Column | None]]) -> DataFrame:
     """Several scalar counts in one row: per name the rows of a frame where the test holds.
 

@@ -115,6 +115,19 @@ def scalar(parent: DataFrame, predicate: Column, value: str = "id") -> Column:
     return parent.filter(predicate).select(value).scalar()
 
 
+def insert_from(
+    target: DataFrame, parent: DataFrame, predicate: Column, values: Mapping[str, Column]
+) -> DataFrame:
+    """INSERT .. SELECT: one new row per parent row that meets the predicate.
+
+    Columns of the target that `values` does not name are NULL.
+    """
+    cols = [
+        values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in target.schema.fields
+    ]
+    return target.unionByName(parent.filter(predicate).select(*cols))
+
+
 def orphans(fact: DataFrame, dim: DataFrame, key: str, dim_key: str = "id") -> DataFrame:
     """Fact rows whose foreign key has no dimension row."""
     # No distinct on the dimension: AQE splits a hot key only where both sides are plain shuffles.

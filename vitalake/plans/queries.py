@@ -21,7 +21,7 @@ from vitalake.functions.ids import stable_id, stable_ids
 from vitalake.ml import models
 from vitalake.operators import clean, dims, logs, lookups, merge
 from vitalake.operators.occurrences import occurrence_id
-from vitalake.plans import serving, warehouse
+from vitalake.plans import dashboards, serving, warehouse
 from vitalake.session import configure, shared_dir
 from vitalake.sources import backup as backups
 from vitalake.sources import readers, tolerance, versions
@@ -411,6 +411,19 @@ def _(t):
     )
 
 
+@query(
+    "insert_from_parent",
+    """SELECT s_suppkey AS id, s_name AS title, s_acctbal AS amount FROM supplier
+       UNION ALL SELECT c_custkey, 'about ' || c_name, NULL FROM customer WHERE c_mktsegment = 'BUILDING'""",
+)
+def _(t):
+    target = t.supplier.select(
+        F.col("s_suppkey").alias("id"), F.col("s_name").alias("title"), F.col("s_acctbal").alias("amount")
+    )
+    new = {"id": F.col("c_custkey"), "title": F.concat(F.lit("about "), "c_name")}
+    return lookups.insert_from(target, t.customer, F.col("c_mktsegment") == "BUILDING", new)
+
+
 @query(
     "orphan_fk",
     """SELECT o_orderkey, o_custkey FROM orders
@@ -615,6 +628,21 @@ def _(t):
     return logs.count_over_time(log_lines(t), AS_OF, _DAY, (*values.WARN_WORDS, "purchase"), by=["compose_service"])
 
 
+@query(
+    "log_summary",
+    f"""SELECT *, CASE WHEN errors >= 10 THEN 'red' WHEN errors >= 1 THEN 'orange' ELSE 'green' END AS errors_band,
+        CASE WHEN warnings >= 10 THEN 'orange' WHEN warnings >= 1 THEN 'yellow' ELSE 'green' END AS warnings_band,
+        CASE WHEN total >= 1 THEN 'blue' ELSE 'green' END AS total_band,
+        CASE WHEN fatals >= 1 THEN 'red' ELSE 'green' END AS fatals_band FROM (SELECT
+        count(*) FILTER (regexp_matches(line, '(error|exception|fatal|panic)', 'i')) AS errors,
+        count(*) FILTER (regexp_matches(line, '(warn|warning)', 'i')) AS warnings,
+        count(*) FILTER (regexp_matches(line, '(fatal|panic)', 'i')) AS fatals, count(*) AS total FROM {_LINES}
+        WHERE {_RANGE} AND regexp_full_match(compose_service, 'svc-[0-5]') AND NOT regexp_full_match(compose_service, 'svc-3'))""",
+)
+def _(t):
+    return dashboards.log_summary(log_lines(t), AS_OF, _DAY, "svc-[0-5]", "svc-3")
+
+
 def _series_sql(where: str = "true", span_steps: int = 5) -> str:
     # A line counts in every range (at - 5 min, at] on whole minutes.
     return f"""SELECT compose_service, first_at + to_minutes(i) AS window_end, count(*) AS n FROM (SELECT *,

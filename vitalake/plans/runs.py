@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vitalake import schemas
 from vitalake.plans import serving, warehouse
+from vitalake.session import bytes_under, size_shuffles
+from vitalake.sources.backup import backup
 from vitalake.sources.landing import external_sources, land_all, land_export
 from vitalake.sources.tolerance import tolerate
-from vitalake.session import bytes_under, size_shuffles
 from vitalake.sources.versions import (
     VersionNotFound,
     dataset_path,
@@ -146,6 +147,11 @@ def load_serving(spark: SparkSession, root: str, load_ts: datetime | None = None
     return _in_parallel(datasets, lambda d: load_serving_dataset(spark, root, d, load_ts, label, enums))
 
 
+def backup_services(services: dict[str, dict[str, DataFrame]], root: str, label: str | None = None):
+    """Snapshot the tables of several services, {service: {table: frame}}."""
+    return _in_parallel(services, lambda name: backup(services[name], root, name, label))
+
+
 def run_all(spark: SparkSession, folder: str, exports: dict[str, str], root: str,
             load_ts: datetime | None = None, label: str | None = None) -> dict[str, object]:
     """Land everything, then load the warehouse and the serving store."""

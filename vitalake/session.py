@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -66,8 +68,13 @@ def size_shuffles(spark: SparkSession, input_bytes: int, per_partition: int = SH
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """Folder `name` under the shared folder the cluster names in spark.checkpoint.dir."""
+    """Folder `name` under the shared folder the cluster names in spark.checkpoint.dir.
+
+    Only a session on this machine alone may go without that setting; it gets a new local folder.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        raise ValueError("spark.checkpoint.dir is not set; pass an explicit shared folder")
+        if not (spark.conf.get("spark.master", None) or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set; it must name a folder all executors share")
+        root = tempfile.mkdtemp(prefix="vitalake-")
     return f"{root.rstrip('/')}/{name}"
