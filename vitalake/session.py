@@ -38,6 +38,8 @@ def local_session(cores: int | str = 8, name: str = "vitalake", memory: str = "1
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Call sites of columns are kept for error messages only, and cost a third of planning.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
