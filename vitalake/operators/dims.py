@@ -57,10 +57,6 @@ def build_dim_arrays(
     return _with_id(array_names(df, cols, tokens), load_ts)
 
 
-def empty_dim(spark) -> DataFrame:
-    return spark.createDataFrame([], DIM_SCHEMA)
-
-
 def upsert_dim(existing: DataFrame, names: DataFrame, load_ts: datetime | None = None) -> DataFrame:
     """Add new names, keep the id and creation time of known ones, refresh their updated_at.
 

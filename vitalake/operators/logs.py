@@ -123,15 +123,19 @@ def count_series(
             .agg(F.count("*").alias("n"))
             .select(*by, F.col("w.end").alias("window_end"), "n")
         )
-    buckets = (
-        rows.groupBy(*by, F.window(before(ts), _seconds(step)).alias("w"))
-        .agg(F.count("*").alias("n"))
-        .select(*by, F.col("w.end").alias("first_at"), "n")
+    # Whole microseconds: the first range end at or after a time t is t + pmod(-t, step).
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    every = step // timedelta(microseconds=1)
+    first_end = (micros + F.pmod(-micros, F.lit(every))).alias("_end")
+    buckets = rows.groupBy(*by, first_end).agg(F.count("*").alias("n"))
+    ends = F.array(*[F.col("_end") + i * every for i in range(span // step)])
+    spread = buckets.select(*by, F.explode(ends).alias("_end"), "n")
+    kind = dict(df.dtypes)[ts]
+    return (
+        spread.groupBy(*by, "_end")
+        .agg(F.sum("n").alias("n"))
+        .select(*by, F.timestamp_micros("_end").cast(kind).alias("window_end"), "n")
     )
-    reach = (span - step).total_seconds()
-    ends = f"sequence(first_at, first_at + INTERVAL {reach} SECOND, INTERVAL {step.total_seconds()} SECOND)"
-    spread = buckets.select(*by, F.explode(F.expr(ends)).alias("window_end"), "n")
-    return spread.groupBy(*by, "window_end").agg(F.sum("n").alias("n"))
 
 
 def before(ts: str) -> Column:
@@ -221,7 +225,7 @@ def service_status(samples: DataFrame, by: str = "job", value: str = "value", or
 def availability(
     samples: DataFrame,
     jobs: str = ".+",
-    step: timedelta = timedelta(minutes=1),
+    step: timedelta = SAMPLE_STEP,
     by: str = "job",
     value: str = "value",
     order: Sequence[str] = ("ts",),
