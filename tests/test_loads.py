@@ -6,10 +6,13 @@ from datetime import timedelta
 
 import pytest
 from conftest import LOAD_TS, rows
-from fixtures import DIET, csv_text, write_folder
+from fixtures import DIET, FOOD, csv_text, write_folder
+from pyspark.sql import functions as F
 
+from vitalake import schemas
 from vitalake.operators.lookups import orphan_keys
-from vitalake.plans import runs
+from vitalake.plans import runs, serving, warehouse
+from vitalake.sources.tolerance import TooManyBadRows
 from vitalake.sources.versions import VersionNotFound, read_tables, read_version
 
 
@@ -182,3 +185,43 @@ def test_enum_fails_whole(spark, lake, tmp_path):
     runs.dump_external(spark, str(lake[2]), root)
     with pytest.raises(Exception, match="meal_type: value not allowed"):
         runs.load_serving_dataset(spark, root, "food_item", LOAD_TS, enums={"meal_type": ["Breakfast", "Lunch"]})
+
+
+def test_loads_do_not_depend_on_order_or_partitions(spark, lake):
+    """The place of a row in its file decides, not the place in the frame."""
+    root = lake[0]
+    label = "2026-06-17T03-00-00Z"
+    frames = {
+        "daily_food": lambda df: [warehouse.raw_csv(df, schemas.DAILY_FOOD).filter("_corrupt is null")],
+        "diet_recommendation": lambda df: [warehouse.raw_csv(df, schemas.DIET).filter("_corrupt is null")],
+        "exercise": lambda df: [warehouse.raw_exercise(df)],
+        "workout_session": lambda df: [warehouse.raw_csv(df, schemas.WORKOUT)] * 2,
+    }
+    for source, raws in frames.items():
+        landed = read_version(spark, root, "raw/external", source, label)
+        shuffled = landed.orderBy(F.rand(7)).repartition(5)
+        dataset = "exercise_db" if source == "exercise" else source
+        one = warehouse.build(dataset, raws(landed), LOAD_TS)
+        two = warehouse.build(dataset, raws(shuffled), LOAD_TS)
+        for name in one:
+            assert rows(one[name]) == rows(two[name]), name
+    for source, dataset in (("daily_food", "food_item"), ("exercise", "exercise"), ("diet_recommendation", "diet")):
+        landed = read_version(spark, root, "raw/external", source, label)
+        one = serving.build(dataset, landed, {}, LOAD_TS)
+        two = serving.build(dataset, landed.repartition(5).orderBy(F.rand(3)), {}, LOAD_TS)
+        for name in one:
+            assert rows(one[name]) == rows(two[name]), name
+
+
+def test_too_many_bad_rows_stop_a_load(spark, tmp_path):
+    header, lines = FOOD
+    bad = [f"Food {i},Dairy,many,1,1,1,1,1,1,1,Snack,1" for i in range(101)]
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "daily_food_nutrition_dataset.csv").write_text(csv_text((header, [*lines, *bad])))
+    root = str(tmp_path / "lake")
+    runs.dump_external(spark, str(folder), root)
+    with pytest.raises(TooManyBadRows):
+        runs.load_warehouse_dataset(spark, root, "daily_food", LOAD_TS)
+    with pytest.raises(VersionNotFound):
+        read_tables(spark, root, "warehouse", "daily_food")

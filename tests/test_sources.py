@@ -65,7 +65,10 @@ def test_absent_and_header_only(spark, tmp_path):
     absent = readers.read_or_empty(spark, str(tmp_path / "none.csv"), schema, corrupt=True, seq=True)
     (tmp_path / "h.csv").write_text(",".join(schema.names) + "\n")
     header = readers.read_or_empty(spark, str(tmp_path / "h.csv"), schema, corrupt=True, seq=True)
-    assert absent.count() == header.count() == 0
+    (tmp_path / "e.csv").write_text("")
+    empty = readers.read_or_empty(spark, str(tmp_path / "e.csv"), schema, corrupt=True, seq=True)
+    assert absent.count() == header.count() == empty.count() == 0
+    assert empty.columns == header.columns
     assert absent.columns == header.columns
     assert [f.dataType for f in absent.schema][:15] == [f.dataType for f in header.schema][:15]
 
