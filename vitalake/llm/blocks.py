@@ -102,6 +102,12 @@ def joined(column: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts) if parts else np.zeros(0, kind), np.array([len(p) for p in parts], np.int64)
 
 
+def unpacked(column: pa.ChunkedArray, lengths: np.ndarray) -> np.ndarray:
+    """Flags of all rows of a column of packed bits."""
+    parts = zip(column.to_pylist(), lengths, strict=True)
+    return np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in parts]).astype(bool)
+
+
 def bits(flags: np.ndarray, lengths: np.ndarray) -> list[bytes]:
     """Flags cut into the given lengths, packed."""
     return [np.packbits(part).tobytes() for part in np.split(flags, np.cumsum(lengths)[:-1])]

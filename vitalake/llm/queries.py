@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalake.llm import decontaminate, packing, quality, secrets, substrings
+from vitalake.llm import decontaminate, neardup, packing, quality, secrets, substrings, suffixes
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -26,6 +26,10 @@ def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, folder, "documents")).drop("kept_text")
 
 
+def minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.groups(table(spark, folder, "documents"))
+
+
 def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return decontaminate.digest(decontaminate.contamination(docs, table(spark, folder, "benchmark")))
@@ -36,6 +40,10 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.rate(docs, quality.train(docs, table(spark, folder, "labels"))).drop("text")
 
 
+def suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, folder, "documents")).drop("kept")
+
+
 def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, folder, "documents").select("doc_id", "text")))
 
@@ -46,8 +54,10 @@ def packed(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup,
+    "op2_minhash_dedup": minhash_dedup,
     "op4_decontamination": decontamination,
     "op5_quality_rules": quality_rules,
+    "op7_suffix_dedup": suffix_dedup,
     "op8_secret_scan": secret_scan,
     "op9_packing": packed,
 }

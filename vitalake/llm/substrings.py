@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from vitalake.llm.arrays import U, Fields, Words, covered, mixed, seeded
-from vitalake.llm.blocks import BUCKET, Block, Keys, bits, dealt, found_twice, joined, text_bytes
+from vitalake.llm.blocks import BUCKET, Block, Keys, bits, dealt, found_twice, joined, text_bytes, unpacked
 
 SIZE = 20
 #: A perfect difference set: every remainder modulo 13 is a difference of two of its members.
@@ -90,11 +90,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, text: str = "text") -> Dat
 
     def judge(table: pa.Table) -> pa.Table:
         keys, lengths = joined(table.column("keys"), np.uint32)
-        several = [
-            np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool)
-            for x, n in zip(table.column("several").to_pylist(), lengths, strict=True)
-        ]
-        flags = bits(found_twice(keys, np.concatenate(several)), lengths)
+        flags = bits(found_twice(keys, unpacked(table.column("several"), lengths)), lengths)
         blocks, bucket = table.column("block").to_pylist(), table.column("bucket")[0].as_py()
         return TOLD.table([(block, 1, bucket, flag) for block, flag in zip(blocks, flags, strict=True)])
 
