@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalake.llm import decontaminate, neardup, packing, quality, secrets, substrings, suffixes
+from vitalake.llm import decontaminate, neardup, packing, quality, secrets, substrings, suffixes, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -52,6 +52,12 @@ def packed(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_path())
 
 
+def toxic(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup,
     "op2_minhash_dedup": minhash_dedup,
@@ -60,5 +66,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_suffix_dedup": suffix_dedup,
     "op8_secret_scan": secret_scan,
     "op9_packing": packed,
+    "op10_toxicity": toxic,
 }
 SQL: dict[str, str] = {}
