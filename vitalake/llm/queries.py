@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalake.llm import decontaminate, neardup, packing, quality, secrets, substrings, suffixes, toxicity
+from vitalake.llm import decontaminate, language, neardup, packing, quality, secrets, substrings, suffixes, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -40,6 +40,10 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.rate(docs, quality.train(docs, table(spark, folder, "labels"))).drop("text")
 
 
+def maxent_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return language.score(table(spark, folder, "documents"))
+
+
 def suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, folder, "documents")).drop("kept")
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_dedup": minhash_dedup,
     "op4_decontamination": decontamination,
     "op5_quality_rules": quality_rules,
+    "op6_maxent_lm": maxent_lm,
     "op7_suffix_dedup": suffix_dedup,
     "op8_secret_scan": secret_scan,
     "op9_packing": packed,

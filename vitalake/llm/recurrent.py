@@ -194,8 +194,10 @@ def train(column, labels: np.ndarray, epochs: int = 8, rate: float = 0.01, least
     """A network for texts of which only the whole is labelled.
 
     A text's label is that of its most telling window. At first that is the one with the highest sum of
-    its words' log odds; after each two epochs it is the one that the network scores highest. Texts
-    without the mark also give two windows at random. Words of `least` texts or more are the vocabulary.
+    its words' log odds; after each two epochs it is the one that the network scores highest, and texts
+    whose label the network then finds very unlikely (under 5 %) are left out as mislabelled until it has
+    changed its view. Texts without the mark also give two windows at random. Words of `least` texts or
+    more are the vocabulary.
     """
     vocabulary = Vocabulary(column)
     words, random = vocabulary.words, np.random.default_rng(seed)
@@ -221,6 +223,8 @@ def train(column, labels: np.ndarray, epochs: int = 8, rate: float = 0.01, least
             telling = network.score(vocabulary, start, length)
         order = np.lexsort((telling, row))
         best = order[np.append(np.flatnonzero(np.diff(row[order])), len(order) - 1)]
+        if epoch > 1:
+            best = best[np.where(labels[row[best]] > 0, telling[best], -telling[best]) > -3]
         extra = random.choice(others, min(len(others), 2 * int((labels == 0).sum())), replace=False)
         chosen = random.permutation(np.concatenate([best, extra]))
         for low in range(0, len(chosen), 128):
