@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalake.llm import decontaminate, language, neardup, packing, quality, secrets, substrings, suffixes, toxicity
+from vitalake.llm import decontaminate, language, neardup, packing, quality, revisits, secrets, substrings, suffixes, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -30,6 +30,10 @@ def minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.groups(table(spark, folder, "documents"))
 
 
+def warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    return revisits.digest(revisits.resolve(revisits.captures(table(spark, folder, "pages"))))
+
+
 def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return decontaminate.digest(decontaminate.contamination(docs, table(spark, folder, "benchmark")))
@@ -65,6 +69,7 @@ def toxic(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup,
     "op2_minhash_dedup": minhash_dedup,
+    "op3_warc_revisits": warc_revisits,
     "op4_decontamination": decontamination,
     "op5_quality_rules": quality_rules,
     "op6_maxent_lm": maxent_lm,
@@ -73,4 +78,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": packed,
     "op10_toxicity": toxic,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_warc_revisits": revisits.SQL}
