@@ -80,7 +80,7 @@ class Keys:
         bucket = ((self.keys >> U(32)) % U(buckets)).astype(np.int32)
         self.order = np.argsort(bucket, kind="stable")
         self.names, self.starts = np.unique(bucket[self.order], return_index=True)
-        self.ends = np.append(self.starts[1:], len(self.order))
+        self.ends = np.append(self.starts, len(self.order))[1:]
 
     def parts(self) -> Iterator[tuple[int, np.ndarray]]:
         """Each bucket, and which keys go there."""
