@@ -16,8 +16,12 @@ def test_stable_id_is_md5_and_null_safe(spark):
     df = spark.createDataFrame([("a", "b"), ("a", None), ("a", ""), (None, None)], "x string, y string")
     got = df.select(stable_id("x").alias("i"), stable_id("x", "y").alias("j")).collect()
     assert [r.i for r in got[:3]] == [md5_id("a")] * 3 and got[3].i is None
-    assert got[0].j == md5_id("a\x1fb")
+    assert got[0].j == md5_id("1:a1:b")
     assert len({r.j for r in got}) == 4
+    # No sign in a value makes two lists of values alike.
+    odd = [("a\x1fb", "c"), ("a", "b\x1fc"), (None, "x"), ("\x01", "x"), ("-", "x"), ("1:a", ""), ("1", ":a"), ("", "1:a")]
+    ids = spark.createDataFrame(odd, "x string, y string").select(stable_id("x", "y").alias("j")).collect()
+    assert len({r.j for r in ids}) == len(odd)
 
 
 def test_missing_value_rules(spark):

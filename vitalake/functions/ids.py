@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SEPARATOR = "\x1f"
-_NULL_MARK = "\x01"
-
 ColumnLike = Column | str
 
 
@@ -18,13 +15,14 @@ def as_col(col: ColumnLike) -> Column:
 def id_text(*cols: ColumnLike) -> Column:
     """The text that stands for one or more values in an id.
 
-    One column: its text, NULL for NULL. Several are joined with a unit separator and a mark for
-    NULL, so ('a', NULL) and ('a', '') differ.
+    One column: its text, NULL for NULL. Of several, each stands with its length before it, and NULL as
+    a dash, so no two lists of values have one text, whatever signs they hold.
     """
     parts = [as_col(c).cast("string") for c in cols]
     if len(parts) == 1:
         return parts[0]
-    return F.concat_ws(_SEPARATOR, *[F.coalesce(p, F.lit(_NULL_MARK)) for p in parts])
+    marked = [F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts]
+    return F.concat(*[F.coalesce(p, F.lit("-")) for p in marked])
 
 
 def stable_id(*cols: ColumnLike) -> Column:

@@ -27,11 +27,10 @@ def occurrence_id(df: DataFrame, tag: str, out: str = "id", block: int = _BLOCK)
     )
     last_block = F.floor((F.col("_n") - 1) / block).cast("bigint")
     first = F.col("_block") * block + 1
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hot = (
         counts.filter(F.col("_n") > block)
         .select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last_block)).alias("_block"))
-        .repartition(parts, "_block", *cols)
+        .repartition("_block", *cols)
         .select(
             *cols,
             "_content",
