@@ -44,7 +44,8 @@ def test_gym_and_diet_models(spark):
         "diet_recommendation",
         F.when(F.col("bmi") < 3, "Low_Carb").when(F.col("bmi") < 6, "Balanced").otherwise("Low_Sodium"),
     ).repartition(2).cache()
-    gym = models.boosted_regression(models.GYM_NUMBERS, models.GYM_CLASSES, "calories_burned", trees=5, depth=4).fit(df)
+    gym = models.boosted_regression(models.GYM_NUMBERS, models.GYM_CLASSES, "calories_burned", trees=5, depth=4)
+    gym = models.fit(gym, df)
     error = models.score(df, gym).agg(F.avg(F.abs(F.col("prediction") - F.col("calories_burned")))).first()[0]
     assert error < 15
     diet = models.boosted_classes(df, models.DIET_NUMBERS, models.DIET_CLASSES, "diet_recommendation", trees=3, depth=3)
@@ -52,6 +53,23 @@ def test_gym_and_diet_models(spark):
     assert hit > 0.95
 
 
+def test_rows_without_a_number_get_no_prediction(spark, sessions):
+    holes = sessions.withColumn("bmi", F.when(F.col("age") % 5 > 0, F.col("bmi")))
+    scored = models.score(holes, models.train_duration(holes))
+    assert scored.count() == 300
+    assert scored.filter(F.col("bmi").isNull() != F.col("prediction").isNull()).count() == 0
+    assert scored.agg(F.max(F.abs(F.col("prediction") - F.col("duration_hours")))).first()[0] < 1e-6
+
+
+def test_too_many_classes_are_refused(spark, sessions, monkeypatch):
+    monkeypatch.setattr(models, "MAX_CLASSES", 20)
+    named = sessions.withColumn("kind", F.col("bmi").cast("string"))
+    with pytest.raises(ValueError, match="more than 20 classes"):
+        models.fit(models.boosted_regression(["age"], ["kind"], "duration_hours", trees=1), named)
+    with pytest.raises(ValueError, match="more than 20 classes"):
+        models.boosted_classes(named, ["age"], [], "kind", trees=1)
+
+
 def test_training_from_the_warehouse(spark, sessions, tmp_path):
     root = str(tmp_path / "lake")
     typed = sessions.withColumns({"workout_type_name": F.lit("Yoga"), "source": F.lit("api")})

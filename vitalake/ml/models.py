@@ -13,10 +13,13 @@ from pyspark.ml.classification import GBTClassifier, OneVsRest
 from pyspark.ml.feature import IndexToString, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vitalake.sources.versions import dataset_path, now_label, publish, resolve
 
 SECTION = "models"
+#: Distinct values that a text column or target may have in a fit.
+MAX_CLASSES = 10_000
 
 DURATION_FEATURES = (
     "age",
@@ -63,9 +66,9 @@ DIET_CLASSES = ("gender", "disease_type", "severity", "physical_activity_level",
 
 
 def _scaled(numbers: Sequence[str]) -> list:
-    # Centred and scaled; a NULL number drops out of the fit and is an error nowhere else.
+    # Centred and scaled. Rows that lack a number take no part in a fit, and get no prediction (`fit`, `score`).
     return [
-        VectorAssembler(inputCols=list(numbers), outputCol="_numbers", handleInvalid="skip"),
+        VectorAssembler(inputCols=list(numbers), outputCol="_numbers", handleInvalid="keep"),
         StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True, withStd=True),
     ]
 
@@ -81,6 +84,29 @@ def _one_hot(classes: Sequence[str]) -> list:
     ]
 
 
+def _numbers(stages: Sequence) -> list[str]:
+    """The number columns that the stages of a model take from a frame."""
+    return [c for s in stages if isinstance(s, VectorAssembler) for c in s.getInputCols() if not c.startswith("_")]
+
+
+def _check_classes(df: DataFrame, columns: Sequence[str]) -> None:
+    """An index of classes is held by the driver, so columns with too many of them are refused before a fit."""
+    if not columns:
+        return
+    counts = df.agg(*[F.count_distinct(c).alias(c) for c in columns]).first().asDict()
+    if large := {c: n for c, n in counts.items() if n > MAX_CLASSES}:
+        raise ValueError(f"more than {MAX_CLASSES} classes: {large}")
+
+
+def fit(pipeline: Pipeline, df: DataFrame) -> PipelineModel:
+    """Fit on the rows that have every number and the target; text columns of too many values are refused."""
+    stages = pipeline.getStages()
+    targets = [s.getLabelCol() for s in stages if hasattr(s, "getLabelCol")]
+    classes = [c for s in stages if isinstance(s, StringIndexer) for c in s.getInputCols()]
+    _check_classes(df, classes)
+    return pipeline.fit(df.dropna(subset=[c for c in [*_numbers(stages), *targets] if c in df.columns]))
+
+
 def scaled_linear(features: Sequence[str], target: str, prediction: str = "prediction") -> Pipeline:
     """Scaling and linear regression. The normal solver needs one pass over the data."""
     regression = LinearRegression(
@@ -114,6 +140,7 @@ def boosted_classes(
     seed: int = 42,
 ) -> PipelineModel:
     """Scaling, one-hot classes, label encoding, gradient-boosted classes (one against the rest)."""
+    _check_classes(df, [target])
     labels = StringIndexer(inputCol=target, outputCol="_label", stringOrderType="alphabetAsc").fit(
         df.filter(df[target].isNotNull())
     )
@@ -127,19 +154,19 @@ def boosted_classes(
             classifier=booster, featuresCol="_features", labelCol="_label", predictionCol="_class", parallelism=4
         ),
     ]
-    fitted = Pipeline(stages=stages).fit(labels.transform(df.filter(df[target].isNotNull())))
+    fitted = fit(Pipeline(stages=stages), labels.transform(df.filter(df[target].isNotNull())))
     names = IndexToString(inputCol="_class", outputCol="prediction", labels=labels.labels)
     return PipelineModel(stages=[*fitted.stages, names])
 
 
 def train_duration(sessions: DataFrame) -> PipelineModel:
     """Session duration from the other measures of the deduplicated sessions."""
-    return scaled_linear(DURATION_FEATURES, "duration_hours").fit(sessions)
+    return fit(scaled_linear(DURATION_FEATURES, "duration_hours"), sessions)
 
 
 def train_gym(raw_sessions: DataFrame) -> PipelineModel:
     """Calories burned in a session."""
-    return boosted_regression(GYM_NUMBERS, GYM_CLASSES, "calories_burned").fit(raw_sessions)
+    return fit(boosted_regression(GYM_NUMBERS, GYM_CLASSES, "calories_burned"), raw_sessions)
 
 
 def train_diet(raw_diet: DataFrame) -> PipelineModel:
@@ -177,6 +204,9 @@ def load_model(
 
 
 def score(df: DataFrame, model: PipelineModel, out: str = "prediction") -> DataFrame:
-    """Add the model's prediction; the helper columns of the model are dropped."""
+    """Every row of df with the model's prediction, NULL where a number that the model needs is missing."""
+    whole = F.lit(True)
+    for c in _numbers(model.stages):
+        whole = whole & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
     scored = model.transform(df)
-    return scored.select(*df.columns, scored["prediction"].alias(out))
+    return scored.select(*df.columns, F.when(whole, scored["prediction"]).alias(out))
