@@ -13,7 +13,7 @@ from vitalake import schemas
 from vitalake.operators.lookups import orphan_keys
 from vitalake.plans import runs, serving, warehouse
 from vitalake.sources.tolerance import TooManyBadRows
-from vitalake.sources.versions import VersionNotFound, read_tables, read_version
+from vitalake.sources.versions import VersionExists, VersionNotFound, read_tables, read_version
 
 
 def md5_id(text):
@@ -223,5 +223,35 @@ def test_too_many_bad_rows_stop_a_load(spark, tmp_path):
     runs.dump_external(spark, str(folder), root)
     with pytest.raises(TooManyBadRows):
         runs.load_warehouse_dataset(spark, root, "daily_food", LOAD_TS)
+    for section in ("warehouse", "warehouse/raw"):
+        with pytest.raises(VersionNotFound):
+            read_tables(spark, root, section, "daily_food")
+    # After the file is mended a rerun with the same label works; a published label is refused.
+    (folder / "daily_food_nutrition_dataset.csv").write_text(csv_text((header, lines)))
+    runs.dump_external(spark, str(folder), root, "2026-07-01T00-00-00Z")
+    with pytest.raises(VersionExists):
+        runs.dump_external(spark, str(folder), root, "2026-07-01T00-00-00Z")
+    label = "2026-07-02T00-00-00Z"
+    runs.load_warehouse_dataset(spark, root, "daily_food", LOAD_TS, label)
+    good = read_tables(spark, root, "warehouse/raw", "daily_food")["data"].count()
+    (folder / "daily_food_nutrition_dataset.csv").write_text(csv_text((header, [*lines, *bad])))
+    runs.dump_external(spark, str(folder), root)
+    with pytest.raises(TooManyBadRows):
+        runs.load_warehouse_dataset(spark, root, "daily_food", LOAD_TS, "2026-07-03T00-00-00Z")
+    assert read_tables(spark, root, "warehouse/raw", "daily_food")["data"].count() == good
+    assert runs.load_warehouse(spark, root, datasets=[]) == {}
+
+
+def test_an_id_of_two_names_stops_a_load(spark, tmp_path, monkeypatch):
+    from vitalake.functions import ids
+
+    folder, root = write_folder(tmp_path / "in"), str(tmp_path / "lake")
+    runs.dump_external(spark, str(folder), root)
+    monkeypatch.setattr("vitalake.plans.warehouse.stable_id", lambda *c: F.length(ids.id_text(*c)).cast("long"))
+    with pytest.raises(runs.IdCollision):
+        runs.load_warehouse_dataset(spark, root, "daily_food", LOAD_TS)
     with pytest.raises(VersionNotFound):
         read_tables(spark, root, "warehouse", "daily_food")
+    # The reduction goes by name, so no row is lost to the clash.
+    raw = read_version(spark, root, "warehouse/raw", "daily_food").filter("_corrupt is null")
+    assert warehouse.food_item(raw, LOAD_TS).count() == raw.select("meal_type", "calories", "food_item").distinct().count()

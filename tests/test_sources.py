@@ -3,7 +3,6 @@ from datetime import datetime, timezone
 
 import pytest
 from conftest import rows
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from vitalake import schemas
@@ -100,7 +99,7 @@ def test_versions(spark, tmp_path):
     versions.write_version(spark.range(5), root, "raw/external", "x", "2026-01-02T00-00-00Z")
     assert versions.read_version(spark, root, "raw/external", "x").count() == 5
     assert versions.read_version(spark, root, "raw/external", "x", "2026-01-01T00-00-00Z").count() == 3
-    with pytest.raises(AnalysisException):
+    with pytest.raises(versions.VersionExists):
         versions.write_version(spark.range(1), root, "raw/external", "x", "2026-01-02T00-00-00Z")
     with pytest.raises(versions.VersionNotFound):
         versions.read_version(spark, root, "raw/external", "x", "2025-01-01T00-00-00Z")

@@ -10,6 +10,7 @@ from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vitalake import schemas
 from vitalake.plans import serving, warehouse
@@ -35,9 +36,10 @@ def _now() -> datetime:
     return datetime.now(timezone.utc)
 
 
-def dump_external(spark: SparkSession, folder: str, root: str, label: str | None = None, missing: str = "skip"):
-    """Land every external source found in `folder`."""
-    return land_all(spark, external_sources(folder), root, label, missing)
+def dump_external(spark: SparkSession, folder: str, root: str, label: str | None = None, missing: str = "skip",
+                  exercise: str = "json"):
+    """Land every external source found in `folder`; `exercise` is "jsonl" for a file with one object a line."""
+    return land_all(spark, external_sources(folder, exercise), root, label, missing)
 
 
 def dump_exports(spark: SparkSession, paths: dict[str, str], root: str, label: str | None = None):
@@ -46,10 +48,27 @@ def dump_exports(spark: SparkSession, paths: dict[str, str], root: str, label: s
 
 
 def _raw(spark: SparkSession, root: str, dataset: str, frame: DataFrame, label: str | None) -> DataFrame:
-    """Write the raw table once, then check it: the check reads one column of the written table."""
-    label = write_tables({"data": frame}, root, RAW, dataset, label)
-    good, _ = tolerate(read_version(spark, root, RAW, dataset, label))
-    return good
+    """Write the raw table once, check it, and only then publish it: the check reads one column of the written table."""
+    good: list[DataFrame] = []
+    write_tables({"data": frame}, root, RAW, dataset, label, check=lambda t: good.extend(tolerate(t["data"])))
+    return good[0]
+
+
+class IdCollision(ValueError):
+    """Two names have one id."""
+
+
+#: What the id of a table stands for, where a table holds both.
+NAMED_BY = ("name", "id_data_set")
+
+
+def _check_ids(tables: dict[str, DataFrame]) -> None:
+    """Refuse a load in which an id stands for two names; reads two columns of each written table."""
+    for table, df in tables.items():
+        for column in (c for c in NAMED_BY if c in df.columns and "id" in df.columns):
+            of = df.groupBy("id").agg(F.min(column).alias("a"), F.max(column).alias("b")).filter("a <> b")
+            if (first := of.first()) is not None:
+                raise IdCollision(f"{table}: {first.a!r} and {first.b!r} have the id {first.id}")
 
 
 def _landed_or_empty(spark: SparkSession, root: str, section: str, dataset: str, columns) -> DataFrame:
@@ -81,7 +100,7 @@ def load_warehouse_dataset(
         frames = {dataset: warehouse.raw_csv(read_version(spark, root, EXTERNAL, dataset), columns)}
     raws = [_raw(spark, root, name, frame, label) for name, frame in frames.items()]
     tables = warehouse.build(dataset, raws, load_ts)
-    return write_tables(tables, root, WAREHOUSE, dataset, label, sort_keys=schemas.SORT_KEY)
+    return write_tables(tables, root, WAREHOUSE, dataset, label, sort_keys=schemas.SORT_KEY, check=_check_ids)
 
 
 def load_serving_dataset(
@@ -127,6 +146,8 @@ _LANDED = [(EXTERNAL, d) for d in ("daily_food", "diet_recommendation", "exercis
 def _in_parallel(names: Iterable[str], job: Callable[[str], object]) -> dict[str, object]:
     """Independent loads side by side, so that the tail of one does not idle the cluster."""
     names = list(names)
+    if not names:
+        return {}
     with ThreadPoolExecutor(max_workers=len(names)) as pool:
         return dict(zip(names, pool.map(job, names)))
 

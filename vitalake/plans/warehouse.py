@@ -73,11 +73,13 @@ def _seq(df: DataFrame) -> list[str]:
     return [SEQ] if SEQ in df.columns else []
 
 
-def _final(name: str, rows: DataFrame, load_ts: datetime | None) -> DataFrame:
-    """Stamp the rows and keep the newest per sort key; the place in the file breaks ties."""
-    stamped = stamp(rows, load_ts)
-    seq = SEQ if SEQ in rows.columns else None
-    return latest_by_key(stamped, schemas.SORT_KEY[name], "updated_at", seq).drop(SEQ)
+def _newest(raw: DataFrame, keys: Sequence[str], rest: Sequence[str]) -> DataFrame:
+    """The last row of the file per natural key, with the columns a table needs.
+
+    Names are compared, not their ids, and ids and JSON text are made after this, for the rows that stay.
+    """
+    seq = SEQ if SEQ in raw.columns else None
+    return latest_by_key(raw.select(*keys, *rest, *_seq(raw)), keys, seq=seq)
 
 
 def _dim(col: str, tokens: Sequence[str] = BLANK):
@@ -90,21 +92,22 @@ def _dim(col: str, tokens: Sequence[str] = BLANK):
 def food_item(raw: DataFrame, load_ts: datetime | None = None) -> DataFrame:
     """Foods with their category as one-element arrays."""
     measures = [name for _, name, kind in schemas.DAILY_FOOD if kind != "String"]
-    item = raw.select(
+    kept = _newest(raw, ["meal_type", "calories", "food_item"], ["category", *[m for m in measures if m != "calories"]])
+    item = kept.select(
         stable_id("food_item").alias("id"),
         F.col("food_item").alias("name"),
         "meal_type",
         single(stable_id("category")).alias("category_ids"),
         single("category").alias("category_names"),
         *measures,
-        *_seq(raw),
     )
-    return _final("food_item", item, load_ts)
+    return stamp(item, load_ts)
 
 
 def patient(raw: DataFrame, load_ts: datetime | None = None) -> DataFrame:
     """Patients with their allergy and, as JSON text, their condition."""
-    rows = raw.select(
+    kept = _newest(raw, ["patient_id"], ["age", "gender", "allergies", "disease_type", "severity"])
+    rows = kept.select(
         stable_id("patient_id").alias("id"),
         F.col("patient_id").alias("id_data_set"),
         "age",
@@ -112,9 +115,8 @@ def patient(raw: DataFrame, load_ts: datetime | None = None) -> DataFrame:
         single_or_empty(stable_id("allergies"), "allergies").alias("allergy_ids"),
         single_or_empty("allergies", "allergies").alias("allergy_names"),
         condition_entries("disease_type", stable_id("disease_type"), "severity").alias("diseases"),
-        *_seq(raw),
     )
-    return _final("patient", rows, load_ts)
+    return stamp(rows, load_ts)
 
 
 _METRICS = ("weight_kg", "height_cm", "bmi", "cholesterol_mg_dl", "blood_pressure_mmhg", "glucose_mg_dl")
@@ -122,13 +124,12 @@ _METRICS = ("weight_kg", "height_cm", "bmi", "cholesterol_mg_dl", "blood_pressur
 
 def _of_patient(name: str, measures: Sequence[str]):
     def build(raw: DataFrame, load_ts: datetime | None = None) -> DataFrame:
-        rows = raw.select(
+        rows = _newest(raw, ["patient_id"], measures).select(
             stable_id("patient_id", F.lit(name)).alias("id"),
             stable_id("patient_id").alias("patient_id"),
             *measures,
-            *_seq(raw),
         )
-        return _final(name, rows, load_ts)
+        return stamp(rows, load_ts)
 
     return build
 
@@ -136,7 +137,9 @@ def _of_patient(name: str, measures: Sequence[str]):
 def diets(raw: DataFrame, load_ts: datetime | None = None) -> DataFrame:
     """Diets with the ids and names of cuisine, restriction and advice."""
     restricted = present("dietary_restrictions", BLANK_OR_NONE)
-    rows = raw.select(
+    keys = ["preferred_cuisine", "daily_caloric_intake", "patient_id", "diet_recommendation"]
+    scores = ["adherence_to_diet_plan", "dietary_nutrient_imbalance_score"]
+    rows = _newest(raw, keys, [*scores, "dietary_restrictions", "age", "gender"]).select(
         stable_id("patient_id", "daily_caloric_intake", "diet_recommendation").alias("id"),
         "daily_caloric_intake",
         "adherence_to_diet_plan",
@@ -150,9 +153,8 @@ def diets(raw: DataFrame, load_ts: datetime | None = None) -> DataFrame:
         F.col("diet_recommendation").alias("diet_recommendation_name"),
         F.col("age").alias("patient_age"),
         F.col("gender").alias("patient_gender"),
-        *_seq(raw),
     )
-    return _final("diets", rows, load_ts)
+    return stamp(rows, load_ts)
 
 
 def muscle(raw: DataFrame, load_ts: datetime | None = None) -> DataFrame:
@@ -162,7 +164,8 @@ def muscle(raw: DataFrame, load_ts: datetime | None = None) -> DataFrame:
 
 def exercise(raw: DataFrame, load_ts: datetime | None = None) -> DataFrame:
     """Exercises with the ids of muscles, category and equipment."""
-    rows = raw.select(
+    told = ["name", "force", "mechanic", "instructions", "images", "primary_muscles", "secondary_muscles", "category"]
+    rows = _newest(raw, ["equipment", "level", "id_str"], told).select(
         F.col("id_str").alias("id"),
         "name",
         "force",
@@ -177,9 +180,8 @@ def exercise(raw: DataFrame, load_ts: datetime | None = None) -> DataFrame:
         F.col("category").alias("category_name"),
         F.col("equipment").alias("equipment_name"),
         F.col("primary_muscles").alias("primary_muscle_names"),
-        *_seq(raw),
     )
-    return _final("exercise", rows, load_ts)
+    return stamp(rows, load_ts)
 
 
 def workout_type(raw_external: DataFrame, raw_api: DataFrame, load_ts: datetime | None = None) -> DataFrame:

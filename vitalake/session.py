@@ -58,12 +58,17 @@ def bytes_under(spark: SparkSession, path: str) -> int:
     return files.agg(F.sum("length")).first()[0] or 0
 
 
+# Shuffle partitions at most: map tasks times these is the number of blocks a shuffle has to serve. Partitions
+# then grow beyond SHUFFLE_BYTES and sort on disk; no data is left out.
+MAX_PARTITIONS = 50_000
+
+
 def size_shuffles(spark: SparkSession, input_bytes: int, per_partition: int = SHUFFLE_BYTES) -> int:
     """Raise the number of shuffle partitions to fit an input; AQE merges those that end up small.
 
     AQE splits no partition but those of skewed joins, so too few of them is what it cannot mend.
     """
-    wanted = -(-input_bytes // per_partition)
+    wanted = min(-(-input_bytes // per_partition), MAX_PARTITIONS)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), wanted)
     spark.conf.set("spark.sql.shuffle.partitions", str(parts))
     return parts

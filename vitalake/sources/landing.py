@@ -42,8 +42,10 @@ EXTERNAL = (
 EXPORTS = ("workout_session", "food_item", "exercise", "diet_recommendation")
 
 
-def external_sources(folder: str) -> list[Source]:
-    return [Source(name, f"{folder}/{file}", kind, schema) for name, file, kind, schema in EXTERNAL]
+def external_sources(folder: str, exercise: str = "json") -> list[Source]:
+    """The external sources in a folder. A JSON array is read by one task; large exercise files should be "jsonl"."""
+    kinds = {"exercise": exercise}
+    return [Source(name, f"{folder}/{file}", kinds.get(name, kind), schema) for name, file, kind, schema in EXTERNAL]
 
 
 def read_source(spark: SparkSession, source: Source) -> DataFrame:

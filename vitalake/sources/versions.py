@@ -7,7 +7,7 @@ readers see all tables of a load or none. Earlier versions stay as they are.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
@@ -20,6 +20,10 @@ _PUBLISHED = "published"
 _ENTRY = "label string, published_at timestamp, tables array<string>"
 
 
+class VersionExists(ValueError):
+    """The label was published before."""
+
+
 class VersionNotFound(LookupError):
     """Nothing was published under this name, or not this version."""
 
@@ -68,24 +72,39 @@ def write_tables(
     label: str | None = None,
     *,
     sort_keys: dict[str, Sequence[str]] | None = None,
+    check: Callable[[dict[str, DataFrame]], object] | None = None,
     compression: str = "zstd",
 ) -> str:
-    """Write a set of tables as one version and publish it; an existing label is refused.
+    """Write a set of tables as one version and publish it; a published label is refused.
 
     Tables with a sort key are sorted inside each file, so that parquet min/max skip blocks on
-    reads by that key; this needs no shuffle.
+    reads by that key; this needs no shuffle. `check` gets the written tables and raises to keep them from
+    being published. Folders of a label that was never published, as a failed load leaves them, are
+    written anew.
     """
     label = label or now_label()
     base = dataset_path(root, section, dataset)
+    spark = next(iter(tables.values())).sparkSession
+    if _is_published(spark, base, label):
+        raise VersionExists(f"{base}@{label}")
     for name, df in tables.items():
         keys = [k for k in (sort_keys or {}).get(name, ()) if k in df.columns]
         out = df.sortWithinPartitions(*keys) if keys else df
-        out.write.mode("errorifexists").option("compression", compression).parquet(f"{base}/{label}/{name}")
-    spark = next(iter(tables.values())).sparkSession
+        out.write.mode("overwrite").option("compression", compression).parquet(f"{base}/{label}/{name}")
+    if check:
+        check({name: spark.read.parquet(f"{base}/{label}/{name}") for name in tables})
     publish(spark, base, label, list(tables))
     return label
 
 
+def _is_published(spark: SparkSession, base: str, label: str) -> bool:
+    try:
+        resolve(spark, base, label)
+    except VersionNotFound:
+        return False
+    return True
+
+
 def read_tables(
     spark: SparkSession, root: str, section: str, dataset: str, version: str = "latest"
 ) -> dict[str, DataFrame]:
