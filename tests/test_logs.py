@@ -175,6 +175,34 @@ def test_store_and_read_by_day(spark, tmp_path):
     assert spark.read.parquet(table).count() == 8
 
 
+def test_ingest_goes_by_arrival_and_not_by_the_time_of_the_run(spark):
+    """Lines of last year that arrived at once stay; a line that took ten days does not."""
+    record = '{"log": "%s", "stream": "stdout", "time": "2024-01-01T00:00:00Z"}'
+    at = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    raw = spark.createDataFrame(
+        [(record % "soon", "p", "api", "/a", "1", at), (record % "late", "p", "api", "/a", "1", at + timedelta(days=10))],
+        log_streams.RECORD_SCHEMA,
+    )
+    assert [r.line for r in log_streams.ingest(raw, ["api"]).collect()] == ["soon"]
+
+
+def test_panels_read_their_days_only(spark, tmp_path, lines):
+    path = str(tmp_path / "table")
+    lines.withColumn("day", F.to_date("ts")).write.partitionBy("day").parquet(path)
+    stored = spark.read.parquet(path)
+    for name in ("services", "containers", "errors", "rate"):
+        plan = dashboards.container_logs(stored, T0)[name]._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(day" in plan, name
+
+
+def test_long_series_have_short_plans(spark):
+    lines = spark.createDataFrame([(T0 - timedelta(seconds=7), "a", "x")], "ts timestamp, s string, line string")
+    day = logs.count_series(lines, ["s"], timedelta(hours=24), timedelta(seconds=15))
+    short = logs.count_series(lines, ["s"], 5 * MIN, MIN)
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
+    assert size(day) < 1.2 * size(short) and day.count() == 5760
+
+
 def test_stream_labels(spark, tmp_path):
     source = write_records(tmp_path / "in", [RECORDS])
     stream = logs.parse_logs(log_streams.open_json(spark, source, log_streams.RECORD_SCHEMA), KEEP)
@@ -234,7 +262,11 @@ def test_panels(lines, spark):
     assert panels["errors"].count() == 4 and panels["lines"].count() == 5
     assert [r.max_rate for r in panels["rate_legend"].collect()] == [pytest.approx(4 / 300)]
     over = dashboards.overview(lines, df, T0)
-    assert rows(over["status"], "job", "band") == [("a", "green"), ("b", "green"), ("d", "green")]
-    assert rows(over["availability_legend"], "job", "last_last") == [("a", 1.0), ("b", 1.0), ("d", 2.0)]
+    # What came after the shown time is not shown, nor what lies before it.
+    assert rows(over["status"], "job", "band") == [("a", "green"), ("b", "red"), ("d", "green")]
+    assert rows(over["availability_legend"], "job", "last_last") == [("a", 1.0), ("b", 0.0), ("d", 2.0)]
+    later = dashboards.overview(lines, df, T0 + MIN)
+    assert rows(later["status"], "job", "band") == [("a", "green"), ("b", "green"), ("d", "green")]
+    assert dashboards.overview(lines, df, T0 + timedelta(days=2))["status"].count() == 0
     assert over["errors_by_service"].filter("band = 'green'").count() == 0
     assert over["errors_legend"].count() == 2

@@ -41,12 +41,14 @@ def select_streams(df: DataFrame, labels: Labels | None = None, pattern: Pattern
     return df.filter(line_holds(line, pattern)) if pattern else df
 
 
-def parse_logs(df: DataFrame, keep: Sequence[str], arrived: str = "arrived") -> DataFrame:
+def parse_logs(
+    df: DataFrame, keep: Sequence[str], arrived: str = "arrived", also: Sequence[str] = ()
+) -> DataFrame:
     """Container records to log lines: (ts, line, stream and the four labels).
 
     `df` holds the raw record text as `value`, the container's meta labels, and the arrival time.
     Only listed services are kept. A record that is not the driver's JSON stays as it is and takes
-    its arrival time.
+    its arrival time. Columns named in `also` are passed on.
     """
     record = F.from_json("value", schemas.LOG_RECORD)
     kept = df.filter(F.col("meta_service").isin(*keep)).withColumn("_record", record)
@@ -58,6 +60,7 @@ def parse_logs(df: DataFrame, keep: Sequence[str], arrived: str = "arrived") ->
         F.col("meta_service").alias("compose_service"),
         F.regexp_replace("meta_name", r"^/", "").alias("container"),
         F.col("meta_id").alias("container_id"),
+        *also,
     )
 
 
@@ -78,8 +81,11 @@ def _at(df: DataFrame, ts: str, when: datetime) -> Column:
 
 
 def in_range(df: DataFrame, ts: str, as_of: datetime, span: timedelta) -> Column:
-    """as_of - span < ts <= as_of, with literal bounds that reach the parquet scan."""
-    return (F.col(ts) > _at(df, ts, as_of - span)) & (F.col(ts) <= _at(df, ts, as_of))
+    """as_of - span < ts <= as_of (UTC), with literal bounds that reach the parquet scan and its folders of days."""
+    inside = (F.col(ts) > _at(df, ts, as_of - span)) & (F.col(ts) <= _at(df, ts, as_of))
+    if "day" in df.columns:  # a stored log table: other days are not listed or read
+        inside &= F.col("day").between(F.lit((as_of - span).date()), F.lit(as_of.date()))
+    return inside
 
 
 def count_over_time(
@@ -128,7 +134,7 @@ def count_series(
     every = step // timedelta(microseconds=1)
     first_end = (micros + F.pmod(-micros, F.lit(every))).alias("_end")
     buckets = rows.groupBy(*by, first_end).agg(F.count("*").alias("n"))
-    ends = F.array(*[F.col("_end") + i * every for i in range(span // step)])
+    ends = F.sequence(F.col("_end"), F.col("_end") + (span // step - 1) * every, F.lit(every))
     spread = buckets.select(*by, F.explode(ends).alias("_end"), "n")
     kind = dict(df.dtypes)[ts]
     return (
@@ -177,10 +183,17 @@ def label_values(
     include: str | None = ".+",
     exclude: str | None = None,
     labels: Labels | None = None,
+    ts: str = "ts",
+    delay: timedelta = MAX_AGE,
 ) -> DataFrame:
-    """Distinct values of a label, in alphabetical order; `labels` chains an earlier choice."""
-    rows = select_streams(df, labels).filter(matches(label, include, exclude)).select(label)
-    return rows.dropDuplicates() if df.isStreaming else rows.distinct().orderBy(label)
+    """Distinct values of a label, in alphabetical order; `labels` chains an earlier choice.
+
+    On a stream a value comes once, and again if it was not seen for `delay`: older ones leave the state.
+    """
+    rows = select_streams(df, labels).filter(matches(label, include, exclude))
+    if not df.isStreaming:
+        return rows.select(label).distinct().orderBy(label)
+    return rows.select(label, ts).withWatermark(ts, _seconds(delay)).dropDuplicatesWithinWatermark([label]).select(label)
 
 
 def series_stats(

@@ -5,6 +5,7 @@ Fixed values: titles aside, the filters, ranges, legend figures and bands are th
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
@@ -82,8 +83,8 @@ def container_logs(
         "errors_legend": logs.series_stats(errors, [SERVICE], "n", ("max", "sum")),
         "errors": logs.search(recent, chosen, values.ERROR_WORDS),
         "lines": logs.search(recent, {**chosen, "container": (container, None)}),
-        "services": logs.label_values(lines, SERVICE, ".+", logs.MONITORING),
-        "containers": logs.label_values(lines, "container", labels=chosen),
+        "services": logs.label_values(recent, SERVICE, ".+", logs.MONITORING),
+        "containers": logs.label_values(recent, "container", labels=chosen),
     }
 
 
@@ -94,17 +95,19 @@ def overview(
     span: timedelta = DEFAULT_RANGE,
     service: str = ".+",
     step: timedelta = timedelta(minutes=1),
+    order: Sequence[str] = ("ts",),
 ) -> dict[str, DataFrame]:
-    """Panels and choices of the overview dashboard."""
+    """Panels and choices of the overview dashboard, all for the shown time."""
     points = logs.select_streams(_recent(lines, as_of, span + logs.RATE_RANGE), {SERVICE: (".+", logs.MONITORING)})
     chosen = {SERVICE: (service, None)}
     rate = _shown(logs.rate(points, [SERVICE], step=step, labels=chosen), as_of, span)
     errors = _shown(
         logs.count_series(points, [SERVICE], step=step, pattern=values.ERROR_WORDS, labels=chosen), as_of, span
     )
-    availability = logs.availability(samples, service, step)
+    shown = _recent(samples, as_of, span)
+    availability = logs.availability(shown, service, step, order=order)
     return {
-        "status": logs.service_status(samples).withColumn("band", values.band("last", values.STATUS_STEPS)),
+        "status": logs.service_status(shown, order=order).withColumn("band", values.band("last", values.STATUS_STEPS)),
         "summary": log_summary(lines, as_of, logs.RATE_RANGE, ".+", logs.MONITORING, OVERVIEW_STEPS),
         "rate": rate,
         "rate_legend": logs.series_stats(rate, [SERVICE], "rate", ("max", "mean")),
@@ -113,7 +116,7 @@ def overview(
         "availability": availability,
         "availability_legend": logs.series_stats(availability, ["job"], "last", ("last",)),
         "recent_errors": logs.search(points.filter(logs.in_range(points, "ts", as_of, span)), chosen, values.ERROR_WORDS),
-        "services": logs.label_values(lines, SERVICE, ".+", logs.MONITORING),
+        "services": logs.label_values(_recent(lines, as_of, span), SERVICE, ".+", logs.MONITORING),
     }
 
 

@@ -41,8 +41,9 @@ def open_table(spark: SparkSession, path: str, files_per_trigger: int | None = N
 
 
 def ingest(records: DataFrame, keep: Sequence[str], max_age: timedelta = MAX_AGE) -> DataFrame:
-    """Records to log lines, without those that arrive too old."""
-    return reject_old(parse_logs(records, keep), max_age=max_age)
+    """Records to log lines, without those that were too old when they arrived, whenever the job runs."""
+    lines = parse_logs(records, keep, also=["arrived"])
+    return reject_old(lines, as_of=F.col("arrived"), max_age=max_age).drop("arrived")
 
 
 def _checkpoint(spark: SparkSession, name: str, checkpoint: str | None) -> str:
