@@ -21,10 +21,10 @@ from vitalake.functions.ids import stable_id, stable_ids
 from vitalake.ml import models
 from vitalake.operators import clean, dims, logs, lookups, merge
 from vitalake.operators.occurrences import occurrence_id
-from vitalake.plans import dashboards, serving, warehouse
+from vitalake.plans import dashboards, runs, serving, warehouse
 from vitalake.session import configure, shared_dir
 from vitalake.sources import backup as backups
-from vitalake.sources import readers, tolerance, versions
+from vitalake.sources import landing, readers, tolerance, versions
 from vitalake.streaming import log_streams
 
 LOAD_TS = datetime(2026, 6, 17, 3, 0, tzinfo=timezone.utc)
@@ -66,13 +66,17 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def sid_text(*exprs: str) -> str:
+    """`id_text` in SQL."""
+    texts = [f"CAST({e} AS VARCHAR)" for e in exprs]
+    if len(texts) == 1:
+        return texts[0]
+    return " || ".join(f"coalesce(CAST(length({x}) AS VARCHAR) || ':' || {x}, '-')" for x in texts)
+
+
 def sid(*exprs: str) -> str:
     """`stable_id` in SQL."""
-    if len(exprs) == 1:
-        text = f"CAST({exprs[0]} AS VARCHAR)"
-    else:
-        text = f"concat_ws(chr(31), {', '.join(f'coalesce(CAST({e} AS VARCHAR), chr(1))' for e in exprs)})"
-    return f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)"
+    return f"CAST('0x' || substr(md5({sid_text(*exprs)}), 1, 15) AS BIGINT)"
 
 
 def joined(array: Column | str) -> Column:
@@ -297,7 +301,7 @@ def _(t):
 
 @query(
     "occurrence_id",
-    f"""SELECT {sid("'csv'", 'l_returnflag', 'l_linestatus', 'l_linenumber', 'i')} AS id,
+    f"""SELECT {sid('(' + sid_text("'csv'", 'l_returnflag', 'l_linestatus', 'l_linenumber') + ')', 'i')} AS id,
         l_returnflag, l_linestatus, l_linenumber FROM (SELECT *, row_number() OVER (
         PARTITION BY l_returnflag, l_linestatus, l_linenumber) AS i FROM lineitem)""",
 )
@@ -601,6 +605,27 @@ def _(t):
     return logs.reject_old(t.events.select("event_id", "ts"), as_of=AS_OF)
 
 
+@query(
+    "ingest_logs",
+    """SELECT event_id, ts, event_type || ' ' || props AS line FROM events WHERE user_id % 8 IN (1, 2, 5) AND user_id % 20 <= 7""",
+)
+def _(t):
+    # A record arrives as many days after its time as the user's number says, counted around 20.
+    time = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("000Z"))
+    record = F.struct(F.concat_ws(" ", "event_type", "props").alias("log"), F.lit("stdout").alias("stream"), time.alias("time"))
+    delay = F.make_dt_interval((F.col("user_id") % 20).cast("int"))
+    records = t.events.select(
+        F.to_json(record).alias("value"),
+        F.lit("stack").alias("meta_project"),
+        _service().alias("meta_service"),
+        F.lit("/c").alias("meta_name"),
+        F.col("event_id").cast("string").alias("meta_id"),
+        (F.col("ts").cast("timestamp") + delay).alias("arrived"),
+    )
+    kept = log_streams.ingest(records, ["svc-1", "svc-2", "svc-5"])
+    return kept.select(F.col("container_id").cast("bigint").alias("event_id"), F.col("ts").cast("timestamp_ntz").alias("ts"), "line")
+
+
 _RANGE = "ts > TIMESTAMP '2024-01-15 12:00:00' - INTERVAL 24 HOUR AND ts <= TIMESTAMP '2024-01-15 12:00:00'"
 _DAY = timedelta(hours=24)
 
@@ -751,6 +776,55 @@ def _(t):
     return logs.availability(samples(t), "click|view", MINUTE, order=("ts", "event_id"))
 
 
+@query(
+    "errors_long_series",
+    f"""SELECT compose_service, first_at + i * INTERVAL 15 SECOND AS window_end, count(*) AS n FROM (SELECT *,
+        time_bucket(INTERVAL 15 SECOND, ts - INTERVAL 1 MICROSECOND) + INTERVAL 15 SECOND AS first_at,
+        unnest(range(0, 5760)) AS i FROM {_LINES} WHERE {_ERRORS} AND compose_service = 'svc-1') GROUP BY 1, 2""",
+)
+def _(t):
+    return logs.count_series(
+        log_lines(t), ["compose_service"], _DAY, timedelta(seconds=15), values.ERROR_WORDS, {"compose_service": ("svc-1", None)}
+    )
+
+
+def _panels(t: Tables) -> dict[str, DataFrame]:
+    return dashboards.overview(log_lines(t), samples(t), AS_OF, _DAY, order=("ts", "event_id"))
+
+
+@query(
+    "panel_status",
+    f"""SELECT job, value AS last, CASE WHEN value = 1 THEN 'UP' ELSE 'DOWN' END AS status, CASE WHEN value >= 1 THEN 'green' ELSE 'red'
+        END AS band FROM {_SAMPLES} WHERE value IS NOT NULL AND {_RANGE}
+        QUALIFY row_number() OVER (PARTITION BY job ORDER BY ts DESC, event_id DESC) = 1""",
+)
+def _(t):
+    return _panels(t)["status"]
+
+
+@query(
+    "panel_availability",
+    f"""SELECT job, date_trunc('minute', ts - INTERVAL 1 MICROSECOND) + INTERVAL 1 MINUTE AS window_end,
+        arg_max(value, (ts, event_id)) AS last, avg(value) AS up_ratio FROM {_SAMPLES} WHERE {_RANGE} AND value IS NOT NULL GROUP BY 1, 2""",
+)
+def _(t):
+    return _panels(t)["availability"]
+
+
+@query("panel_services", f"SELECT DISTINCT compose_service FROM {_LINES} WHERE {_RANGE}")
+def _(t):
+    return _panels(t)["services"]
+
+
+@query(
+    "panel_rate",
+    f"""SELECT compose_service, window_end, n / 300.0::DOUBLE AS rate FROM ({_series_sql("ts > TIMESTAMP '2024-01-15 12:00:00' - "
+        "INTERVAL 1445 MINUTE AND ts <= TIMESTAMP '2024-01-15 12:00:00'")}) WHERE {_RANGE.replace("ts ", "window_end ")}""",
+)
+def _(t):
+    return _panels(t)["rate"]
+
+
 @query(
     "threshold_band",
     f"""SELECT compose_service, window_end, n, CASE WHEN n >= 5 THEN 'red' WHEN n >= 1 THEN 'orange' ELSE 'green' END AS band
@@ -1249,7 +1323,8 @@ def _session_sql(source: str, table: str, age: str, gender: str, kind: str, calo
     inner = f"SELECT {age} AS age, {gender} AS gender, {kind} AS kind, {calories} AS calories FROM {table}"
     named = {age: "age", gender: "gender", kind: "kind", calories: "calories"}
     parts = [named.get(x, x) for x in texts]
-    return f"""SELECT {sid(f"'{source}'", *parts, 'i')} AS id, '{source}' AS source, age::SMALLINT AS age, gender,
+    content = f"({sid_text(f"'{source}'", *parts)})"
+    return f"""SELECT {sid(content, 'i')} AS id, '{source}' AS source, age::SMALLINT AS age, gender,
         {sid('kind')} AS workout_type_id, kind AS workout_type_name, calories::DOUBLE AS calories FROM (SELECT *,
         row_number() OVER (PARTITION BY age, gender, kind, calories) AS i FROM ({inner}))"""
 
@@ -1281,6 +1356,73 @@ def _(t):
     return _warehouse("workout_session", "workout_type", *raw_sessions(t)).select("id", "name")
 
 
+# ── Whole jobs ───────────────────────────────────────────────────────────────
+
+
+def _written(t: Tables) -> str:
+    """The landed shapes of the given tables as source files in a folder."""
+    folder = f"{t.scratch}/in"
+    names = {name: file for name, file, _, _ in landing.EXTERNAL}
+    landed_food(t).drop(readers.SEQ).write.option("header", True).csv(f"{folder}/{names['daily_food']}")
+    landed_diet(t).drop(readers.SEQ).write.option("header", True).csv(f"{folder}/{names['diet_recommendation']}")
+    landed_exercise(t).drop(readers.SEQ).write.json(f"{folder}/{names['exercise']}")
+    return folder
+
+
+@query(
+    "job_warehouse",
+    f"""SELECT 'disease' AS dim, {sid('name')} AS id, name FROM (SELECT DISTINCT disease AS name FROM {_DIET}) WHERE name IS NOT NULL
+        UNION ALL SELECT 'patient', {sid('pid')}, pid FROM (SELECT DISTINCT pid FROM {_DIET})
+        UNION ALL SELECT 'food_item', {sid('p_name')}, p_name FROM (SELECT DISTINCT p_brand, p_size, p_name FROM {_FOOD})
+        UNION ALL SELECT 'exercise', p_partkey, p_name FROM part""",
+)
+def _(t):
+    # Source files to the lake, from there to the warehouse, and the published tables read back.
+    root = f"{t.scratch}/lake"
+    runs.dump_external(t.spark, _written(t), root, exercise="jsonl")
+    runs.load_warehouse(t.spark, root, LOAD_TS, datasets=["daily_food", "diet_recommendation", "exercise_db"])
+    diet, food, moves = (versions.read_tables(t.spark, root, runs.WAREHOUSE, d) for d in ("diet_recommendation", "daily_food", "exercise_db"))
+    return merge.union_tagged(
+        {
+            "disease": diet["disease"].select("id", "name"),
+            "patient": diet["patient"].select("id", F.col("id_data_set").alias("name")),
+            "food_item": food["food_item"].select("id", "name"),
+            "exercise": moves["exercise"].select(F.col("id").cast("bigint").alias("id"), "name"),
+        },
+        "dim",
+    )
+
+
+@query(
+    "job_serving",
+    f"""SELECT 'food_category' AS dim, {sid('name')} AS id, name FROM (SELECT DISTINCT category AS name FROM {_FOOD}
+        WHERE category NOT IN ('', 'None')) UNION ALL SELECT 'exercise', {sid('p_name')}, p_name FROM (SELECT DISTINCT p_name FROM part)
+        UNION ALL SELECT 'exercise_category', {sid('p_brand')}, p_brand FROM (SELECT DISTINCT p_brand FROM part)""",
+)
+def _(t):
+    root = f"{t.scratch}/lake"
+    runs.dump_external(t.spark, _written(t), root, exercise="jsonl")
+    runs.load_serving(t.spark, root, LOAD_TS, datasets=["food_item", "exercise"])
+    food, moves = (versions.read_tables(t.spark, root, runs.SERVING, d) for d in ("food_item", "exercise"))
+    return merge.union_tagged(
+        {
+            "food_category": food["food_category"].select("id", "name"),
+            "exercise": moves["exercise"].select("id", "name"),
+            "exercise_category": moves["exercise_category"].select("id", "name"),
+        },
+        "dim",
+    )
+
+
+@query("job_land_export", "SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS status FROM orders")
+def _(t):
+    export = t.orders.select(_text("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    path, root = f"{t.scratch}/food.csv", f"{t.scratch}/lake"
+    export.write.option("header", True).csv(path)
+    runs.dump_exports(t.spark, {"food_item": path}, root)
+    return versions.read_version(t.spark, root, runs.API, "food_item").select("id", "status")
+
+
 # ── Models ───────────────────────────────────────────────────────────────────
 
 
@@ -1291,7 +1433,7 @@ def _(t):
 )
 def _(t):
     rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
-    model = models.scaled_linear(["l_quantity"], "l_extendedprice").fit(rows)
+    model = models.fit(models.scaled_linear(["l_quantity"], "l_extendedprice"), rows)
     return models.score(rows, model).select("l_orderkey", "l_linenumber", F.round("prediction", 3).alias("prediction"))
 
 
@@ -1301,7 +1443,47 @@ def _(t):
     trees = models.boosted_regression(
         ["l_quantity", "l_discount"], ["l_returnflag"], "l_extendedprice", trees=3, depth=3
     )
-    return models.score(rows, trees.fit(rows)).select("l_orderkey", "l_linenumber", "prediction")
+    return models.score(rows, models.fit(trees, rows)).select("l_orderkey", "l_linenumber", "prediction")
+
+
+@query(
+    "linear_model_with_holes",
+    """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 3 THEN round(f.b + f.a * l_quantity, 3) END AS prediction
+       FROM lineitem, (SELECT regr_slope(l_extendedprice, l_quantity) AS a, regr_intercept(l_extendedprice, l_quantity) AS b
+       FROM lineitem WHERE l_linenumber <> 3) f""",
+)
+def _(t):
+    quantity = F.when(F.col("l_linenumber") != 3, F.col("l_quantity")).alias("l_quantity")
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", quantity, "l_extendedprice")
+    model = models.fit(models.scaled_linear(["l_quantity"], "l_extendedprice"), rows)
+    return models.score(rows, model).select("l_orderkey", "l_linenumber", F.round("prediction", 3).alias("prediction"))
+
+
+@query(
+    "boosted_stump_model",
+    """SELECT l_orderkey, l_linenumber, round(avg(l_extendedprice) OVER (PARTITION BY l_quantity > 25), 3) AS prediction FROM lineitem""",
+)
+def _(t):
+    # One tree of depth 1 on a number of two values predicts the mean of each.
+    large = (F.col("l_quantity") > 25).cast("double").alias("large")
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", large, "l_extendedprice")
+    stump = models.fit(models.boosted_regression(["large"], [], "l_extendedprice", trees=1, depth=1), rows)
+    return models.score(rows, stump).select("l_orderkey", "l_linenumber", F.round("prediction", 3).alias("prediction"))
+
+
+@query(
+    "boosted_decided_class",
+    """SELECT o_orderkey, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'soon' ELSE 'later' END AS prediction FROM orders""",
+)
+def _(t):
+    # The target follows from one text column; the model is saved, read again as the latest, and scores.
+    soon = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "soon").otherwise("later").alias("when")
+    rows = t.orders.select("o_orderkey", "o_totalprice", "o_orderpriority", soon)
+    model = models.boosted_classes(rows, ["o_totalprice"], ["o_orderpriority"], "when", trees=2, depth=4)
+    root = t.scratch
+    models.save_model(t.spark, model, ["o_totalprice", "o_orderpriority"], root, "when")
+    loaded, _features = models.load_model(t.spark, root, "when")
+    return models.score(rows.drop("when"), loaded).select("o_orderkey", "prediction")
 
 
 @query("boosted_classes_model")
