@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +32,14 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@lru_cache(maxsize=1)
+def own_folder() -> str:
+    """One folder of this process for what a session on this machine alone shares; it goes when the process ends."""
+    folder = tempfile.mkdtemp(prefix="vitalake-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def local_session(cores: int | str = 8, name: str = "vitalake", memory: str = "12g") -> SparkSession:
     """Single-machine session for tests and the benchmark."""
     builder = (
@@ -38,6 +49,7 @@ def local_session(cores: int | str = 8, name: str = "vitalake", memory: str = "1
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", own_folder())
         # Call sites of columns are kept for error messages only, and cost a third of planning.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
@@ -77,11 +89,11 @@ def size_shuffles(spark: SparkSession, input_bytes: int, per_partition: int = SH
 def shared_dir(spark: SparkSession, name: str) -> str:
     """Folder `name` under the shared folder the cluster names in spark.checkpoint.dir.
 
-    Only a session on this machine alone may go without that setting; it gets a new local folder.
+    Only a session on this machine alone may go without that setting; it gets the folder of its process.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not (spark.conf.get("spark.master", None) or "").startswith("local"):
             raise ValueError("spark.checkpoint.dir is not set; it must name a folder all executors share")
-        root = tempfile.mkdtemp(prefix="vitalake-")
+        root = own_folder()
     return f"{root.rstrip('/')}/{name}"

@@ -47,6 +47,9 @@ def ingest(records: DataFrame, keep: Sequence[str], max_age: timedelta = MAX_AGE
 
 
 def _checkpoint(spark: SparkSession, name: str, checkpoint: str | None) -> str:
+    """The given folder, else one in the shared folder of the cluster, which a restart finds again."""
+    if not checkpoint and not spark.conf.get("spark.checkpoint.dir", None):
+        raise ValueError("a stream needs a checkpoint folder, or spark.checkpoint.dir")
     return checkpoint or shared_dir(spark, f"streams/{name}")
 
 
