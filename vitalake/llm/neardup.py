@@ -6,8 +6,9 @@ function, taken as an exponential value and kept as the whole number of its loga
 they overlap. Documents that agree in all registers of a band are candidates.
 
 Equal sets are one node from the start. In a band's bucket members are paired with one centre, so a
-bucket of g costs g pairs; only buckets that then still hold several components are searched through,
-and of them only pairs across components.
+bucket of g costs g pairs; the centres of a family differ from band to band, which joins it by chains.
+Only buckets that then still hold several components are searched through, and of them only pairs across
+components, each in the first band it shares.
 """
 
 from __future__ import annotations
@@ -28,11 +29,13 @@ SCALES = seeded(REGISTERS, 11) | U(1)
 #: Pairs whose likeliest similarity is this far below the threshold are not verified: over five times
 #: the spread of an estimate from 128 registers.
 SLACK = 0.2
+#: Different orders by which bands choose their centres.
+SALTS = 8
 #: Members of a bucket that are searched through in one piece.
 PIECE = 4096
 
 SKETCH = Fields("doc long, n_shingles long, set_a long, set_b long, registers binary")
-BANDS = Fields("bucket long, doc long, n_shingles long")
+BANDS = Fields("bucket long, band int, doc long, n_shingles long")
 SETS = Fields("doc long, shingles binary")
 
 
@@ -101,30 +104,28 @@ def groups(docs: DataFrame, size: int = 4, percent: int = 80, text: str = "text"
     sets = sketches.filter("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles")
     nodes = stored(sets.agg(F.min("doc").alias("doc"), F.first("registers").alias("registers")), "nodes")
     members = nodes.select("doc", "n_shingles", "registers").mapInArrow(_bands, BANDS.spark)
-    order = F.xxhash64("doc")
+    order = F.xxhash64("doc", F.col("band") % SALTS)
     centres = (
-        members.groupBy("bucket").agg(F.count("*").alias("g"), F.min(F.struct(order.alias("h"), "doc", "n_shingles")).alias("c"))
-        .filter("g > 1").select("bucket", F.col("c.doc").alias("centre"), F.col("c.n_shingles").alias("n_centre"))
+        members.groupBy("bucket", "band").agg(F.count("*").alias("g"), F.min(F.struct(order.alias("h"), "doc", "n_shingles")).alias("c"))
+        .filter("g > 1").select("bucket", "band", F.col("c.doc").alias("centre"), F.col("c.n_shingles").alias("n_centre"))
     )
-    shared = stored(members.join(centres, "bucket"), "shared")
+    shared = stored(members.drop("band").join(centres, "bucket"), "shared")
     near = F.expr(f"100 * least(n_shingles, n_centre) >= {percent} * greatest(n_shingles, n_centre)")
     stars = shared.filter("doc <> centre").filter(near).select(F.greatest("doc", "centre").alias("u"), F.least("doc", "centre").alias("v"))
     sizes = nodes.select("doc", "n_shingles", "registers")
     likely = stored(_likely(stars.distinct(), sizes, percent / 100 - SLACK), "likely")
-    first = stored(_verified(likely, body, size, percent), "verified")
-    parts = components(first, f"{folder}/first")
-
-    # Buckets that still hold several components: search them for links across.
-    labelled = shared.join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn(
-        "component", F.coalesce("component", "doc")
-    )
-    mixed_ = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    rest = labelled.join(mixed_.select("bucket"), "bucket").select("bucket", "doc", "n_shingles", "component")
-    across = stored(_across(rest, sizes, percent / 100 - SLACK, percent).join(likely, ["u", "v"], "left_anti"), "across")
-    links = first
-    if not across.isEmpty():
-        links = first.unionByName(stored(_verified(across, body, size, percent), "verified_across"))
-        parts = components(links, f"{folder}/second")
+    links = stored(_verified(likely, body, size, percent), "verified")
+    parts = components(links, f"{folder}/components")
+
+    # Buckets that still hold several components are searched for links across.
+    labelled = shared.join(parts.withColumnRenamed("node", "doc"), "doc", "left")
+    labelled = labelled.withColumn("component", F.coalesce("component", "doc"))
+    several = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    rest = labelled.join(several.select("bucket"), "bucket").select("bucket", "band", "doc", "n_shingles", "component")
+    apart = stored(_apart(rest, sizes, percent), "apart")
+    if not apart.isEmpty():
+        more = stored(_across(apart, _sets(apart.select("doc").distinct(), body, size), percent), "across")
+        parts = components(links.unionByName(more), f"{folder}/more_components")
 
     of_set = nodes.select("set_a", "set_b", "n_shingles", F.col("doc").alias("node")).join(parts, "node", "left")
     of_set = of_set.select("set_a", "set_b", "n_shingles", F.coalesce("component", "node").alias("component"))
@@ -163,7 +164,8 @@ def _bands(batches):
         for band in range(REGISTERS // ROWS):
             own = values[:, band * ROWS : (band + 1) * ROWS]
             key = mixed(mixed(own[:, 0] << U(48) | own[:, 1] << U(32) | own[:, 2] << U(16) | own[:, 3]) + U(band))
-            columns = [pa.array(key.view(np.int64)), batch.column("doc"), batch.column("n_shingles")]
+            which = np.full(len(key), band, np.int32)
+            columns = [pa.array(key.view(np.int64)), pa.array(which), batch.column("doc"), batch.column("n_shingles")]
             yield pa.RecordBatch.from_arrays(columns, schema=BANDS.arrow)
 
 
@@ -183,9 +185,8 @@ def _likely(pairs: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
     return sides.mapInArrow(run, Fields("u long, v long").spark).distinct()
 
 
-def _verified(pairs: DataFrame, body: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (u, v) whose full sets are similar enough. The sets are made anew, for documents in pairs only."""
-    wanted = pairs.select(F.col("u").alias("doc")).unionByName(pairs.select(F.col("v").alias("doc"))).distinct()
+def _sets(wanted: DataFrame, body: DataFrame, size: int) -> DataFrame:
+    """Full sets (doc, shingles) of the documents in wanted (doc), made anew from the texts."""
 
     def make(batches):
         for batch in batches:
@@ -195,58 +196,108 @@ def _verified(pairs: DataFrame, body: DataFrame, size: int, percent: int) -> Dat
                 sets = [hashes[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(sets, pa.binary())], schema=SETS.arrow)
 
-    sets = body.join(wanted, "doc").select("doc", "text").mapInArrow(make, SETS.spark)
+    # Merged at any size: the texts are shuffled once here, and not sent around beside a small list of ids.
+    return body.join(wanted.hint("merge"), "doc").select("doc", "text").mapInArrow(make, SETS.spark)
+
+
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar enough."""
+    if not len(a) or not len(b):
+        return False
+    common = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return common > 0 and 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def _verified(pairs: DataFrame, body: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (u, v) whose full sets are similar enough."""
+    wanted = pairs.select(F.col("u").alias("doc")).unionByName(pairs.select(F.col("v").alias("doc"))).distinct()
+    sets = _sets(wanted, body, size)
     both = pairs.join(sets.withColumnsRenamed({"doc": "u", "shingles": "s_u"}), "u")
     both = both.join(sets.withColumnsRenamed({"doc": "v", "shingles": "s_v"}), "v")
 
     def judge(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("s_u"), batch.column("s_v"), strict=True):
-                a, b = (np.frombuffer(s.as_buffer(), U) for s in (x, y))
-                at = np.minimum(np.searchsorted(a, b), len(a) - 1)
-                common = int((a[at] == b).sum()) if len(a) else 0
-                keep.append(100 * common >= percent * (len(a) + len(b) - common) and common > 0)
+            sides = zip(batch.column("s_u"), batch.column("s_v"), strict=True)
+            keep = [_linked(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U), percent) for x, y in sides]
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(judge, Fields("u long, v long").spark).distinct()
 
 
-def _across(rest: DataFrame, sizes: DataFrame, least: float, percent: int) -> DataFrame:
-    """Likely pairs between components within a bucket.
+class Group:
+    """Members of a bucket that meet in one task, and the likely pairs across its components."""
+
+    def __init__(self, table: pa.Table, percent: int):
+        self.percent = percent
+        self.i, self.j, band = (table.column(c)[0].as_py() for c in ("i", "j", "band"))
+        self.piece, self.doc, self.component = (table.column(c).to_numpy().copy() for c in ("piece", "doc", "component"))
+        self.n = table.column("n_shingles").to_numpy().astype(float)
+        self.values = _matrix(table.column("registers"))
+        self.bands = self.values.reshape(len(self.values), -1, ROWS)[:, :band]
+        names, sizes = np.unique(self.component, return_counts=True)
+        self.outside = self.component != names[np.argmax(sizes)]
+
+    def partners(self, k: int) -> np.ndarray:
+        """Members of other components that are likely enough to be linked with member k, the likeliest first."""
+        other = self.component != self.component[k]
+        if self.i != self.j:
+            other &= self.piece != self.piece[k]
+        at = np.flatnonzero(other)
+        at = at[100 * np.minimum(self.n[at], self.n[k]) >= self.percent * np.maximum(self.n[at], self.n[k])]
+        least = self.percent / 100 - SLACK
+        # The likeliest similarity lies near the share of equal registers; only those near enough are worked out.
+        at = at[(self.values[at] == self.values[k]).mean(axis=1) >= least - 0.15]
+        # A pair that shares an earlier band is looked at there.
+        at = at[~(self.bands[at] == self.bands[k]).all(axis=2).any(axis=1)]
+        own = np.repeat(self.values[k : k + 1], len(at), axis=0)
+        value = similarity(own, self.values[at], np.full(len(at), self.n[k]), self.n[at])
+        order = np.argsort(-value, kind="stable")
+        return at[order][value[order] >= least]
+
+
+APART = Fields(
+    "bucket long, band int, i long, j long, piece long, doc long, n_shingles long, component long, registers binary"
+)
+
+
+def _apart(rest: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Members of buckets (as APART) that have a likely partner in another component of their bucket.
 
     A bucket's members are dealt into pieces of about PIECE; each pair of pieces is one group, so no group
-    grows with the bucket. Within it only pairs across components are looked at.
+    grows with the bucket. Only members outside a group's largest component are compared with the rest.
     """
     pieces = rest.groupBy("bucket").agg(F.ceil(F.count("*") / PIECE).alias("n"))
     placed = rest.join(pieces, "bucket").join(sizes.select("doc", "registers"), "doc")
     placed = placed.withColumn("piece", F.pmod(F.xxhash64("doc"), F.col("n")))
     both = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    grouped = both.select(
-        "bucket", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "piece", "doc",
-        "n_shingles", "component", "registers",
-    )
+    ends = {"i": F.least("piece", "other"), "j": F.greatest("piece", "other")}
+    grouped = both.select(*[ends[c].alias(c) if c in ends else c for c in APART.arrow.names])
+
+    def search(table: pa.Table) -> pa.Table:
+        group = Group(table, percent)
+        wanted = np.zeros(len(table), bool)
+        for k in np.flatnonzero(group.outside):
+            at = group.partners(k)
+            wanted[at] = True
+            wanted[k] |= len(at) > 0
+        return table.filter(pa.array(wanted)).cast(APART.arrow)
+
+    return grouped.groupBy("bucket", "i", "j").applyInArrow(search, APART.spark)
+
+
+def _across(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components within the groups of `apart`: as many as join them, so at most one per member."""
 
     def search(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        piece, doc = table.column("piece").to_numpy(), table.column("doc").to_numpy()
-        n, component = table.column("n_shingles").to_numpy().astype(float), table.column("component").to_numpy()
-        values = _matrix(table.column("registers"))
-        out_u, out_v = [], []
-        for k in np.flatnonzero(piece == i):
-            other = (piece == j) & (component != component[k])
-            if i == j:
-                other &= doc > doc[k]
-            at = np.flatnonzero(other)
-            at = at[100 * np.minimum(n[at], n[k]) >= percent * np.maximum(n[at], n[k])]
-            # The likeliest similarity lies near the share of equal registers; only those near enough are worked out.
-            at = at[(values[at] == values[k]).mean(axis=1) >= least - 0.15]
-            if len(at):
-                own = np.repeat(values[k : k + 1], len(at), axis=0)
-                at = at[similarity(own, values[at], np.full(len(at), n[k]), n[at]) >= least]
-                out_u.append(np.maximum(doc[at], doc[k]))
-                out_v.append(np.minimum(doc[at], doc[k]))
-        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_u, out_v))
-        return pa.table({"u": u, "v": v})
-
-    return grouped.groupBy("bucket", "i", "j").applyInArrow(search, Fields("u long, v long").spark).distinct()
+        group = Group(table, percent)
+        full = [np.frombuffer(x.as_buffer(), U) for x in table.column("shingles").combine_chunks()]
+        found = []
+        for k in np.flatnonzero(group.outside):
+            for other in group.partners(k):
+                # A link found just now has joined the two: the rest of that component needs no look.
+                if group.component[other] != group.component[k] and _linked(full[k], full[other], percent):
+                    found.append((int(group.doc[k]), int(group.doc[other])))
+                    group.component[group.component == group.component[k]] = group.component[other]
+        return Fields("u long, v long").table(found)
+
+    return apart.join(sets, "doc").groupBy("bucket", "i", "j").applyInArrow(search, Fields("u long, v long").spark).distinct()
