@@ -1,15 +1,4 @@
-"""Command line of the lake jobs, for spark-submit or `python -m vitalake`.
-
-    dump external --root /lake --folder /sources         land the source files
-    dump workout --root /lake --export /in/workout.csv   land one fetched export
-    dump api --root /lake --exports /in                  land every export, <dataset>.csv
-    dump all --root /lake --folder /sources --exports /in
-    load food_item|exercise|diet|all --root /lake        merge into the serving tables
-    warehouse [dataset ...] --root /lake                 reload warehouse datasets
-    backup SERVICE --root /lake --tables /lake/serving/SERVICE
-    restore SERVICE [VERSION] --root /lake --target /lake/serving/SERVICE
-    train exercise_duration|gym|diet --root /lake
-"""
+"""The lake jobs as commands, for spark-submit or `python -m vitalake`; each says what it does under --help."""
 
 from __future__ import annotations
 
@@ -20,42 +9,59 @@ from pyspark.sql import SparkSession
 
 from vitalake.plans import runs, training
 from vitalake.session import configure
-from vitalake.sources.backup import backup, restore
+from vitalake.sources.backup import restore
 from vitalake.sources.landing import EXPORTS
 from vitalake.sources.versions import read_tables
+from vitalake.streaming import log_streams
 
 # The dump commands and the export each stands for.
 EXPORT_OF = {"workout": "workout_session", "food": "food_item", "exercise": "exercise", "diet": "diet_recommendation"}
 
 
+def _enum(text: str) -> tuple[str, list[str]]:
+    column, _, allowed = text.partition("=")
+    if not allowed:
+        raise argparse.ArgumentTypeError(f"{text!r} is not column=value,value")
+    return column, allowed.split(",")
+
+
 def parser() -> argparse.ArgumentParser:
-    top = argparse.ArgumentParser(prog="vitalake", description=__doc__, formatter_class=argparse.RawTextHelpFormatter)
+    top = argparse.ArgumentParser(prog="vitalake", description=__doc__)
     jobs = top.add_subparsers(dest="job", required=True)
 
-    def job(name: str) -> argparse.ArgumentParser:
-        sub = jobs.add_parser(name)
+    def job(name: str, says: str) -> argparse.ArgumentParser:
+        sub = jobs.add_parser(name, help=says, description=says)
         sub.add_argument("--root", required=True, help="lake folder, shared by all executors")
         return sub
 
-    dump = job("dump")
-    dump.add_argument("what", choices=["external", *EXPORT_OF, "api", "all"])
+    dump = job("dump", "land source files or fetched exports as versioned datasets")
+    dump.add_argument("what", choices=["external", *EXPORT_OF, "api", "all"], help="the source files, one export, all exports, or all")
     dump.add_argument("--folder", help="folder of the external source files")
     dump.add_argument("--export", help="path of one fetched export")
     dump.add_argument("--exports", help="folder of fetched exports, <dataset>.csv")
-    dump.add_argument("--missing", choices=["skip", "fail"], default="skip")
-    load = job("load")
+    dump.add_argument("--missing", choices=["skip", "fail"], default="skip", help="what to do about a source that is not there")
+    dump.add_argument("--exercises", choices=["json", "jsonl"], default="json", help="one JSON array, or one object a line, which splits")
+    load = job("load", "merge landed files into the serving tables")
     load.add_argument("target", choices=[*runs.SERVING_DATASETS, "all"])
-    warehouse = job("warehouse")
-    warehouse.add_argument("datasets", nargs="*", metavar="dataset")
-    save = job("backup")
-    save.add_argument("service")
-    save.add_argument("--tables", required=True, help="published tables to snapshot, <root>/<section>/<name>")
-    back = job("restore")
+    load.add_argument("--enum", type=_enum, action="append", default=[], metavar="COLUMN=A,B", help="values a column may have; others fail the load")
+    warehouse = job("warehouse", "reload warehouse datasets from landed files")
+    warehouse.add_argument("datasets", nargs="*", metavar="dataset", help="all if none is named")
+    save = job("backup", "snapshot the published tables of one or more services")
+    save.add_argument("service", nargs="+")
+    save.add_argument("--tables", required=True, action="append", help="tables of each service in turn, <root>/<section>/<name>")
+    back = job("restore", "replace tables by a snapshot")
     back.add_argument("service")
     back.add_argument("version", nargs="?", default="latest")
     back.add_argument("--target", required=True, help="tables to replace, <root>/<section>/<name>")
-    train = job("train")
+    train = job("train", "fit a model on the latest tables and make it the latest version")
     train.add_argument("model", choices=list(training.MODELS))
+    score = job("score", "write the predictions of the latest model for a parquet table")
+    score.add_argument("model", choices=list(training.MODELS))
+    score.add_argument("--rows", required=True, help="parquet table with the features of the model")
+    score.add_argument("--out", required=True, help="folder for all its rows and their prediction")
+    logs = job("logs", "append container records that lie in a folder to the log table under root")
+    logs.add_argument("--records", required=True, help="folder of JSON lines, as the shipper drops them")
+    logs.add_argument("--keep", required=True, nargs="+", help="services whose lines are kept")
     return top
 
 
@@ -64,7 +70,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> object:
     if args.job == "dump":
         done = {}
         if args.what in ("external", "all"):
-            done.update(runs.dump_external(spark, args.folder, args.root, missing=args.missing))
+            done.update(runs.dump_external(spark, args.folder, args.root, missing=args.missing, exercise=args.exercises))
         if args.what in EXPORT_OF:
             done.update(runs.dump_exports(spark, {EXPORT_OF[args.what]: args.export}, args.root))
         if args.what in ("api", "all"):
@@ -73,13 +79,24 @@ def run(spark: SparkSession, args: argparse.Namespace) -> object:
         return done
     if args.job == "load":
         datasets = runs.SERVING_DATASETS if args.target == "all" else [args.target]
-        return runs.load_serving(spark, args.root, datasets=datasets)
+        return runs.load_serving(spark, args.root, datasets=datasets, enums=dict(args.enum))
     if args.job == "warehouse":
         return runs.load_warehouse(spark, args.root, datasets=args.datasets or runs.WAREHOUSE_DATASETS)
     if args.job == "backup":
-        return backup(read_tables(spark, *args.tables.rstrip("/").rsplit("/", 2)), args.root, args.service)
+        if len(args.service) != len(args.tables):
+            raise ValueError(f"{len(args.service)} services, but {len(args.tables)} --tables")
+        pairs = zip(args.service, args.tables, strict=True)
+        return runs.backup_services({s: read_tables(spark, *t.rstrip("/").rsplit("/", 2)) for s, t in pairs}, args.root)
     if args.job == "restore":
         return sorted(restore(spark, args.root, args.service, args.version, args.target))
+    if args.job == "score":
+        training.score_latest(spark, args.root, args.model, spark.read.parquet(args.rows)).write.parquet(args.out)
+        return args.out
+    if args.job == "logs":
+        records = log_streams.open_json(spark, args.records, log_streams.RECORD_SCHEMA)
+        table, checkpoint = f"{args.root}/logs/lines", f"{args.root}/logs/checkpoint"
+        log_streams.store_logs(log_streams.ingest(records, args.keep), table, checkpoint=checkpoint, once=True).awaitTermination()
+        return table
     return training.train(spark, args.root, args.model).uid
 
 
