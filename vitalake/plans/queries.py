@@ -1210,6 +1210,29 @@ def _(t):
     )
 
 
+@query(
+    "serving_exercises",
+    f"""SELECT {sid('patient_id', "'exercises'")} AS id, patient_id, 1.5::DOUBLE AS weekly_exercise_hours, status AS physical_activity_level
+        FROM (SELECT coalesce(c_custkey, {sid('pid')}) AS patient_id, status FROM (SELECT * FROM {_DIET}
+        QUALIFY row_number() OVER (PARTITION BY pid ORDER BY seq) = 1) LEFT JOIN {_PATIENT_KEYS} ON pid = known)""",
+)
+def _(t):
+    return _serving_diet(t, "exercises").select("id", "patient_id", "weekly_exercise_hours", "physical_activity_level")
+
+
+@query(
+    "serving_diet_dims",
+    f"""SELECT dim, {sid('name')} AS id, name FROM (
+        SELECT DISTINCT 'disease' AS dim, CASE o_orderpriority WHEN '1-URGENT' THEN NULL WHEN '2-HIGH' THEN 'None' ELSE o_orderpriority END AS name FROM orders
+        UNION ALL SELECT DISTINCT 'allergy', allergy FROM {_DIET} UNION ALL SELECT DISTINCT 'preferred_cuisine', cuisine FROM {_DIET}
+        UNION ALL SELECT DISTINCT 'dietary_restriction', coalesce(restriction, 'None') FROM {_DIET}
+        UNION ALL SELECT DISTINCT 'diet_recommendation', status FROM {_DIET}) WHERE name NOT IN ('', 'None')""",
+)
+def _(t):
+    tables = serving.build("diet", landed_diet(t), {}, LOAD_TS, only=_DIET_DIMS)
+    return merge.union_tagged({d: df.select("id", "name") for d, df in tables.items()}, "dim")
+
+
 def landed_exercise(t: Tables) -> DataFrame:
     """Parts as landed exercises: several per name, some without equipment."""
     words = F.split("p_name", " ")
@@ -1294,6 +1317,18 @@ def _(t):
     )
 
 
+@query(
+    "serving_exercise_dims",
+    f"""SELECT dim, {sid('name')} AS id, name FROM (SELECT DISTINCT 'muscle' AS dim, unnest(string_split(p_name, ' ') || [p_type]) AS name
+        FROM part UNION ALL SELECT DISTINCT 'equipment', p_type FROM part WHERE p_type <> 'PROMO'
+        UNION ALL SELECT DISTINCT 'exercise_category', p_brand FROM part)""",
+)
+def _(t):
+    names = ("muscle", "equipment", "exercise_category")
+    tables = serving.build("exercise", landed_exercise(t), {}, LOAD_TS, only=names)
+    return merge.union_tagged({d: df.select("id", "name") for d, df in tables.items()}, "dim")
+
+
 def _sessions(df: DataFrame, **cells: Column) -> DataFrame:
     rest = {name: F.lit("1") for _, name, _ in schemas.WORKOUT if name not in cells}
     return df.select(*[_text(c).alias(n) for n, c in {**cells, **rest}.items()])
