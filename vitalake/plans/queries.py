@@ -1033,6 +1033,13 @@ def landed_diet(t: Tables) -> DataFrame:
         "Allergies": F.when(status == "F", "").otherwise(priority),
         "Preferred_Cuisine": priority,
         "Diet_Recommendation": status,
+        "BMI": _text(F.col("o_orderkey") % 20 + 18),
+        "Cholesterol_mg/dL": _text(F.col("o_orderkey") % 101 + 150),
+        "Blood_Pressure_mmHg": _text(F.col("o_orderkey") % 61 + 90),
+        "Glucose_mg/dL": _text(F.col("o_orderkey") % 71 + 80),
+        "Weekly_Exercise_Hours": _text(F.col("o_orderkey") % 11),
+        "Adherence_to_Diet_Plan": _text(F.col("o_orderkey") % 91),
+        "Dietary_Nutrient_Imbalance_Score": _text(F.col("o_orderkey") % 7),
     }
     rest = {h: F.lit("1.5") for h, _, _ in schemas.DIET if h not in cells}
     return t.orders.select(*[c.alias(h) for h, c in {**cells, **rest}.items()], _seq("o_orderkey"))
@@ -1043,7 +1050,9 @@ _DIET = """(SELECT o_orderkey AS seq, 'P' || o_custkey AS pid, o_orderkey % 80 +
     o_orderkey % 50 + 150 AS height, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN NULL ELSE o_orderpriority END AS disease,
     nullif(o_orderstatus, 'O') AS severity, o_orderstatus AS status, o_orderkey % 1000 + 1500 AS kcal,
     nullif(o_orderstatus, 'P') AS restriction, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderpriority END AS allergy,
-    o_orderpriority AS cuisine FROM orders)"""
+    o_orderpriority AS cuisine, CAST(o_orderkey % 20 + 18 AS DOUBLE) AS bmi, CAST(o_orderkey % 101 + 150 AS DOUBLE) AS cholesterol,
+    CAST(o_orderkey % 61 + 90 AS DOUBLE) AS pressure, CAST(o_orderkey % 71 + 80 AS DOUBLE) AS glucose, CAST(o_orderkey % 11 AS DOUBLE) AS hours,
+    CAST(o_orderkey % 91 AS DOUBLE) AS adherence, CAST(o_orderkey % 7 AS DOUBLE) AS imbalance FROM orders)"""
 
 
 def _newest(keys: str) -> str:
@@ -1073,19 +1082,21 @@ def _(t):
 @query(
     "warehouse_metrics",
     f"""SELECT {sid('pid', "'metrics'")} AS id, {sid('pid')} AS patient_id, weight::FLOAT::DOUBLE AS weight_kg,
-        height::INTEGER AS height_cm, 1.5::DOUBLE AS bmi FROM {_DIET} {_newest('pid')}""",
+        height::INTEGER AS height_cm, bmi, cholesterol AS cholesterol_mg_dl, pressure AS blood_pressure_mmhg, glucose AS glucose_mg_dl
+        FROM {_DIET} {_newest('pid')}""",
 )
 def _(t):
-    return _widened(_warehouse_diet(t, "metrics"), "id", "patient_id", "weight_kg", "height_cm", "bmi")
+    measures = ("weight_kg", "height_cm", "bmi", "cholesterol_mg_dl", "blood_pressure_mmhg", "glucose_mg_dl")
+    return _widened(_warehouse_diet(t, "metrics"), "id", "patient_id", *measures)
 
 
 @query(
     "warehouse_exercises",
-    f"""SELECT {sid('pid', "'exercises'")} AS id, {sid('pid')} AS patient_id, status AS physical_activity_level
-        FROM {_DIET} {_newest('pid')}""",
+    f"""SELECT {sid('pid', "'exercises'")} AS id, {sid('pid')} AS patient_id, hours AS weekly_exercise_hours,
+        status AS physical_activity_level FROM {_DIET} {_newest('pid')}""",
 )
 def _(t):
-    return _warehouse_diet(t, "exercises").select("id", "patient_id", "physical_activity_level")
+    return _widened(_warehouse_diet(t, "exercises"), "id", "patient_id", "weekly_exercise_hours", "physical_activity_level")
 
 
 @query(
@@ -1094,10 +1105,12 @@ def _(t):
         CASE WHEN restriction IS NULL THEN 0 ELSE {sid('restriction')} END AS dietary_restriction_id,
         {sid('cuisine')} AS preferred_cuisine_id, {sid('status')} AS diet_recommendation_id,
         cuisine AS preferred_cuisine_name, coalesce(restriction, '') AS dietary_restriction_name,
-        age::SMALLINT AS patient_age FROM {_DIET} {_newest('cuisine, kcal, pid, status')}""",
+        status AS diet_recommendation_name, adherence AS adherence_to_diet_plan, imbalance AS dietary_nutrient_imbalance_score,
+        age::SMALLINT AS patient_age, gender AS patient_gender FROM {_DIET} {_newest('cuisine, kcal, pid, status')}""",
 )
 def _(t):
-    return _warehouse_diet(t, "diets").select(
+    return _widened(
+        _warehouse_diet(t, "diets"),
         "id",
         "daily_caloric_intake",
         "patient_id",
@@ -1106,7 +1119,11 @@ def _(t):
         "diet_recommendation_id",
         "preferred_cuisine_name",
         "dietary_restriction_name",
+        "diet_recommendation_name",
+        "adherence_to_diet_plan",
+        "dietary_nutrient_imbalance_score",
         "patient_age",
+        "patient_gender",
     )
 
 
@@ -1181,22 +1198,24 @@ def _(t):
 
 @query(
     "serving_metrics",
-    f"""SELECT -c_custkey AS id, c_custkey AS patient_id, c_acctbal AS weight_kg, CAST(1 AS BIGINT) AS height_cm FROM customer
-        WHERE c_acctbal > 5000 UNION ALL SELECT {sid('patient_id', "'metrics'")}, patient_id, weight, height FROM (
-        SELECT coalesce(c_custkey, {sid('pid')}) AS patient_id, weight, height FROM (SELECT * FROM {_DIET}
+    f"""SELECT -c_custkey AS id, c_custkey AS patient_id, c_acctbal AS weight_kg, CAST(1 AS BIGINT) AS height_cm, 0.0::DOUBLE AS bmi,
+        0.0::DOUBLE AS cholesterol_mg_dl, 0.0::DOUBLE AS blood_pressure_mmhg, 0.0::DOUBLE AS glucose_mg_dl FROM customer
+        WHERE c_acctbal > 5000 UNION ALL SELECT {sid('patient_id', "'metrics'")}, patient_id, weight, height, bmi, cholesterol, pressure, glucose
+        FROM (SELECT *, coalesce(c_custkey, {sid('pid')}) AS patient_id FROM (SELECT * FROM {_DIET}
         QUALIFY row_number() OVER (PARTITION BY pid ORDER BY seq) = 1) LEFT JOIN {_PATIENT_KEYS} ON pid = known)
         WHERE patient_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)""",
 )
 def _(t):
-    return _serving_diet(t, "metrics").select("id", "patient_id", "weight_kg", "height_cm")
+    measures = ("weight_kg", "height_cm", "bmi", "cholesterol_mg_dl", "blood_pressure_mmhg", "glucose_mg_dl")
+    return _serving_diet(t, "metrics").select("id", "patient_id", *measures)
 
 
 @query(
     "serving_diets",
     f"""SELECT {sid('patient_id', "'diets'")} AS id, kcal AS daily_caloric_intake, patient_id,
         CASE WHEN restriction IS NULL THEN NULL ELSE {sid('restriction')} END AS dietary_restriction_id,
-        {sid('cuisine')} AS preferred_cuisine_id, {sid('status')} AS diet_recommendation_id FROM (
-        SELECT *, coalesce(c_custkey, {sid('pid')}) AS patient_id FROM (SELECT * FROM {_DIET} {_newest('pid')})
+        {sid('cuisine')} AS preferred_cuisine_id, {sid('status')} AS diet_recommendation_id, adherence AS adherence_to_diet_plan,
+        imbalance AS dietary_nutrient_imbalance_score FROM (SELECT *, coalesce(c_custkey, {sid('pid')}) AS patient_id FROM (SELECT * FROM {_DIET} {_newest('pid')})
         LEFT JOIN {_PATIENT_KEYS} ON pid = known)""",
 )
 def _(t):
@@ -1207,13 +1226,15 @@ def _(t):
         "dietary_restriction_id",
         "preferred_cuisine_id",
         "diet_recommendation_id",
+        "adherence_to_diet_plan",
+        "dietary_nutrient_imbalance_score",
     )
 
 
 @query(
     "serving_exercises",
-    f"""SELECT {sid('patient_id', "'exercises'")} AS id, patient_id, 1.5::DOUBLE AS weekly_exercise_hours, status AS physical_activity_level
-        FROM (SELECT coalesce(c_custkey, {sid('pid')}) AS patient_id, status FROM (SELECT * FROM {_DIET}
+    f"""SELECT {sid('patient_id', "'exercises'")} AS id, patient_id, hours AS weekly_exercise_hours, status AS physical_activity_level
+        FROM (SELECT coalesce(c_custkey, {sid('pid')}) AS patient_id, status, hours FROM (SELECT * FROM {_DIET}
         QUALIFY row_number() OVER (PARTITION BY pid ORDER BY seq) = 1) LEFT JOIN {_PATIENT_KEYS} ON pid = known)""",
 )
 def _(t):
