@@ -157,6 +157,29 @@ def test_stream_equals_batch(spark, lines, tmp_path):
     assert rows(got.filter(in_range), "compose_service", "window_end", "n") == rows(want.filter(in_range), "compose_service", "window_end", "n")
 
 
+def test_compacted_measures_read_the_same(spark, tmp_path):
+    folder, out, keys = tmp_path / "in", str(tmp_path / "out"), ["job"]
+
+    def feed(number, *values):
+        folder.mkdir(exist_ok=True)
+        text = "".join(json.dumps({"ts": f"2024-01-01T00:00:{number:02}Z", "job": j, "value": v}) + "\n" for j, v in values)
+        (folder / f"{number}.json").write_text(text)
+        stream = log_streams.open_json(spark, str(folder), log_streams.SAMPLE_SCHEMA)
+        status = logs.service_status(stream)
+        log_streams.start_measure(status, out, f"status{number}", keys, str(tmp_path / "cp"), once=True).awaitTermination(300)
+        return rows(log_streams.read_measure(spark, out, keys), "job", "status")
+
+    assert feed(1, ("a", 1.0), ("b", 0.0)) == [("a", "UP"), ("b", "DOWN")]
+    feed(2, ("a", 0.0))
+    assert log_streams.compact_measure(spark, out, keys) >= 1
+    assert rows(log_streams.read_measure(spark, out, keys), "job", "status") == [("a", "DOWN"), ("b", "DOWN")]
+    assert feed(3, ("b", 1.0)) == [("a", "DOWN"), ("b", "UP")]
+    log_streams.compact_measure(spark, out, keys)
+    assert feed(4, ("c", 1.0)) == [("a", "DOWN"), ("b", "UP"), ("c", "UP")]
+    plan = log_streams.read_measure(spark, out, keys)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(batch" in plan and "PartitionFilters: [isnotnull(upto" in plan
+
+
 def test_store_and_read_by_day(spark, tmp_path):
     source = write_records(tmp_path / "in", [RECORDS])
     stream = log_streams.ingest(

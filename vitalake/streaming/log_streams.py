@@ -9,12 +9,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date, timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vitalake.operators.logs import MAX_AGE, parse_logs, reject_old
 from vitalake.session import shared_dir
+from vitalake.sources.readers import is_missing_path
 
 # Raw container records as a shipper drops them: the record and the container's meta labels.
 RECORD_SCHEMA = (
@@ -105,9 +107,42 @@ def start_measure(
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def compact_measure(spark: SparkSession, path: str, keys: Sequence[str]) -> int:
+    """Write the present state as a base that stands for all batches so far; returns the last of them.
+
+    Later reads take the newest base and the batches after it, so what they read follows the keys and not the
+    age of the stream. Folders of batches up to the base may then be removed, as may older bases.
+    """
+    upto = spark.read.parquet(path).agg(F.max("batch")).first()[0]
+    state = _state(_changes(spark, path).filter(F.col("batch") <= upto), keys)
+    state.write.mode("overwrite").parquet(f"{_base(path)}/upto={upto}")
+    return upto
+
+
 def read_measure(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     """Present state of a stored measure: the row of the latest batch per key."""
-    changes = spark.read.parquet(path)
+    return _state(_changes(spark, path), keys).drop("batch")
+
+
+def _base(path: str) -> str:
+    return f"{path.rstrip('/')}.base"
+
+
+def _changes(spark: SparkSession, path: str) -> DataFrame:
+    """The newest base, if there is one, and the batches after it."""
+    batches = spark.read.parquet(path)
+    try:
+        bases = spark.read.parquet(_base(path))
+    except AnalysisException as error:
+        if is_missing_path(error):
+            return batches
+        raise
+    newest = bases.agg(F.max("upto")).first()[0]
+    base = bases.filter(F.col("upto") == newest).drop("upto")
+    return base.unionByName(batches.filter(F.col("batch") > newest))
+
+
+def _state(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
     rest = [c for c in changes.columns if c not in (*keys, "batch")]
     newest = changes.groupBy(*keys).agg(F.max(F.struct("batch", *rest)).alias("_row"))
-    return newest.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
+    return newest.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest], F.col("_row.batch").alias("batch"))
