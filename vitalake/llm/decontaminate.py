@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 from vitalake.llm.arrays import ALNUM, Fields, Words, add_columns, covered, pick, row_sums
 
-#: Bytes of benchmark text in one broadcast part; an index takes about 20 times as much in a task.
-INDEX_BYTES = 8 << 20
+#: Bytes of benchmark items in one broadcast part; an index takes about 100 times as much in a task.
+INDEX_BYTES = 1 << 20
+#: Bytes that an item counts besides its text.
+ITEM_BYTES = 64
 FOUND = Fields("_hit binary, _items strings").spark
 
 
@@ -65,7 +67,7 @@ class Index:
 
 def parts_of(benchmark: DataFrame, limit: int) -> int:
     """Broadcast parts that the items need, from their measured size."""
-    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = benchmark.agg(F.sum(F.octet_length("text") + ITEM_BYTES)).first()[0] or 0
     return -(-total // limit) or 1
 
 
