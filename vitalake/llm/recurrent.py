@@ -8,8 +8,9 @@ worked out once per distinct word and looked up at each step.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
-from vitalake.llm.arrays import ALNUM, U, Words, mixed
+from vitalake.llm.arrays import ALNUM, U, Words, mixed, slices
 
 HIDDEN, WORD, CHAR, GRAMS, ATTEND = 8, 8, 4, 4096, 8
 #: Words of a window, and from one window's start to the next.
@@ -21,29 +22,49 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, .. of ranges of n places, one range after the other."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 class Vocabulary:
-    """Distinct words of a slice of texts: their hashes, character trigrams, and the word at each place."""
+    """Distinct words of texts: their hashes, character trigrams, and the word at each place of each text."""
 
     def __init__(self, column):
-        self.words = words = Words(column, lower=True, kind=ALNUM)
+        words = Words(column, lower=True, kind=ALNUM)
+        self.count, self.first = words.count, words.first
         self.hash, first, self.at = np.unique(words.hash, return_index=True, return_inverse=True)
         # Trigrams from the byte before a word to the byte after it, both read as 0.
         padded = np.concatenate(([0], np.where(ALNUM[words.buf], words.buf, 0), [0, 0])).astype(np.int64)
         start, n = words.start[first], words.end[first] - words.start[first]
-        self.ends = np.cumsum(n)
-        place = np.repeat(start - (self.ends - n), n) + np.arange(self.ends[-1] if len(n) else 0)
+        self.lengths, self.ends = n, np.cumsum(n)
+        place = ranges(start, n)
         codes = padded[place] << 16 | padded[place + 1] << 8 | padded[place + 2]
-        self.grams = (mixed(codes.astype(U)) % U(GRAMS)).astype(np.int64)
-        self.lengths = n
+        self.grams = (mixed(codes.astype(U)) % U(GRAMS)).astype(np.int16)
+
+    @classmethod
+    def joined(cls, parts: list[Vocabulary]) -> Vocabulary:
+        """The vocabulary of the texts of several, one after the other."""
+        whole = cls.__new__(cls)
+        every = np.concatenate([p.hash for p in parts])
+        whole.hash, first = np.unique(every, return_index=True)
+        whole.at = np.concatenate([np.searchsorted(whole.hash, p.hash)[p.at] for p in parts])
+        whole.count = np.concatenate([p.count for p in parts])
+        whole.first = np.concatenate(([0], np.cumsum(whole.count)))
+        lengths, grams = np.concatenate([p.lengths for p in parts]), np.concatenate([p.grams for p in parts])
+        whole.lengths = lengths[first]
+        whole.ends = np.cumsum(whole.lengths)
+        whole.grams = grams[ranges((np.cumsum(lengths) - lengths)[first], whole.lengths)]
+        return whole
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start (a word's number), length and row of all overlapping windows."""
-        count = self.words.count
+        count = self.count
         per_row = np.where(count > 0, 1 + np.maximum(0, -(-(count - WINDOW) // STRIDE)), 0)
         row = np.repeat(np.arange(len(count)), per_row)
         number = np.arange(len(row)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
-        start = self.words.first[row] + number * STRIDE
-        return start, np.minimum(WINDOW, self.words.first[row + 1] - start), row
+        start = self.first[row] + number * STRIDE
+        return start, np.minimum(WINDOW, self.first[row + 1] - start), row
 
 
 class Network:
@@ -78,8 +99,7 @@ class Network:
         grams, lengths, ends, hashes = vocabulary.grams, vocabulary.lengths, vocabulary.ends, vocabulary.hash
         if which is not None:
             n = lengths[which]
-            place = np.repeat(ends[which] - n - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            grams, lengths, hashes = grams[place], n, hashes[which]
+            grams, lengths, hashes = grams[ranges(ends[which] - n, n)], n, hashes[which]
             ends = np.cumsum(n)
         sums = np.add.reduceat(self.w["grams"][grams], ends - lengths, axis=0) if len(ends) else np.zeros((0, CHAR), np.float32)
         numbers = self.numbers(hashes)
@@ -199,11 +219,14 @@ def train(column, labels: np.ndarray, epochs: int = 8, rate: float = 0.01, least
     changed its view. Texts without the mark also give two windows at random. Words of `least` texts or
     more are the vocabulary.
     """
-    vocabulary = Vocabulary(column)
-    words, random = vocabulary.words, np.random.default_rng(seed)
-    pairs = np.unique(vocabulary.at.astype(np.int64) * words.rows + words.row)
-    toxic = labels[pairs % words.rows]
-    bad, good = (np.bincount(pairs // words.rows, x, len(vocabulary.hash)) for x in (toxic, 1 - toxic))
+    # Slice by slice, so that what is held at once is the words and not the work on their bytes.
+    batch = pa.RecordBatch.from_arrays([column], ["text"])
+    vocabulary = Vocabulary.joined([Vocabulary(part.column("text")) for part in slices(batch, "text")] or [Vocabulary(column)])
+    random, n = np.random.default_rng(seed), max(1, len(column))
+    pairs = np.unique(vocabulary.at.astype(np.int64) * n + np.repeat(np.arange(len(column)), vocabulary.count))
+    toxic = labels[pairs % n]
+    bad, good = (np.bincount(pairs // n, x, len(vocabulary.hash)) for x in (toxic, 1 - toxic))
+    del pairs, toxic
     odds = np.log((bad + 0.1) / (labels.sum() + 0.2)) - np.log((good + 0.1) / ((1 - labels).sum() + 0.2))
     hint = np.clip(odds * (1 - np.exp(-(bad + good) / 8)), -3, 3)
     common = bad + good >= least

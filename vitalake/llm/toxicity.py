@@ -11,7 +11,7 @@ from vitalake.llm.arrays import Fields, add_columns, pick
 from vitalake.llm.recurrent import Network, Vocabulary, train
 
 #: Labelled documents that a fit uses at most, and the bytes that one of them may have.
-SAMPLE, LONGEST = 8_000, 1 << 20
+SAMPLE, LONGEST = 4_000, 1 << 18
 
 
 def held_out(doc_id: str = "doc_id", part: int = 0) -> Column:
