@@ -122,3 +122,12 @@ def test_blocks_and_buckets_do_not_show(make, monkeypatch):
     assert [got[i] for i, _ in rows] == kept_words(rows, 20)
     got = by_id(suffixes.remove_repeats(make(rows), 50), "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert [got[i] for i, _ in rows] == kept_bytes(rows, 50)
+
+
+def test_nothing_or_too_little_repeats(make):
+    pick = random.Random(9)
+    shared = "".join(pick.choices("abcdefgh ", k=390))  # long enough to be a candidate, too short to go
+    rows = [(i, "".join(pick.choices("abcdefgh ", k=900)) + (shared if i < 6 else "") + "".join(pick.choices("ijkl", k=50))) for i in range(9)]
+    got = by_id(suffixes.remove_repeats(make(rows)), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert [got[i] for i, _ in rows] == kept_bytes(rows, 400) and not any(v[1] for v in got.values())
+    assert not any(r.n_removed for r in suffixes.remove_repeats(make(rows[6:])).collect())
