@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from vitalake.llm.arrays import ALNUM, U, Words, mixed, slices
+from vitalake.llm.arrays import ALNUM, U, Words, mixed, ranges, slices
 
 HIDDEN, WORD, CHAR, GRAMS, ATTEND = 8, 8, 4, 4096, 8
 #: Words of a window, and from one window's start to the next.
@@ -22,11 +22,6 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The places start, start + 1, .. of ranges of n places, one range after the other."""
-    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
-
-
 class Vocabulary:
     """Distinct words of texts: their hashes, character trigrams, and the word at each place of each text."""
 
