@@ -139,7 +139,7 @@ def base_spans(text):
 SECRETS = [
     (1, "é Password = 'hunter2hunter2' AKIA" + "A1" * 8), (2, "token: short token:\"" + "0f" * 16 + "\""), (3, "x" + "a" * 32 + "g" + "b" * 31),
     (4, None), (5, ""), (6, "API_KEY=abcdefgh apikey:12345678 api-key=12345678"), (7, "a" * 100), (8, "paſſword=12345678 AKIA12"),
-    (9, "ghp_" + "a1" * 18 + " -----BEGIN RSA PRIVATE KEY----- xoxb-1234567890ab"), (10, "é" * 40 + "0" * 64 + "secret=" + "0" * 40),
+    (9, "ghp_" + "z1" * 18 + " -----BEGIN RSA PRIVATE KEY----- xoxb-1234567890ab"), (10, "é" * 40 + "0" * 64 + "secret=" + "0" * 40),
 ]
 
 
