@@ -23,8 +23,8 @@ from vitalake.llm.arrays import Fields, pick, slices
 
 SIZE = 4096
 END = 2
-#: Words whose ids a task remembers; past that it starts again.
-REMEMBERED = 1_000_000
+#: Words whose ids a Python worker remembers, twice over: those of this turn and of the one before.
+REMEMBERED = 150_000
 
 # Texts of these characters only are lowered and cut here; all others go through the tokenizer whole.
 PLAIN = "\\t\\n\\x0b\\x0c\\r\\x20-\\x7e\\xa0-\\u012f\\u0131-\\u017e"
@@ -49,19 +49,20 @@ class Tokenizer:
         size = self.library.get_vocab_size()
         self.ends = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
-        """Encode words not met before in one text: a token that ends a word ends in `</w>`."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+        """Encode words not met lately in one text: a token that ends a word ends in `</w>`."""
+        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(words) or (len(ends) and ends[-1] != len(ids)):
             for word in words:
-                self.known[word] = np.array(self.library.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
+                self.known[word] = np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
             return
-        for word, part in zip(words, np.split(ids, ends[:-1]), strict=True):
-            self.known[word] = part.astype("<u4").tobytes()
+        data, at = ids.tobytes(), 0
+        for word, end in zip(words, (4 * ends).tolist(), strict=True):
+            self.known[word] = data[at:end]
+            at = end
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, None as the empty one."""
@@ -69,11 +70,13 @@ class Tokenizer:
         for text in texts:
             plain = not text or (self.plain.fullmatch(text) and "<|" not in text)
             cut.append(self.cut(text.lower()) if text and plain else [] if plain else None)
-        new = {word for words in cut if words for word in words}.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = {word for words in cut if words for word in words}
-        if new:
+        wanted = set().union(*[words for words in cut if words])
+        if len(self.known) + len(wanted) > REMEMBERED:
+            # Words in use lately move on with the new ones; the others are forgotten one turn later.
+            self.before, self.known = self.known, {}
+        new = wanted.difference(self.known)
+        self.known |= {word: self.before[word] for word in new.intersection(self.before)}
+        if new := new.difference(self.before):
             self.learn(sorted(new))
         known, out = self.known, []
         for text, words in zip(texts, cut, strict=True):
