@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 U = np.uint64
 
 
@@ -49,7 +49,7 @@ def _power_table(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _power_table(max(1 << 21, 1 << max(0, n - 1).bit_length()))
+    up, down = _power_table(max(1 << 19, 1 << max(0, n - 1).bit_length()))
     return up[:n], down[:n]
 
 

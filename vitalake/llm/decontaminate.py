@@ -26,6 +26,7 @@ INDEX_BYTES = 1 << 20
 #: Bytes that an item counts besides its text.
 ITEM_BYTES = 64
 FOUND = Fields("_hit binary, _items strings").spark
+RESULT = Fields("n_words long, n_hit long, n_items long, items strings, contaminated boolean, clean_text string").spark
 
 
 class Index:
@@ -90,47 +91,43 @@ def contamination(
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts)) == part) if n_parts > 1 else items
         listed = [(None if i is None else str(i), t) for i, t in rows.collect()]
         held = docs.sparkSession.sparkContext.broadcast(listed)
-
-        def make(held=held):
-            index = Index(held.value, size)
-
-            def scan(batch):
-                words = Words(batch.column(text), True, ALNUM)
-                hit, found = index.hits(words)
-                before, names = batch.column("_hit"), batch.column("_items").to_pylist()
-                hits = []
-                for i in range(words.rows):
-                    own = hit[words.first[i] : words.first[i + 1]]
-                    earlier = before[i].as_py()
-                    if earlier:
-                        own = own | np.unpackbits(np.frombuffer(earlier, np.uint8), count=len(own)).astype(bool)
-                    hits.append(np.packbits(own).tobytes() if own.any() else None)
-                    names[i] = [*found[i].union(names[i])]
-                return [pa.array(hits, pa.binary()), pa.array(names, pa.list_(pa.string()))]
-
-            return scan
-
-        out = add_columns(out, make, FOUND, text)
-    fields = Fields("n_words long, n_hit long, n_items long, items strings, contaminated boolean, clean_text string").spark
-
-    def finish(batch):
-        words = Words(batch.column(text), True, ALNUM, hashes=False)
-        texts = batch.column(text).to_pylist()
-        hit = np.zeros(len(words), bool)
-        for i, bits in enumerate(batch.column("_hit").to_pylist()):
-            if bits:
-                own = np.unpackbits(np.frombuffer(bits, np.uint8), count=words.count[i]).astype(bool)
-                hit[words.first[i] : words.first[i + 1]] = own
+        last = part == n_parts - 1
+        out = add_columns(out, _pass(held, size, text, last), RESULT if last else FOUND, text)
+    return out.drop("_hit", "_items")
+
+
+def _pass(held, size: int, text: str, last: bool):
+    """A pass of the documents by one part of the items; the last one gives the results."""
+
+    def make():
+        index = Index(held.value, size)
+
+        def scan(batch):
+            words = Words(batch.column(text), True, ALNUM)
+            hit, found = index.hits(words)
+            names = batch.column("_items").to_pylist()
+            for i, earlier in enumerate(batch.column("_hit").to_pylist()):
+                found[i].update(names[i])
+                if earlier:
+                    own = np.unpackbits(np.frombuffer(earlier, np.uint8), count=words.count[i]).astype(bool)
+                    hit[words.first[i] : words.first[i + 1]] |= own
+            n_hit = row_sums(hit, words.first)
+            hits = {i: hit[words.first[i] : words.first[i + 1]] for i in np.flatnonzero(n_hit).tolist()}
+            if not last:
+                sent = [np.packbits(hits[i]).tobytes() if i in hits else None for i in range(words.rows)]
+                return [pa.array(sent, pa.binary()), pa.array([[*x] for x in found], pa.list_(pa.string()))]
+            texts = batch.column(text).to_pylist()
+            for i, own in hits.items():
                 texts[i] = without(words, i, own, texts[i].encode())
-        n_hit = row_sums(hit, words.first)
-        names = [sorted(x for x in found if x is not None) for found in batch.column("_items").to_pylist()]
-        return [
-            words.count.astype(np.int64), n_hit, np.array([len(x) for x in names], np.int64),
-            pa.array(names, pa.list_(pa.string())), n_hit > 0, pa.array(texts, pa.string()),
-        ]
-
-    done = add_columns(out, lambda: finish, fields, text)
-    return done.drop("_hit", "_items")
+            listed = [sorted(x for x in own if x is not None) for own in found]
+            return [
+                words.count.astype(np.int64), n_hit, np.array([len(x) for x in listed], np.int64),
+                pa.array(listed, pa.list_(pa.string())), n_hit > 0, pa.array(texts, pa.string()),
+            ]
+
+        return scan
+
+    return make
 
 
 def without(words: Words, row: int, hit: np.ndarray, data: bytes) -> str:

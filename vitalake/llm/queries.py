@@ -14,7 +14,11 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table. Python workers are told where this package lies, for sessions started elsewhere."""
+    """A given table, sent to Python in small batches, as texts are long.
+
+    Python workers are told where this package lies, for sessions started elsewhere.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
