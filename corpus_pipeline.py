@@ -6,7 +6,7 @@ return the columns of documents. A stage's result is written and read again befo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalake.llm import decontaminate, neardup, packing, quality, secrets
@@ -29,12 +29,21 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near-duplicates; of rows with one id, one."""
-    keep = neardup.groups(docs).filter("kept").select(F.coalesce("doc_id", F.lit(FIRST_ID)).alias("_doc")).distinct()
-    keyed = docs.withColumn("_doc", F.coalesce("doc_id", F.lit(FIRST_ID)))
-    in_order = Window.partitionBy("_doc").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns))
-    first = keyed.join(keep, "_doc", "left_semi").withColumn("_n", F.row_number().over(in_order)).filter("_n = 1")
-    return first.select(*[first[f"`{c}`"] for c in docs.columns])
+    """The document with the least id of each group of near-duplicates; of rows with one id and text, one.
+
+    Documents are told apart by id and text, so one id with two texts is two documents, and so are two
+    texts without an id. Copies combine before the shuffle; what is left is written once and read again.
+    """
+    folder, columns = scratch(spark), [F.col(f"`{c}`") for c in docs.columns]
+    document = F.xxhash64(F.coalesce("doc_id", F.lit(FIRST_ID)), F.coalesce("text", F.lit("")))
+    rows = docs.select(document.alias("document"), F.struct(F.xxhash64(*columns).alias("order"), F.struct(*columns).alias("row")).alias("first"))
+    rows.groupBy("document").agg(F.min("first").alias("first")).select("document", "first.row").write.parquet(f"{folder}/documents")
+    each = spark.read.parquet(f"{folder}/documents")
+    found = neardup.groups(each.select(F.col("document").alias("doc_id"), F.col("row.text").alias("text")))
+    ids = each.select("document", F.coalesce("row.doc_id", F.lit(FIRST_ID)).alias("id"))
+    grouped = ids.join(found.select(F.col("doc_id").alias("document"), "component_id"), "document").groupBy("component_id")
+    keep = grouped.agg(F.min(F.struct("id", "document")).alias("least")).select(F.col("least.document").alias("document"))
+    return each.join(keep, "document", "left_semi").select("row.*")
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

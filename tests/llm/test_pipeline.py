@@ -52,3 +52,13 @@ def test_stages_take_odd_rows(spark, make):
     same = make([(4, "a b"), (4, "a b"), (5, "a  b"), (None, None), (None, "x y")], clashing=False)
     kept = sorted((r.doc_id or 0, r.text or "") for r in corpus_pipeline.one_of_each_group(spark, same, SMALL).collect())
     assert len(kept) == 2 and kept[1] == (4, "a b")
+
+
+def test_documents_are_told_apart_by_id_and_text(spark, make):
+    long = [f"w{i}" for i in range(100)]
+    near = " ".join([*long[:-1], "x"])
+    rows = [(None, near), (5, " ".join(long)), (None, "quite another text"), (None, "and a third"), (None, "and a third"),
+            (7, "one id"), (7, "two texts"), (8, "TWO  texts"), (9, None), (9, ""), (None, None)]
+    kept = collections.Counter((r.doc_id, r.text or "") for r in corpus_pipeline.one_of_each_group(spark, make(rows), SMALL).collect())
+    want = [(None, near), (None, "quite another text"), (None, "and a third"), (7, "one id"), (7, "two texts"), (9, ""), (None, "")]
+    assert kept == collections.Counter(want)
