@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from llm.conftest import ODD, by_id
-from vitalake.llm import language, recurrent, toxicity
+from vitalake.llm import blocks, language, recurrent, toxicity
 from vitalake.llm.queries import QUERIES, table
 
 SF = "/root/testdata/sf0.01"
@@ -120,3 +120,27 @@ def test_toxicity_odd_rows(spark, make):
     assert toxicity.score(make([]), network).count() == 0
     none = toxicity.fit(make(ODD), labels.limit(0))
     assert len({r.score for r in toxicity.score(make(ODD), none).collect()}) == 1
+
+
+def test_every_context_has_a_row_of_its_own():
+    tokens = language.Tokens(pa.array([" ".join(f"w{i} v{i * 7 % 40009}" for i in range(40009))]))
+    contexts = tokens.contexts()
+    names = language.Model._rows(contexts, 0, tokens.slot // language.MEMBERS)
+    assert len(np.unique(names[1])) == len(np.unique(contexts[1])) > 1 << 15
+
+
+def test_rounds_start_from_the_shared_weights(make, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK", 20_000)
+    monkeypatch.setattr(language, "SHARE", 30_000)
+    pick = np.random.default_rng(3)
+    follows = pick.permutation(300)
+    rows = []
+    for i in range(60):
+        words, w = [], int(pick.integers(300))
+        for _ in range(300):
+            words.append(f"t{w}e")
+            w = int(follows[w])
+        rows.append((i, " ".join(words)))
+    docs = make(rows)
+    one, three = (sum(r.score for r in language.score(docs, **kw).collect() if r.held_out) for kw in ({"rounds": 1}, {}))
+    assert three > one
