@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalake.llm import decontaminate, language, neardup, packing, quality, revisits, secrets, substrings, suffixes, toxicity
+from vitalake.llm import decontaminate, language, lines, neardup, packing, quality, revisits, secrets, substrings, suffixes, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -77,6 +77,10 @@ def toxic(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.digest(lines.remove_repeats(table(spark, folder, "documents").select("doc_id", "text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup,
     "op2_minhash_dedup": minhash_dedup,
@@ -88,5 +92,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": secret_scan,
     "op9_packing": packed,
     "op10_toxicity": toxic,
+    "op13_line_dedup": line_dedup,
 }
-SQL: dict[str, str] = {"op3_warc_revisits": revisits.SQL}
+SQL: dict[str, str] = {"op3_warc_revisits": revisits.SQL, "op13_line_dedup": lines.SQL}
