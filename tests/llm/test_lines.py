@@ -1,0 +1,117 @@
+"""Line dedup against brute force."""
+
+import collections
+import hashlib
+import random
+import re
+
+import pytest
+from llm.conftest import ODD, by_id
+from vitalake.llm import lines
+
+SPACE = " \t\n\x0b\x0c\r"
+
+
+def key_of(line):
+    return re.sub("[A-Z]+", lambda m: m[0].lower(), line.strip(SPACE))
+
+
+def kept_lines(rows, least=20, documents=3):
+    """rows: (doc_id, text); (n_lines, n_dropped, hash) of each."""
+    holders = collections.defaultdict(set)
+    rows = [(-(1 << 63) if i is None else i, (t or "").split("\n")) for i, t in rows]
+    for i, parts in rows:
+        for line in parts:
+            if len(key_of(line)) >= least:
+                holders[key_of(line)].add(i)
+    gone = {k: max(v) for k, v in holders.items() if len(v) >= documents}
+    out = []
+    for i, parts in rows:
+        kept = [x for x in parts if gone.get(key_of(x), i) == i]
+        out.append((len(parts), len(parts) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    return out
+
+
+def judged(frame, **options):
+    found = lines.digest(lines.remove_repeats(frame, **options))
+    return sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in found.collect()), key=repr)
+
+
+def wanted(rows, **options):
+    return sorted(((i, *v) for (i, _), v in zip(rows, kept_lines(rows, **options), strict=True)), key=repr)
+
+
+def shared(seed, n=60):
+    """Texts of lines that many of them hold, with other white space and capitals."""
+    pick = random.Random(seed)
+    pool = ["".join(pick.choices("abcdeé ", k=pick.randint(15, 30))) for _ in range(40)]
+    rows = []
+    for i in range(n):
+        parts = [pick.choice(pool) for _ in range(pick.randint(0, 8))]
+        parts = [pick.choice(["", " ", "\t\x0b", "\r"]) + pick.choice([x, x.upper(), x.replace("a", "A")]) + pick.choice(["", "  ", "\x0c"]) for x in parts]
+        rows.append((i, "\n".join(parts) if i % 7 else pick.choice([None, ""])))
+    return rows
+
+
+def test_given_documents(small):
+    df, texts = small
+    rows = list(texts.items())
+    got = judged(df)
+    assert got == wanted(rows) and sum(r[2] for r in got) > 0
+
+
+@pytest.mark.parametrize(("seed", "batches"), [(1, 8), (2, 1), (3, 30)])
+def test_batches_do_not_show(make, seed, batches):
+    rows = shared(seed)
+    assert judged(make(rows), batches=batches) == wanted(rows)
+
+
+def test_other_limits(make):
+    rows = shared(4)
+    assert judged(make(rows), least=1, documents=2) == wanted(rows, least=1, documents=2)
+
+
+def test_odd_rows(make):
+    line, short = "A line of more than twenty", "x" * 19
+    long = "\n".join(f"line number {i} of a long text" for i in range(20_000))
+    # Beyond ASCII only code points count and letters stay; separators of other kinds are part of a line.
+    rows = [
+        *ODD, (20, line), (20, "other\n" + line), (21, line.upper() + " \r"), (22, f"{line}\n\n{line}"), (23, f"\t{line}\x0b\n{short}"),
+        (24, short), (25, short), (None, line), (None, line), (30, "É" * 20), (31, "é" * 20), (32, "É" * 20), (33, " " + "É" * 20),
+        (40, "a" * 20 + " "), (41, "a" * 20), (42, "a" * 20 + " "), (43, "a" * 20 + "  "), (50, long), (51, long), (52, long + "\n"),
+    ]
+    assert judged(make(rows)) == wanted(rows)
+    found = collections.Counter((r.doc_id, r.n_dropped, r.kept_text) for r in lines.remove_repeats(make(rows)).collect())
+    assert found[None, 1, ""] == 2 and found[23, 0, f"\t{line}\x0b\n{short}"] == 1 and found[20, 1, "other"] == 1
+
+
+def test_one_line_in_a_third_of_all_rows(spark, make):
+    line = "the same line of a licence, found everywhere"
+    rows = [(i, f"text number {i} with words\n{line}" if i % 3 == 0 else f"other {i}") for i in range(3000)] + [(7, line)] * 500
+    assert judged(make(rows, parts=8)) == wanted(rows)
+
+
+def test_empty_table(make):
+    assert judged(make([])) == []
+    assert judged(make([(1, None)])) == [(1, 1, 0, hashlib.sha256(b"").hexdigest())]
+
+
+def test_runs_are_levelled_and_disjoint(spark, tmp_path):
+    runs = lines.LineRuns(spark, str(tmp_path), fanout=3)
+    for batch in range(10):
+        first = 1000 - 100 * batch
+        rows = [(k, k, first + k % 50) for k in range(batch, batch + 20)]
+        runs.add(spark.createDataFrame(rows * 2, "k1 long, k2 long, doc long"))
+    assert [len(level) for level in runs.levels] == [1, 0, 1]
+    got = {r.k1: (r.docs, r.top) for r in runs.merged().collect()}
+    # A key comes in up to ten batches; the first batch that has it names the holder.
+    assert got == {k: (min(k, 9) - max(0, k - 19) + 1, 1000 - 100 * max(0, k - 19) + k % 50) for k in range(29)}
+    left = {n for level in runs.levels for n in level}
+    assert left <= {t.name for t in spark.catalog.listTables()}
+    runs.drop()
+    assert not left & {t.name for t in spark.catalog.listTables()}
+
+
+def test_no_python_on_the_way(make):
+    plan = lines.digest(lines.remove_repeats(make([(1, "a line of more than twenty letters")])))._jdf.queryExecution().toString()
+    assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))

@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalake.llm import decontaminate, language, lines, neardup, packing, quality, revisits, secrets, substrings, suffixes, toxicity
+from vitalake.llm import centroids, decontaminate, language, lines, neardup, packing, prefixes, quality, revisits, secrets, substrings, suffixes, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -77,6 +77,14 @@ def toxic(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefixes.trie(table(spark, folder, "conversations"))
+
+
+def centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.digest(centroids.cluster(table(spark, folder, "embeddings")))
+
+
 def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.digest(lines.remove_repeats(table(spark, folder, "documents").select("doc_id", "text")))
 
@@ -92,6 +100,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": secret_scan,
     "op9_packing": packed,
     "op10_toxicity": toxic,
+    "op11_prefix_trie": prefix_trie,
+    "op12_centroid_clusters": centroid_clusters,
     "op13_line_dedup": line_dedup,
 }
-SQL: dict[str, str] = {"op3_warc_revisits": revisits.SQL, "op13_line_dedup": lines.SQL}
+SQL: dict[str, str] = {
+    "op3_warc_revisits": revisits.SQL,
+    "op11_prefix_trie": prefix_trie,
+    "op11_prefix_trie": prefixes.SQL,
+    "op12_centroid_clusters": centroids.SQL,
+    "op13_line_dedup": lines.SQL,
+}
