@@ -15,7 +15,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalake.sources.versions import dataset_path, now_label, publish, resolve
+from vitalake.sources.publications import Table, Version, claim
+from vitalake.sources.versions import dataset_name, now_label, publish, refuse_published, resolve
 
 SECTION = "models"
 #: Distinct values that a text column or target may have in a fit.
@@ -183,12 +184,13 @@ def save_model(
     label: str | None = None,
 ) -> str:
     """Write a model and its feature list as one version and make it the latest."""
-    label = label or now_label()
-    base = dataset_path(root, SECTION, name)
-    model.write().save(f"{base}/{label}/model")
+    label, root = label or now_label(), root.rstrip("/")
+    refuse_published(spark, root, SECTION, name, label)
+    folder = claim(spark, root, dataset_name(SECTION, name), label)
+    model.write().save(f"{root}/{folder}/model")
     listed = spark.createDataFrame([(i, f) for i, f in enumerate(features)], "position int, feature string")
-    listed.coalesce(1).write.mode("errorifexists").json(f"{base}/{label}/features")
-    publish(spark, base, label, ["model", "features"])
+    listed.coalesce(1).write.mode("errorifexists").json(f"{root}/{folder}/features")
+    publish(spark, root, [Version(dataset_name(SECTION, name), label, folder, (Table("model"), Table("features")))])
     return label
 
 
@@ -196,11 +198,10 @@ def load_model(
     spark: SparkSession, root: str, name: str, version: str = "latest"
 ) -> tuple[PipelineModel, list[str]]:
     """A model and its features, in order: the latest or an exact version."""
-    base = dataset_path(root, SECTION, name)
-    label, _ = resolve(spark, base, version)
-    listed = spark.read.schema("position int, feature string").json(f"{base}/{label}/features")
+    folder = f"{root.rstrip('/')}/{resolve(spark, root, SECTION, name, version).folder}"
+    listed = spark.read.schema("position int, feature string").json(f"{folder}/features")
     features = [r.feature for r in listed.orderBy("position").collect()]
-    return PipelineModel.load(f"{base}/{label}/model"), features
+    return PipelineModel.load(f"{folder}/model"), features
 
 
 def score(df: DataFrame, model: PipelineModel, out: str = "prediction") -> DataFrame:

@@ -113,6 +113,11 @@ def split_entities(df: DataFrame, specs: Mapping[str, Sequence[Column | str]]) -
     return {name: df.select(*cols) for name, cols in specs.items()}
 
 
+def union_all(frames: Sequence[DataFrame]) -> DataFrame:
+    """All rows of same-shaped frames."""
+    return reduce(DataFrame.unionByName, frames)
+
+
 def union_distinct(frames: Sequence[DataFrame]) -> DataFrame:
     """UNION DISTINCT of same-shaped frames."""
-    return reduce(DataFrame.unionByName, frames).distinct()
+    return union_all(frames).distinct()

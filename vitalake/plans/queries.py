@@ -14,6 +14,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vitalake import schemas
 from vitalake.functions import arrays, values
@@ -24,7 +25,7 @@ from vitalake.operators.occurrences import occurrence_id
 from vitalake.plans import dashboards, runs, serving, warehouse
 from vitalake.session import configure, shared_dir
 from vitalake.sources import backup as backups
-from vitalake.sources import landing, readers, tolerance, versions
+from vitalake.sources import buckets, landing, publications, readers, tolerance, versions
 from vitalake.streaming import log_streams
 
 LOAD_TS = datetime(2026, 6, 17, 3, 0, tzinfo=timezone.utc)
@@ -856,7 +857,7 @@ def _(t):
         f"{t.scratch}/csv"
     )
     schema = "p_partkey bigint, p_name string, `Size (cm)` int, p_retailprice double"
-    read = readers.read_csv(t.spark, f"{t.scratch}/csv", schemas.T._parse_datatype_string(schema), corrupt=True)
+    read = readers.read_csv(t.spark, f"{t.scratch}/csv", schemas.T.StructType.fromDDL(schema), corrupt=True)
     read.write.parquet(f"{t.scratch}/raw")
     good, _bad = tolerance.tolerate(t.spark.read.parquet(f"{t.scratch}/raw"), max_ratio=0.5)
     return good.withColumnRenamed("Size (cm)", "p_size")
@@ -871,7 +872,7 @@ def _size_of_promo() -> Column:
 def _(t):
     kind = F.when(F.col("p_type") != "PROMO", F.col("p_type")).alias("p_type")
     t.part.select("p_partkey", F.split("p_name", " ").alias("words"), kind).write.json(f"{t.scratch}/json")
-    schema = schemas.T._parse_datatype_string("p_partkey bigint, words array<string>, p_type string")
+    schema = schemas.T.StructType.fromDDL("p_partkey bigint, words array<string>, p_type string")
     read = readers.read_json(t.spark, f"{t.scratch}/json", schema, lines=True)
     return read.withColumn("words", joined("words"))
 
@@ -910,6 +911,51 @@ def _(t):
     return merge.union_tagged(versions.read_tables(t.spark, t.scratch, "serving", "accounts"))
 
 
+@query(
+    "publication_two_datasets",
+    """SELECT 'customer' AS source, 1 AS number, c_custkey AS id, c_acctbal AS balance FROM customer
+       UNION ALL SELECT 'supplier', 1, s_suppkey, s_acctbal FROM supplier
+       UNION ALL SELECT 'customer', 2, c_custkey, c_acctbal FROM customer WHERE c_acctbal > 0
+       UNION ALL SELECT 'supplier', 2, s_suppkey, s_acctbal FROM supplier""",
+)
+def _(t):
+    # One entry publishes two datasets, the next one of them; both are read as of either entry.
+    kinds = {"customer": ("c_custkey", "c_acctbal"), "supplier": ("s_suppkey", "s_acctbal")}
+    frames = {name: getattr(t, name).select(F.col(i).alias("id"), F.col(b).alias("balance")) for name, (i, b) in kinds.items()}
+    staged = [versions.stage_tables({"data": df}, t.scratch, "accounts", name, "first") for name, df in frames.items()]
+    versions.publish(t.spark, t.scratch, staged)
+    versions.write_version(frames["customer"].filter("balance > 0"), t.scratch, "accounts", "customer", "second")
+    seen = [
+        versions.read_tables(t.spark, t.scratch, "accounts", name, number=number)["data"].withColumns(
+            {"source": F.lit(name), "number": F.lit(number)}
+        )
+        for name in kinds
+        for number in (1, 2)
+    ]
+    return merge.union_all(seen)
+
+
+@query(
+    "upsert_touched",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 100 = 0 THEN 'late' ELSE o_orderstatus END AS o_orderstatus,
+       o_orderkey % 100 = 0 AS updated FROM orders UNION ALL SELECT -1 - s_suppkey, 'new', true FROM supplier""",
+)
+def _(t):
+    # All orders first, then a batch of changed and new ones: only the buckets of its keys are written again.
+    schema = T.StructType.fromDDL("o_orderkey bigint, o_orderstatus string, created_at timestamp, updated_at timestamp")
+    first = t.orders.select("o_orderkey", "o_orderstatus")
+    changed = t.orders.filter("o_orderkey % 100 = 0").select("o_orderkey", F.lit("late").alias("o_orderstatus"))
+    new = t.supplier.select((-1 - F.col("s_suppkey")).alias("o_orderkey"), F.lit("new").alias("o_orderstatus"))
+    old = None
+    for label, batch, load_ts in (("1", first, OLD_TS), ("2", changed.unionByName(new), LOAD_TS)):
+        folder = publications.claim(t.spark, t.scratch, "sales/orders", label)
+        table, _ = buckets.upsert_buckets(batch, t.scratch, old, folder, "orders", ("o_orderkey",), schema, 2000, load_ts=load_ts)
+        versions.publish(t.spark, t.scratch, [versions.Version("sales/orders", label, folder, (table,))])
+        old = versions.resolve(t.spark, t.scratch, "sales", "orders")
+    rows = versions.read_tables(t.spark, t.scratch, "sales", "orders")["orders"]
+    return rows.select("o_orderkey", "o_orderstatus", (F.col("updated_at") == F.lit(LOAD_TS)).alias("updated"))
+
+
 # ── Whole loads on source files derived from the tables ──────────────────────
 
 

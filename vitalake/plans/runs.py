@@ -11,19 +11,28 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vitalake import schemas
 from vitalake.plans import serving, warehouse
 from vitalake.session import bytes_under, size_shuffles
+from vitalake.sources import publications
 from vitalake.sources.backup import backup
 from vitalake.sources.landing import external_sources, land_all, land_export
+from vitalake.sources.buckets import ROWS, merge_buckets
+from vitalake.sources.publications import Table, Version
 from vitalake.sources.tolerance import tolerate
 from vitalake.sources.versions import (
+    AT_ONCE,
     VersionNotFound,
-    dataset_path,
-    read_tables,
+    dataset_name,
+    now_label,
+    publish,
     read_version,
+    refuse_published,
     resolve,
+    stage_tables,
+    tables_of,
     write_tables,
 )
 
@@ -58,8 +67,8 @@ class IdCollision(ValueError):
     """Two names have one id."""
 
 
-#: What the id of a table stands for, where a table holds both.
-NAMED_BY = ("name", "id_data_set")
+#: What the id of a table stands for, where a table holds both; `patient_id` is the patient a row is of.
+NAMED_BY = ("name", "id_data_set", "patient_id")
 
 
 def _check_ids(tables: dict[str, DataFrame]) -> None:
@@ -71,6 +80,15 @@ def _check_ids(tables: dict[str, DataFrame]) -> None:
                 raise IdCollision(f"{table}: {first.a!r} and {first.b!r} have the id {first.id}")
 
 
+def _check_one_per_id(tables: dict[str, DataFrame]) -> None:
+    """Refuse a load in which an id stands for two rows, which in the serving store are two keys."""
+    _check_ids(tables)
+    for table, df in tables.items():
+        of = df.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
+        if (first := of.first()) is not None:
+            raise IdCollision(f"{table}: {first.n} rows have the id {first.id}")
+
+
 def _landed_or_empty(spark: SparkSession, root: str, section: str, dataset: str, columns) -> DataFrame:
     try:
         return read_version(spark, root, section, dataset)
@@ -78,10 +96,10 @@ def _landed_or_empty(spark: SparkSession, root: str, section: str, dataset: str,
         return spark.createDataFrame([], schemas.text_schema(columns))
 
 
-def load_warehouse_dataset(
+def stage_warehouse_dataset(
     spark: SparkSession, root: str, dataset: str, load_ts: datetime | None = None, label: str | None = None
-) -> str:
-    """Reload one warehouse dataset from the latest landed files; returns its label."""
+) -> Version:
+    """Reload one warehouse dataset from the latest landed files; the version is written but not published."""
     load_ts = load_ts or _now()
     if dataset not in WAREHOUSE_DATASETS:
         raise ValueError(f"unknown dataset {dataset!r}; known: {', '.join(WAREHOUSE_DATASETS)}")
@@ -100,43 +118,84 @@ def load_warehouse_dataset(
         frames = {dataset: warehouse.raw_csv(read_version(spark, root, EXTERNAL, dataset), columns)}
     raws = [_raw(spark, root, name, frame, label) for name, frame in frames.items()]
     tables = warehouse.build(dataset, raws, load_ts)
-    return write_tables(tables, root, WAREHOUSE, dataset, label, sort_keys=schemas.SORT_KEY, check=_check_ids)
+    return stage_tables(tables, root, WAREHOUSE, dataset, label, sort_keys=schemas.SORT_KEY, check=_check_ids)
 
 
-def load_serving_dataset(
+def load_warehouse_dataset(
+    spark: SparkSession, root: str, dataset: str, load_ts: datetime | None = None, label: str | None = None
+) -> str:
+    """Reload one warehouse dataset from the latest landed files and publish it; returns its label."""
+    version = stage_warehouse_dataset(spark, root, dataset, load_ts, label)
+    publish(spark, root, [version])
+    return version.label
+
+
+def stage_serving_dataset(
     spark: SparkSession,
     root: str,
     dataset: str,
     load_ts: datetime | None = None,
     label: str | None = None,
     enums: serving.Enums | None = None,
-) -> dict[str, int]:
-    """Merge the latest landed files into the serving tables; returns rows skipped as malformed."""
-    load_ts = load_ts or _now()
+    rows: int = ROWS,
+) -> tuple[Version, dict[str, int]]:
+    """Merge the latest landed files into the serving tables: a version, not published, and rows skipped as malformed.
+
+    The tables are kept as buckets of their id, of about `rows` rows each. Only buckets that the landed rows touch are
+    read and written. An id that stands for two rows is refused: ids come from keys, so both are in one bucket.
+    """
+    load_ts, label, root = load_ts or _now(), label or now_label(), root.rstrip("/")
     if dataset not in SERVING_DATASETS:
         raise ValueError(f"unknown dataset {dataset!r}; known: {', '.join(SERVING_DATASETS)}")
+    refuse_published(spark, root, SERVING, dataset, label)
     try:
-        current = read_tables(spark, root, SERVING, dataset)
+        old = resolve(spark, root, SERVING, dataset)
     except VersionNotFound:
-        current = {}
+        old = None
     source = {"food_item": "daily_food", "exercise": "exercise", "diet": "diet_recommendation"}[dataset]
     landed = read_version(spark, root, EXTERNAL, source)
-    tables = serving.build(dataset, landed, current, load_ts, enums)
+    found = serving.changes(dataset, landed, tables_of(spark, root, old) if old else {}, load_ts, enums)
     skipped = serving.skipped_foods(landed).count() if dataset == "food_item" else 0
-    write_tables(tables, root, SERVING, dataset, label)
-    return {"skipped": skipped}
+    folder = publications.claim(spark, root, dataset_name(SERVING, dataset), label)
+
+    def write(name: str) -> Table:
+        schema = T.StructType.fromDDL(serving.TABLE_SCHEMA[name])
+        table, written = merge_buckets(found[name].rows, root, old, folder, name, ("id",), schema, found[name].apply, rows)
+        _check_one_per_id({name: written})
+        return table
+
+    with ThreadPoolExecutor(max_workers=AT_ONCE) as pool:
+        tables = tuple(pool.map(write, found))
+    others = [t for t in (old.tables if old else ()) if t.name not in found]
+    if others:
+        raise ValueError(f"{dataset}: the published version has further tables: {', '.join(t.name for t in others)}")
+    return Version(dataset_name(SERVING, dataset), label, folder, tables), {"skipped": skipped}
+
+
+def load_serving_dataset(
+    spark: SparkSession,
+    root: str,
+    dataset: str,
+    load_ts: datetime | None = None,
+    label: str | None = None,
+    enums: serving.Enums | None = None,
+    rows: int = ROWS,
+) -> dict[str, int]:
+    """Merge the latest landed files into the serving tables and publish them; returns rows skipped as malformed."""
+    version, report = stage_serving_dataset(spark, root, dataset, load_ts, label, enums, rows)
+    publish(spark, root, [version])
+    return report
 
 
 def _size_for(spark: SparkSession, root: str, names: Iterable[tuple[str, str]]) -> None:
     """Fit the shuffles to the largest of the landed datasets, before the loads start side by side."""
     sizes = [0]
     for section, name in names:
-        base = dataset_path(root, section, name)
         try:
-            label, _ = resolve(spark, base)
+            folder = resolve(spark, root, section, name).folder
         except VersionNotFound:
             continue
-        sizes.append(bytes_under(spark, f"{base}/{label}"))
+        sizes.append(bytes_under(spark, f"{root.rstrip('/')}/{folder}"))
     size_shuffles(spark, max(sizes))
 
 
@@ -153,19 +212,32 @@ def _in_parallel(names: Iterable[str], job: Callable[[str], object]) -> dict[str
 
 
 def load_warehouse(spark: SparkSession, root: str, load_ts: datetime | None = None, label: str | None = None,
-                   datasets: Iterable[str] = WAREHOUSE_DATASETS) -> dict[str, object]:
-    """Reload the warehouse datasets, all with one load time."""
+                   datasets: Iterable[str] = WAREHOUSE_DATASETS, together: bool = False) -> dict[str, object]:
+    """Reload the warehouse datasets, all with one load time.
+
+    `together` publishes them in one entry, so that readers see all of them change at once, or none if one fails.
+    """
     load_ts = load_ts or _now()
     _size_for(spark, root, [*_LANDED, (API, "workout_session")])
-    return _in_parallel(datasets, lambda d: load_warehouse_dataset(spark, root, d, load_ts, label))
+    if not together:
+        return _in_parallel(datasets, lambda d: load_warehouse_dataset(spark, root, d, load_ts, label))
+    staged = _in_parallel(datasets, lambda d: stage_warehouse_dataset(spark, root, d, load_ts, label))
+    if staged:
+        publish(spark, root, list(staged.values()))
+    return {name: version.label for name, version in staged.items()}
 
 
 def load_serving(spark: SparkSession, root: str, load_ts: datetime | None = None, label: str | None = None,
-                 datasets: Iterable[str] = SERVING_DATASETS, enums: serving.Enums | None = None):
-    """Merge the serving datasets, all with one load time."""
+                 datasets: Iterable[str] = SERVING_DATASETS, enums: serving.Enums | None = None, together: bool = False):
+    """Merge the serving datasets, all with one load time; `together` publishes them in one entry."""
     load_ts = load_ts or _now()
     _size_for(spark, root, _LANDED)
-    return _in_parallel(datasets, lambda d: load_serving_dataset(spark, root, d, load_ts, label, enums))
+    if not together:
+        return _in_parallel(datasets, lambda d: load_serving_dataset(spark, root, d, load_ts, label, enums))
+    staged = _in_parallel(datasets, lambda d: stage_serving_dataset(spark, root, d, load_ts, label, enums))
+    if staged:
+        publish(spark, root, [version for version, _ in staged.values()])
+    return {name: report for name, (_, report) in staged.items()}
 
 
 def backup_services(services: dict[str, dict[str, DataFrame]], root: str, label: str | None = None):

@@ -6,11 +6,13 @@ other bad value fails the whole load, and nothing of it is published.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vitalake import schemas
 from vitalake.functions.arrays import condition_entries, json_array, single_or_empty
@@ -55,6 +57,17 @@ TABLE_SCHEMA = {
 }
 
 
+@dataclass(frozen=True)
+class Change:
+    """What a load brings to a table: rows with their id, one per key, and how they join the rows that are there.
+
+    The id is made from the key, so `apply` needs only the rows there whose ids share a bucket with those of `rows`.
+    """
+
+    rows: DataFrame
+    apply: Callable[[DataFrame, DataFrame], DataFrame]
+
+
 class Load:
     """What a table of a load is made from: landed rows, tables before the load, its time, enums."""
 
@@ -71,12 +84,31 @@ class Load:
     def enum(self, col: str) -> Column:
         return require_enum(col, self.enums.get(col))
 
-    def merge(self, name: str, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    def _columns(self, name: str) -> list[str]:
+        """Columns of a table without its stamps."""
+        return [c for c in T.StructType.fromDDL(TABLE_SCHEMA[name]).names if c not in ("created_at", "updated_at")]
+
+    def merge(self, name: str, rows: DataFrame, keys: Sequence[str]) -> Change:
         """Upsert rows that are already one per key."""
-        return upsert(
-            self.current(name), rows, keys, None, self.load_ts, keep=("id", "created_at"), reduced=True
+        return Change(
+            rows.select(*self._columns(name)),
+            lambda there, new: upsert(there, new, keys, None, self.load_ts, keep=("id", "created_at"), reduced=True),
         )
 
+    def names(self, rows: DataFrame) -> Change:
+        """Add the names a dimension lacks."""
+        named = rows.select("name").distinct().select(stable_id("name").alias("id"), "name")
+        return Change(named, lambda there, new: upsert_dim(there, new, self.load_ts))
+
+    def add(self, name: str, rows: DataFrame, key: str) -> Change:
+        """Add the rows whose key the table lacks."""
+
+        def apply(there: DataFrame, new: DataFrame) -> DataFrame:
+            fresh = new.join(there.select(key).distinct(), key, "left_anti")
+            return there.unionByName(stamp(fresh, self.load_ts).select(*there.columns))
+
+        return Change(rows.select(*self._columns(name)), apply)
+
 
 def _rows(landed: DataFrame, columns) -> DataFrame:
     names = [name for _, name, _ in columns]
@@ -103,14 +135,14 @@ _FOOD_NUMBERS = {
 }
 
 
-def food_category(load: Load) -> DataFrame:
+def food_category(load: Load) -> Change:
     """Categories of the rows whose calories are a number or missing."""
     rows = _rows(load.landed, schemas.DAILY_FOOD)
     counted = rows.filter(~malformed({"calories": "bigint"}))
-    return upsert_dim(load.current("food_category"), names_of(counted, "category"), load.load_ts)
+    return load.names(names_of(counted, "category"))
 
 
-def food_item(load: Load) -> DataFrame:
+def food_item(load: Load) -> Change:
     """Foods merged by name; the last row of a name counts."""
     good, _ = strict_cast(_rows(load.landed, schemas.DAILY_FOOD), _FOOD_NUMBERS)
     last = latest_by_key(
@@ -135,14 +167,14 @@ def skipped_foods(landed: DataFrame) -> DataFrame:
 # ── exercise ─────────────────────────────────────────────────────────────────
 
 
-def _exercise_dim(name: str, names):
-    def build(load: Load) -> DataFrame:
-        return upsert_dim(load.current(name), names(load.landed), load.load_ts)
+def _exercise_dim(names):
+    def build(load: Load) -> Change:
+        return load.names(names(load.landed))
 
     return build
 
 
-def exercise(load: Load) -> DataFrame:
+def exercise(load: Load) -> Change:
     """Exercises merged by name; the last one of a name counts."""
     rows = load.landed.select(
         required("name"),
@@ -178,9 +210,8 @@ _DIET_DIMS = {
 
 
 def _diet_dim(name: str):
-    def build(load: Load) -> DataFrame:
-        rows = _rows(load.landed, schemas.DIET)
-        return upsert_dim(load.current(name), names_of(rows, _DIET_DIMS[name]), load.load_ts)
+    def build(load: Load) -> Change:
+        return load.names(names_of(_rows(load.landed, schemas.DIET), _DIET_DIMS[name]))
 
     return build
 
@@ -196,7 +227,7 @@ def _with_patient(load: Load, rows: DataFrame, table: str) -> DataFrame:
     return found.withColumn("id", stable_id("patient_id", F.lit(table)))
 
 
-def patient(load: Load) -> DataFrame:
+def patient(load: Load) -> Change:
     """Patients merged by their id in the data set; the last row of a patient counts."""
     rows = _diet_rows(
         load, required("age", parse_number("age", "bigint")), load.enum("gender"), "disease_type", "severity", "allergies"
@@ -215,30 +246,27 @@ def patient(load: Load) -> DataFrame:
     return load.merge("patient", patients, ["id_data_set"])
 
 
-def _added(load: Load, table: str, *cols: Column) -> DataFrame:
+def _added(load: Load, table: str, *cols: Column) -> Change:
     """The first row of every patient that has no row in the table yet."""
-    target = load.current(table)
     first = first_by_key(_diet_rows(load, *cols), ["id_data_set"], seq=SEQ)
-    known = target.select("patient_id").distinct()
-    fresh = _with_patient(load, first, table).join(known, "patient_id", "left_anti")
-    return target.unionByName(stamp(fresh, load.load_ts).select(*target.columns))
+    return load.add(table, _with_patient(load, first, table), "patient_id")
 
 
-def metrics(load: Load) -> DataFrame:
+def metrics(load: Load) -> Change:
     """Body measures, one row per patient."""
     doubles = ("weight_kg", "bmi", "cholesterol_mg_dl", "blood_pressure_mmhg", "glucose_mg_dl")
     height = number("height_cm", "double").cast("bigint").alias("height_cm")
     return _added(load, "metrics", height, *[number(c, "double") for c in doubles])
 
 
-def exercises(load: Load) -> DataFrame:
+def exercises(load: Load) -> Change:
     """Exercise habits, one row per patient."""
     return _added(
         load, "exercises", number("weekly_exercise_hours", "double"), load.enum("physical_activity_level")
     )
 
 
-def diets(load: Load) -> DataFrame:
+def diets(load: Load) -> Change:
     """Diets merged by patient; the last row of a patient counts.
 
     A cuisine or advice is in its dimension unless it is missing, so the lookups that must hit are
@@ -263,9 +291,9 @@ def diets(load: Load) -> DataFrame:
 DATASETS = {
     "food_item": {"food_category": food_category, "food_item": food_item},
     "exercise": {
-        "muscle": _exercise_dim("muscle", lambda df: array_names(df, ["primaryMuscles", "secondaryMuscles"])),
-        "equipment": _exercise_dim("equipment", lambda df: names_of(df, "equipment")),
-        "exercise_category": _exercise_dim("exercise_category", lambda df: names_of(df, "category")),
+        "muscle": _exercise_dim(lambda df: array_names(df, ["primaryMuscles", "secondaryMuscles"])),
+        "equipment": _exercise_dim(lambda df: names_of(df, "equipment")),
+        "exercise_category": _exercise_dim(lambda df: names_of(df, "category")),
         "exercise": exercise,
     },
     "diet": {
@@ -278,6 +306,14 @@ DATASETS = {
 }
 
 
+def changes(
+    dataset: str, landed: DataFrame, current: Tables, load_ts: datetime, enums: Enums | None = None, only: Sequence[str] = ()
+) -> dict[str, Change]:
+    """What the landed rows bring to the tables of a dataset (or `only` some), with one load time."""
+    load = Load(landed, current, load_ts, enums)
+    return {name: table(load) for name, table in DATASETS[dataset].items() if not only or name in only}
+
+
 def build(
     dataset: str,
     landed: DataFrame,
@@ -288,4 +324,5 @@ def build(
 ) -> dict[str, DataFrame]:
     """The tables of a dataset (or `only` some) after merging the landed rows, with one load time."""
     load = Load(landed, current, load_ts, enums)
-    return {name: table(load) for name, table in DATASETS[dataset].items() if not only or name in only}
+    found = changes(dataset, landed, current, load_ts, enums, only)
+    return {name: change.apply(load.current(name), change.rows) for name, change in found.items()}

@@ -1,31 +1,26 @@
-"""Versioned tables: one folder per label, and an append-only list saying which label is latest.
+"""Versioned tables: one folder per label, published through the log of the lake.
 
-A version is a set of tables under <root>/<section>/<dataset>/<label>/<table>. It becomes visible
-when one line is appended to <root>/<section>/<dataset>/published, after every table is written, so
-readers see all tables of a load or none. Earlier versions stay as they are.
+A version is a set of tables under <root>/<section>/<dataset>/<label>/<table>. It becomes visible with an entry of
+the publication log that is put after every table is written, so readers see all tables of a load or none. One
+entry can publish the versions of several datasets. Earlier versions stay as they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from vitalake.sources.readers import is_missing_path
+from vitalake.sources import publications
+from vitalake.sources.buckets import read_table
+from vitalake.sources.publications import Table, Version, VersionExists, VersionNotFound
 
-_PUBLISHED = "published"
-_ENTRY = "label string, published_at timestamp, tables array<string>"
+__all__ = ["Version", "VersionExists", "VersionNotFound"]
 
-
-class VersionExists(ValueError):
-    """The label was published before."""
-
-
-class VersionNotFound(LookupError):
-    """Nothing was published under this name, or not this version."""
+#: Tables of a version that are written side by side.
+AT_ONCE = 4
 
 
 def now_label(now: datetime | None = None) -> str:
@@ -33,38 +28,26 @@ def now_label(now: datetime | None = None) -> str:
     return (now or datetime.now(timezone.utc)).astimezone(timezone.utc).strftime("%Y-%m-%dT%H-%M-%SZ")
 
 
-def dataset_path(root: str, section: str, dataset: str) -> str:
-    return "/".join(p.strip("/") if i else p.rstrip("/") for i, p in enumerate((root, section, dataset)))
+def dataset_name(section: str, dataset: str) -> str:
+    """Name of a dataset in the log, and its folder under the root."""
+    return f"{section.strip('/')}/{dataset.strip('/')}"
 
 
-def publish(spark: SparkSession, base: str, label: str, tables: Sequence[str]) -> None:
-    """Make a written version the latest one."""
-    entry = spark.createDataFrame([(label, datetime.now(timezone.utc), list(tables))], _ENTRY)
-    entry.coalesce(1).write.mode("append").json(f"{base}/{_PUBLISHED}")
+def resolve(spark: SparkSession, root: str, section: str, dataset: str, version: str = "latest", number: int | None = None) -> Version:
+    """The latest or an exact version; with `number`, as of that publication."""
+    return publications.resolve(spark, root.rstrip("/"), dataset_name(section, dataset), version, number)
 
 
-def published(spark: SparkSession, base: str) -> DataFrame:
-    """Every published version: one row per publication."""
+def refuse_published(spark: SparkSession, root: str, section: str, dataset: str, label: str) -> None:
+    """Raise VersionExists for a published label, before any work is done; publishing checks again."""
     try:
-        return spark.read.schema(_ENTRY).json(f"{base}/{_PUBLISHED}")
-    except AnalysisException as error:
-        if is_missing_path(error):
-            raise VersionNotFound(base) from None
-        raise
-
-
-def resolve(spark: SparkSession, base: str, version: str = "latest") -> tuple[str, list[str]]:
-    """Label and table names of the latest or of an exact version."""
-    entries = published(spark, base)
-    if version != "latest":
-        entries = entries.filter(F.col("label") == version)
-    newest = entries.agg(F.max(F.struct("published_at", "label", "tables")).alias("e")).first().e
-    if newest is None:
-        raise VersionNotFound(f"{base}@{version}")
-    return newest.label, list(newest.tables)
+        resolve(spark, root, section, dataset, label)
+    except VersionNotFound:
+        return
+    raise VersionExists(f"{dataset_name(section, dataset)}@{label}")
 
 
-def write_tables(
+def stage_tables(
     tables: dict[str, DataFrame],
     root: str,
     section: str,
@@ -74,44 +57,59 @@ def write_tables(
     sort_keys: dict[str, Sequence[str]] | None = None,
     check: Callable[[dict[str, DataFrame]], object] | None = None,
     compression: str = "zstd",
-) -> str:
-    """Write a set of tables as one version and publish it; a published label is refused.
+) -> Version:
+    """Write a set of tables as one version that is not published yet; a published label is refused.
 
     Tables with a sort key are sorted inside each file, so that parquet min/max skip blocks on
-    reads by that key; this needs no shuffle. `check` gets the written tables and raises to keep them from
-    being published. Folders of a label that was never published, as a failed load leaves them, are
-    written anew.
+    reads by that key; this needs no shuffle. Tables are written side by side. `check` gets the written tables and
+    raises to refuse the version. Each attempt at a label has a folder of its own, so two writers
+    never write the same files, and what a failed load left is not read.
     """
-    label = label or now_label()
-    base = dataset_path(root, section, dataset)
+    label, root = label or now_label(), root.rstrip("/")
     spark = next(iter(tables.values())).sparkSession
-    if _is_published(spark, base, label):
-        raise VersionExists(f"{base}@{label}")
-    for name, df in tables.items():
+    refuse_published(spark, root, section, dataset, label)
+    folder = publications.claim(spark, root, dataset_name(section, dataset), label)
+
+    def write(name: str) -> Table:
+        df = tables[name]
         keys = [k for k in (sort_keys or {}).get(name, ()) if k in df.columns]
         out = df.sortWithinPartitions(*keys) if keys else df
-        out.write.mode("overwrite").option("compression", compression).parquet(f"{base}/{label}/{name}")
+        out.write.option("compression", compression).parquet(f"{root}/{folder}/{name}")
+        return Table(name, df.schema.json())
+
+    with ThreadPoolExecutor(max_workers=AT_ONCE) as pool:
+        written = tuple(pool.map(write, tables))
+    version = Version(dataset_name(section, dataset), label, folder, written)
     if check:
-        check({name: spark.read.parquet(f"{base}/{label}/{name}") for name in tables})
-    publish(spark, base, label, list(tables))
-    return label
+        check(tables_of(spark, root, version))
+    return version
 
 
-def _is_published(spark: SparkSession, base: str, label: str) -> bool:
-    try:
-        resolve(spark, base, label)
-    except VersionNotFound:
-        return False
-    return True
+def write_tables(tables: dict[str, DataFrame], root: str, section: str, dataset: str, label: str | None = None, **options) -> str:
+    """Write a set of tables as one version and publish it (see `stage_tables`); returns the label."""
+    version = stage_tables(tables, root, section, dataset, label, **options)
+    publications.publish(next(iter(tables.values())).sparkSession, root.rstrip("/"), [version])
+    return version.label
+
+
+def publish(spark: SparkSession, root: str, versions: Sequence[Version]) -> int:
+    """Publish staged versions together; returns the number of the entry."""
+    return publications.publish(spark, root.rstrip("/"), versions)
+
+
+def tables_of(spark: SparkSession, root: str, version: Version) -> dict[str, DataFrame]:
+    """The tables of a version."""
+    return {t.name: read_table(spark, root.rstrip("/"), version, t) for t in version.tables}
 
 
 def read_tables(
-    spark: SparkSession, root: str, section: str, dataset: str, version: str = "latest"
+    spark: SparkSession, root: str, section: str, dataset: str, version: str = "latest", number: int | None = None
 ) -> dict[str, DataFrame]:
-    """The tables of a version."""
-    base = dataset_path(root, section, dataset)
-    label, names = resolve(spark, base, version)
-    return {name: spark.read.parquet(f"{base}/{label}/{name}") for name in names}
+    """The tables of the latest or an exact version; with `number`, as of that publication.
+
+    Reads of several datasets by one number fit together: they show what was published up to it.
+    """
+    return tables_of(spark, root, resolve(spark, root, section, dataset, version, number))
 
 
 def write_version(df: DataFrame, root: str, section: str, dataset: str, label: str | None = None) -> str:
