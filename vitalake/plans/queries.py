@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -877,6 +877,29 @@ def _(t):
     return read.withColumn("words", joined("words"))
 
 
+@query(
+    "json_array_split",
+    """SELECT o_orderkey, o_custkey, o_orderpriority, o_totalprice, array_length(string_split(o_orderpriority, '-')) AS n_parts,
+       row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders""",
+)
+def _(t):
+    # The orders of a customer as one JSON array after the other, read back in ranges of 64 KB, in the order of the files.
+    order = F.struct("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice", F.split("o_orderpriority", "-").alias("parts"))
+    arrays_of = t.orders.groupBy("o_custkey").agg(F.to_json(F.array_sort(F.collect_list(order))).alias("value"))
+    arrays_of.select("value").write.text(f"{t.scratch}/arrays")
+    schema = T.StructType.fromDDL("o_orderkey bigint, o_custkey bigint, o_orderpriority string, o_totalprice double, parts array<string>")
+    size = "spark.sql.files.maxPartitionBytes"
+    before = t.spark.conf.get(size)
+    t.spark.conf.set(size, "65536")
+    try:
+        readers.read_json(t.spark, f"{t.scratch}/arrays", schema, seq=True).write.parquet(f"{t.scratch}/read")
+    finally:
+        t.spark.conf.set(size, before)
+    read = t.spark.read.parquet(f"{t.scratch}/read")
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy(readers.SEQ)).cast("bigint").alias("place")
+    return read.select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice", F.size("parts").cast("bigint").alias("n_parts"), place)
+
+
 @query(
     "absent_source",
     """SELECT 'external_csv' AS source, c_custkey AS id, c_name AS name FROM customer
