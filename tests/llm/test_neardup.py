@@ -12,13 +12,13 @@ from vitalake.llm import neardup
 from vitalake.llm.components import components
 
 
-def shingle_set(text):
+def shingle_set(text, size):
     words = [w.lower() for w in (text or "").encode().split()]
-    return frozenset(tuple(words[i : i + 4]) for i in range(max(1, len(words) - 3))) if words else frozenset()
+    return frozenset(tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))) if words else frozenset()
 
 
-def by_all_pairs(rows):
-    sets = {i: shingle_set(t) for i, t in rows}
+def by_all_pairs(rows, size=4):
+    sets = {i: shingle_set(t, size) for i, t in rows}
     parent = {i: i for i in sets}
 
     def root(i):
@@ -55,26 +55,26 @@ def families(seed, n=12):
 
 def test_given_documents(small):
     df, texts = small
-    assert by_id(neardup.groups(df), "n_shingles", "component_id", "kept") == by_all_pairs(texts.items())
+    assert by_id(neardup.groups(df, 4), "n_shingles", "component_id", "kept") == by_all_pairs(texts.items())
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_families(make, seed, monkeypatch):
+@pytest.mark.parametrize(("seed", "size"), [(1, 4), (2, 4), (3, 5)])
+def test_families(make, seed, size, monkeypatch):
     monkeypatch.setattr(neardup, "PIECE", 5)
     rows = families(seed)
-    got = by_id(neardup.groups(make(rows)), "n_shingles", "component_id", "kept")
-    assert got == by_all_pairs(rows)
+    found = neardup.groups(make(rows), 4) if size == 4 else neardup.groups(make(rows))
+    assert by_id(found, "n_shingles", "component_id", "kept") == by_all_pairs(rows, size)
 
 
 def test_odd_rows(make):
     rows = [*ODD, (9, "same text here"), (10, "SAME  text\nHERE"), (11, "two")]
     got = collections.defaultdict(list)
-    for r in neardup.groups(make(rows)).collect():
+    for r in neardup.groups(make(rows), 4).collect():
         got[r.doc_id].append((r.n_shingles, r.component_id, r.kept))
     assert got[4] == [(1, 4, True)] * 2 and got[9] == got[10] == [(1, 4, False)]
     assert got[1] == [(0, 1, True)] and got[3] == [(0, 3, True)]
     assert got[11] == [(1, 5, False)] and len(got[None]) == 2
-    assert neardup.groups(make([])).count() == 0
+    assert neardup.groups(make([]), 4).count() == 0
     assert neardup.groups(make([(1, None)])).count() == 1
 
 

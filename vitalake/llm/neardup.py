@@ -82,7 +82,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, REGISTERS)
 
 
-def groups(docs: DataFrame, size: int = 4, percent: int = 80, text: str = "text") -> DataFrame:
+def groups(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept.
 
     Words are lower-cased (A-Z); a set is the distinct shingles of `size` words, of fewer words the whole

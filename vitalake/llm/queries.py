@@ -38,7 +38,7 @@ def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return neardup.groups(table(spark, folder, "documents"))
+    return neardup.groups(table(spark, folder, "documents"), size=4)
 
 
 def warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
