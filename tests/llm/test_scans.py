@@ -224,10 +224,35 @@ def test_packing_odd_texts(make):
 
 def test_words_are_forgotten_and_learned_again(monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 3)
+    monkeypatch.setattr(packing, "RECENT", 0)
     encoder = packing.Tokenizer(tokenizer_path())
-    rows = [(0, "one two three four five"), (1, "six one"), (2, "")]
-    got = encoder.encode([t for _, t in rows])
-    assert [x.tolist() for x in got] == [x.tolist()[:-1] for x in ids_of(rows)]
+    rows = [(0, "one two three four five"), (1, "six one"), (2, ""), (3, "one two"), (4, "seven, eight 9 10!"), (5, "two six three"), (6, "one")]
+    wanted = [x.tolist()[:-1] for x in ids_of(rows)]
+    assert [x.tolist() for x in encoder.encode([t for _, t in rows])] == wanted
+    for _ in range(2):
+        assert [encoder.encode([t])[0].tolist() for _, t in rows] == wanted
+    assert len(encoder.before) and len(encoder.known) + len(encoder.recent) < 15
+
+
+def test_words_are_cut_as_the_library_does(monkeypatch):
+    """Apostrophes, digits, signs and white space of all kinds in any order, in slices of several texts."""
+    pick, encoder = random.Random(11), packing.Tokenizer(tokenizer_path())
+    bits = ["'", "'s", "'ll", "'re", "'v", "ve", "d", "M", "tt", "é", "Ÿ", "ſ", "1", "²", "½", "ª", "-", '"', "…", "'\"", " ", "\n", "\x0b", "\xa0", "\x85", "日", "😀", "<|x|>", "\x00"]
+    for _ in range(60):
+        rows = [(i, "".join(pick.choices(bits[: pick.choice([23, 25, len(bits)])], k=pick.randint(0, 25)))) for i in range(8)]
+        got = [x.tolist() for x in encoder.encode([t for _, t in rows])]
+        assert got == [x.tolist()[:-1] for x in ids_of(rows)], rows
+
+
+def test_words_of_one_hash_are_told_apart():
+    """A word that another's first hash hides is learned like a new one."""
+    store = packing.WordIds()
+    one = lambda *x: np.array(x, np.uint64)
+    store.add(one(5, 9), one(1, 2), np.array([2, 1]), np.array([7, 8, 4], "<u4"))
+    place, there = store.find(one(5, 5, 9, 10), one(1, 3, 2, 2))
+    assert there.tolist() == [True, False, True, False]
+    n, ids = store.of(place[there])
+    assert n.tolist() == [2, 1] and ids.tolist() == [7, 8, 4]
 
 
 def test_sum_of_squares_choice():

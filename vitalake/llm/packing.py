@@ -19,20 +19,94 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from vitalake.llm.arrays import Fields, pick, slices
+from vitalake.llm.arrays import Fields, Rolling, U, mixed, pick, ranges, seeded, slices
 
 SIZE = 4096
 END = 2
 #: Words whose ids a Python worker remembers, twice over: those of this turn and of the one before.
-REMEMBERED = 150_000
+REMEMBERED = 600_000
+#: New words that are kept apart, at least, before they are sorted in among the others.
+RECENT = 4096
 
 # Texts of these characters only are lowered and cut here; all others go through the tokenizer whole.
 PLAIN = "\\t\\n\\x0b\\x0c\\r\\x20-\\x7e\\xa0-\\u012f\\u0131-\\u017e"
-_in_plain = [chr(c) for c in [*range(0x20, 0x7F), *range(0xA0, 0x130), *range(0x131, 0x17F)]]
-
-
-def _class(kind: str) -> str:
-    return "".join(re.escape(c) for c in _in_plain if unicodedata.category(c)[0] == kind)
+_in_plain = [*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0xA0, 0x130), *range(0x131, 0x17F)]
+
+SPACE, LETTER, NUMBER, OTHER, NONE = range(5)
+
+
+def _kind(code: int) -> int:
+    if chr(code).isspace():
+        return SPACE
+    return {"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(code))[0], OTHER)
+
+
+#: The kind of each character by its 16-bit code; NONE where a text with it is not plain.
+KINDS = np.full(1 << 16, NONE, np.uint8)
+KINDS[_in_plain] = [_kind(c) for c in _in_plain]
+#: Two sets of values of characters, for two hashes of a word.
+FIRST, SECOND = seeded(0x180, 21), seeded(0x180, 22)
+APOSTROPHE = ord("'")
+#: Endings that are words of their own after an apostrophe that starts a run: of one letter and of two.
+ONE, TWO = np.array([ord(c) for c in "stmd"]), np.array([ord(a) << 16 | ord(b) for a, b in ("re", "ve", "ll")])
+
+
+def _codes(text: str) -> np.ndarray:
+    """Characters as 16-bit codes; those beyond take two, neither of which is plain."""
+    return np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2")
+
+
+def cut_words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a lowered plain text: runs of letters or of signs, single digits, short endings."""
+    kind = KINDS[codes]
+    starts = kind != SPACE
+    starts[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
+    sign = np.flatnonzero((codes == APOSTROPHE) & starts)
+    after = np.concatenate([codes, np.full(3, 32, codes.dtype)]).astype(np.int64)
+    two = np.isin(after[sign + 1] << 16 | after[sign + 2], TWO)
+    one = np.isin(after[sign + 1], ONE)
+    # The letters join the apostrophe; what follows them in their run starts a word.
+    for at, size in ((sign[one], 1), (sign[two], 2)):
+        starts[at + 1] = False
+        rest = at + 1 + size
+        rest = rest[rest < len(codes)]
+        starts[rest] |= kind[rest] == LETTER
+    edges = np.flatnonzero(starts | (kind == SPACE))
+    first = np.flatnonzero(starts[edges])
+    return edges[first], np.append(edges, len(codes))[first + 1]
+
+
+class WordIds:
+    """Ids of words by their hash, in flat arrays: some 30 bytes a word."""
+
+    def __init__(self):
+        self.hash, self.check = np.zeros(0, U), np.zeros(0, U)
+        self.at, self.n = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, "<u4")
+
+    def __len__(self) -> int:
+        return len(self.hash)
+
+    def find(self, hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word lies, and whether it is there: both hashes must be the same."""
+        place = np.searchsorted(self.hash, hashes)
+        there = place < len(self)
+        there[there] = (self.hash[place[there]] == hashes[there]) & (self.check[place[there]] == checks[there])
+        return place, there
+
+    def add(self, hashes: np.ndarray, checks: np.ndarray, n: np.ndarray, ids: np.ndarray) -> None:
+        """Take in words that are not there, with the number of ids of each and all ids in order."""
+        both = np.concatenate([self.hash, hashes])
+        order = np.argsort(both, kind="stable")
+        at = len(self.ids) + np.cumsum(n) - n
+        self.hash = both[order]
+        self.check = np.concatenate([self.check, checks])[order]
+        self.at, self.n = np.concatenate([self.at, at])[order], np.concatenate([self.n, n.astype(np.int32)])[order]
+        self.ids = np.concatenate([self.ids, ids])
+
+    def of(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of words at the given places, and all these ids."""
+        return self.n[place], self.ids[ranges(self.at[place], self.n[place])]
 
 
 class Tokenizer:
@@ -44,47 +118,82 @@ class Tokenizer:
 
         self.library = Library.from_file(path)
         self.plain = re.compile(f"[{PLAIN}]*")
-        letters, numbers = _class("L"), _class("N")
-        self.cut = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\s{letters}{numbers}]+").findall
         size = self.library.get_vocab_size()
         self.ends = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        #: Words of this turn, those of them met lately, and words of the turn before.
+        self.known, self.recent, self.before = WordIds(), WordIds(), WordIds()
 
-    def learn(self, words: list[str]) -> None:
-        """Encode words not met lately in one text: a token that ends a word ends in `</w>`."""
+    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each word and all ids, encoded in one text: a token that ends a word ends in `</w>`."""
         ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(words) or (len(ends) and ends[-1] != len(ids)):
-            for word in words:
-                self.known[word] = np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-            return
-        data, at = ids.tobytes(), 0
-        for word, end in zip(words, (4 * ends).tolist(), strict=True):
-            self.known[word] = data[at:end]
-            at = end
+            each = [self.library.encode(word, add_special_tokens=False).ids for word in words]
+            return np.array([len(x) for x in each], np.int64), np.array([i for x in each for i in x], "<u4")
+        return np.diff(ends, prepend=0), ids
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, None as the empty one."""
-        cut: list[list[str] | None] = []
-        for text in texts:
-            plain = not text or (self.plain.fullmatch(text) and "<|" not in text)
-            cut.append(self.cut(text.lower()) if text and plain else [] if plain else None)
-        wanted = set().union(*[words for words in cut if words])
-        if len(self.known) + len(wanted) > REMEMBERED:
-            # Words in use lately move on with the new ones; the others are forgotten one turn later.
-            self.before, self.known = self.known, {}
-        new = wanted.difference(self.known)
-        self.known |= {word: self.before[word] for word in new.intersection(self.before)}
-        if new := new.difference(self.before):
-            self.learn(sorted(new))
-        known, out = self.known, []
-        for text, words in zip(texts, cut, strict=True):
-            if words is None:
-                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4"))
-            else:
-                out.append(np.frombuffer(b"".join([known[w] for w in words]), "<u4"))
-        return out
+        texts = [text or "" for text in texts]
+        body, plain = " ".join(texts), [True] * len(texts)
+        if "<|" in body or (KINDS[_codes(body)] == NONE).any():
+            plain = [bool(self.plain.fullmatch(text)) and "<|" not in text for text in texts]
+            body = " ".join([text for text, is_plain in zip(texts, plain, strict=True) if is_plain])
+        cut = iter(self._cut(body.lower(), [len(text) for text, is_plain in zip(texts, plain, strict=True) if is_plain]))
+        whole = lambda text: np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+        return [next(cut) if is_plain else whole(text) for text, is_plain in zip(texts, plain, strict=True)]
+
+    def _cut(self, body: str, lengths: list[int]) -> list[np.ndarray]:
+        """Ids of lowered plain texts that stand one after the other with a space between."""
+        if not lengths:
+            return []
+        codes = _codes(body)
+        start, end = cut_words(codes)
+        hashes = Rolling(FIRST[codes]).runs(start, end)
+        checks = Rolling(SECOND[codes]).runs(start, end)
+        both = np.unique(hashes ^ mixed(checks), return_index=True, return_inverse=True)
+        first, inverse = both[1], both[2]
+        n, ids = self._ids_of(body, hashes[first], checks[first], start[first], end[first])
+        at = np.cumsum(n) - n
+        tokens, each = ids[ranges(at[inverse], n[inverse])], n[inverse]
+        ends_at = np.cumsum(np.array(lengths, np.int64) + 1)[:-1]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        return np.split(tokens, upto[np.searchsorted(start, ends_at)])
+
+    def _ids_of(
+        self, body: str, hashes: np.ndarray, checks: np.ndarray, start: np.ndarray, end: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of distinct words, and all ids in order; those not remembered are learned."""
+        counts = np.zeros(len(hashes), np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        left = np.arange(len(hashes))
+        for number, store in enumerate((self.known, self.recent, self.before)):
+            if not len(left) or not len(store):
+                continue
+            place, there = store.find(hashes[left], checks[left])
+            found = left[there]
+            n, ids = store.of(place[there])
+            parts.append((found, n, ids))
+            left = left[~there]
+            if number == 2 and len(found):
+                self.recent.add(hashes[found], checks[found], n, ids)
+        if len(left):
+            n, ids = self.learn([body[a:b] for a, b in zip(start[left].tolist(), end[left].tolist(), strict=True)])
+            self.recent.add(hashes[left], checks[left], n, ids)
+            parts.append((left, n, ids))
+        if len(self.recent) > RECENT + len(self.known) // 8:
+            self.known.add(self.recent.hash, self.recent.check, *self.recent.of(np.arange(len(self.recent))))
+            self.recent = WordIds()
+        if len(self.known) > REMEMBERED:
+            # Words in use move on with the new ones; the others are forgotten one turn later.
+            self.before, self.known = self.known, WordIds()
+        for words, n, _ in parts:
+            counts[words] = n
+        at = np.cumsum(counts) - counts
+        out = np.zeros(int(counts.sum()), "<u4")
+        for words, n, ids in parts:
+            out[ranges(at[words], n)] = ids
+        return counts, out
 
 
 @lru_cache(maxsize=2)
