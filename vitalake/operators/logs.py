@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from datetime import datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalake import schemas
@@ -129,14 +129,21 @@ def count_series(
             .agg(F.count("*").alias("n"))
             .select(*by, F.col("w.end").alias("window_end"), "n")
         )
-    # Whole microseconds: the first range end at or after a time t is t + pmod(-t, step).
+    buckets = rows.groupBy(*by, step_end(ts, step).alias("_end")).agg(F.count("*").alias("n"))
+    return spread_counts(buckets, by, span, step, dict(df.dtypes)[ts])
+
+
+def step_end(ts: str, step: timedelta) -> Column:
+    """End of the step that holds a time, in whole microseconds: the first range end at or after t is t + pmod(-t, step)."""
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    return micros + F.pmod(-micros, F.lit(step // timedelta(microseconds=1)))
+
+
+def spread_counts(buckets: DataFrame, by: Sequence[str], span: timedelta, step: timedelta, kind: str) -> DataFrame:
+    """Counts of steps (by.., _end, n) added up over the trailing ranges that hold them: (by.., window_end, n)."""
     every = step // timedelta(microseconds=1)
-    first_end = (micros + F.pmod(-micros, F.lit(every))).alias("_end")
-    buckets = rows.groupBy(*by, first_end).agg(F.count("*").alias("n"))
     ends = F.sequence(F.col("_end"), F.col("_end") + (span // step - 1) * every, F.lit(every))
     spread = buckets.select(*by, F.explode(ends).alias("_end"), "n")
-    kind = dict(df.dtypes)[ts]
     return (
         spread.groupBy(*by, "_end")
         .agg(F.sum("n").alias("n"))
@@ -144,6 +151,37 @@ def count_series(
     )
 
 
+def count_long_series(
+    df: DataFrame,
+    by: Sequence[str],
+    span: timedelta,
+    step: timedelta,
+    pattern: Pattern | None = None,
+    labels: Labels | None = None,
+    ts: str = "ts",
+    line: str = "line",
+) -> DataFrame:
+    """`count_series` of a table for ranges of very many steps, which overlap so much that spreading costs most.
+
+    A step adds its count when it enters the range and takes it away when it leaves; the running sum of a label holds
+    until the next change. So the work follows the steps and the result, not their product with the overlap. A
+    label's changes lie in one task: two a step at most, whatever the number of its lines.
+    """
+    if span % step:
+        raise ValueError("the range must be a whole number of steps")
+    every, length = step // timedelta(microseconds=1), span // timedelta(microseconds=1)
+    rows = select_streams(df, labels, pattern, line)
+    buckets = rows.groupBy(*by, step_end(ts, step).alias("_end")).agg(F.count("*").alias("n"))
+    enters, leaves = F.struct(F.col("_end").alias("at"), F.col("n")), F.struct((F.col("_end") + length).alias("at"), (-F.col("n")).alias("n"))
+    changes = buckets.select(*by, F.explode(F.array(enters, leaves)).alias("_c"))
+    changes = changes.groupBy(*by, F.col("_c.at").alias("_at")).agg(F.sum("_c.n").alias("_d"))
+    in_order = Window.partitionBy(*by).orderBy("_at")
+    running, following = F.sum("_d").over(in_order), F.lead("_at").over(in_order)
+    held = changes.select(*by, "_at", running.alias("n"), following.alias("_next")).filter("n > 0")
+    ends = held.select(*by, F.explode(F.sequence(F.col("_at"), F.col("_next") - every, F.lit(every))).alias("_end"), "n")
+    return ends.select(*by, F.timestamp_micros("_end").cast(dict(df.dtypes)[ts]).alias("window_end"), "n")
+
+
 def before(ts: str) -> Column:
     return F.col(ts) - F.expr("INTERVAL 0.000001 SECOND")
 
@@ -253,3 +291,60 @@ def availability(
         .agg(F.max_by(value, key).alias("last"), F.avg(value).alias("up_ratio"))
         .select(by, F.col("w.end").alias("window_end"), "last", "up_ratio")
     )
+
+
+#: Steps of a slice of time; one job's samples are as many groups as it has slices.
+SLICE_STEPS = 1024
+
+
+def availability_filled(
+    samples: DataFrame,
+    as_of: datetime,
+    span: timedelta,
+    jobs: str = ".+",
+    step: timedelta = SAMPLE_STEP,
+    staleness: timedelta = timedelta(minutes=5),
+    by: str = "job",
+    value: str = "value",
+    order: Sequence[str] = ("ts",),
+) -> DataFrame:
+    """(by, window_end, last, up_ratio, age_s) for every job and every step that ends in the range before `as_of`.
+
+    last is the newest non-NULL value up to the end of the step that is younger than `staleness` there, whether the step
+    has a sample or not, and NULL where there is none; age_s says how old it is. up_ratio is the share of up samples
+    in the step itself. Samples from before the range count while they are not stale. A job without a sample has no rows.
+
+    Samples are reduced to one row per job and step first. The steps of a job are cut into slices of SLICE_STEPS,
+    each filled for itself; what a slice lacks at its start is carried from the slices before, of which there is one
+    row per job and slice. So a job that holds a third of all samples, or a long range, is many small groups.
+    """
+    ts, every = order[0], step // timedelta(microseconds=1)
+    kind = dict(samples.dtypes)[ts]
+    key = F.struct(*order) if len(order) > 1 else F.col(ts)
+    rows = samples.filter(matches(by, jobs) & F.col(value).isNotNull()).filter(in_range(samples, ts, as_of, span + staleness))
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    steps = rows.groupBy(by, step_end(ts, step).alias("_end")).agg(
+        F.max_by(F.struct(F.col(value).alias("last"), micros.alias("at")), key).alias("_seen"), F.avg(value).alias("up_ratio")
+    )
+    epoch = datetime(1970, 1, 1, tzinfo=as_of.tzinfo)
+    low, high = ((x - epoch) // timedelta(microseconds=1) for x in (as_of - span - staleness, as_of))
+    first, last, shown_from = low + -low % every, high - high % every, (as_of - span - epoch) // timedelta(microseconds=1)
+    width = SLICE_STEPS * every
+    slices = F.sequence(F.lit(first), F.lit(max(first, last)), F.lit(width))
+    sliced = steps.select(by).distinct().select(by, F.explode(slices).alias("_slice"))
+    ends = F.sequence(F.col("_slice"), F.least(F.col("_slice") + width - every, F.lit(max(first, last))), F.lit(every))
+    grid = sliced.select(by, "_slice", F.explode(ends).alias("_end"))
+    known = grid.join(steps, [by, "_end"], "left")
+
+    here = Window.partitionBy(by, "_slice").orderBy("_end").rowsBetween(Window.unboundedPreceding, 0)
+    filled = known.withColumn("_here", F.last("_seen", ignorenulls=True).over(here))
+    newest = known.groupBy(by, "_slice").agg(F.max_by("_seen", F.when(F.col("_seen").isNotNull(), F.col("_end"))).alias("_newest"))
+    earlier = Window.partitionBy(by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = newest.select(by, "_slice", F.last("_newest", ignorenulls=True).over(earlier).alias("_carried"))
+    seen = filled.join(carried, [by, "_slice"]).withColumn("_last", F.coalesce("_here", "_carried"))
+    age = F.col("_end") - F.col("_last.at")
+    fresh = age < staleness // timedelta(microseconds=1)
+    return seen.filter((F.col("_end") > shown_from) & (F.col("_end") <= high)).select(
+        by, F.timestamp_micros("_end").cast(kind).alias("window_end"), F.when(fresh, F.col("_last.last")).alias("last"), "up_ratio",
+        F.when(fresh, age / 1e6).alias("age_s"),
+    )

@@ -20,7 +20,7 @@ from vitalake import schemas
 from vitalake.functions import arrays, values
 from vitalake.functions.ids import stable_id, stable_ids
 from vitalake.ml import models
-from vitalake.operators import clean, dims, logs, lookups, merge
+from vitalake.operators import clean, dims, logs, lookups, merge, rollups
 from vitalake.operators.occurrences import occurrence_id
 from vitalake.plans import dashboards, runs, serving, warehouse
 from vitalake.session import configure, shared_dir
@@ -781,12 +781,10 @@ def _(t):
     "errors_long_series",
     f"""SELECT compose_service, first_at + i * INTERVAL 15 SECOND AS window_end, count(*) AS n FROM (SELECT *,
         time_bucket(INTERVAL 15 SECOND, ts - INTERVAL 1 MICROSECOND) + INTERVAL 15 SECOND AS first_at,
-        unnest(range(0, 5760)) AS i FROM {_LINES} WHERE {_ERRORS} AND compose_service = 'svc-1') GROUP BY 1, 2""",
+        unnest(range(0, 5760)) AS i FROM {_LINES} WHERE {_ERRORS}) GROUP BY 1, 2""",
 )
 def _(t):
-    return logs.count_series(
-        log_lines(t), ["compose_service"], _DAY, timedelta(seconds=15), values.ERROR_WORDS, {"compose_service": ("svc-1", None)}
-    )
+    return logs.count_long_series(log_lines(t), ["compose_service"], _DAY, timedelta(seconds=15), values.ERROR_WORDS)
 
 
 def _panels(t: Tables) -> dict[str, DataFrame]:
@@ -826,6 +824,51 @@ def _(t):
     return _panels(t)["rate"]
 
 
+def _stored_lines(t: Tables) -> str:
+    """The log lines as a table in folders of days."""
+    path = f"{t.scratch}/lines"
+    log_lines(t).withColumn("day", F.to_date("ts")).write.partitionBy("day").parquet(path)
+    return path
+
+
+@query("panel_rate_rollup", QUERIES["panel_rate"].sql)
+def _(t):
+    # The same panel from counts per step: no line is read for it.
+    path = _stored_lines(t)
+    rollups.refresh(t.spark, path, t.scratch)
+    counts = rollups.read_rollup(t.spark, t.scratch, AS_OF, _DAY + logs.RATE_RANGE)
+    return rollups.shown(rollups.rate(counts, ["compose_service"], logs.RATE_RANGE), AS_OF, _DAY)
+
+
+_CUT = AS_OF + timedelta(seconds=17, milliseconds=250)
+
+
+@query("log_summary_rollup", QUERIES["log_summary"].sql.replace(_RANGE, f"ts > TIMESTAMP '{_CUT - _DAY:%Y-%m-%d %H:%M:%S.%f}' AND ts <= TIMESTAMP '{_CUT:%Y-%m-%d %H:%M:%S.%f}'"))
+def _(t):
+    # A range that cuts a step at either end: whole steps from the rollup, the lines of the two pieces from the table.
+    path = _stored_lines(t)
+    rollups.refresh(t.spark, path, t.scratch)
+    labels = {"compose_service": ("svc-[0-5]", "svc-3")}
+    return rollups.summary(rollups.read_rollup(t.spark, t.scratch), t.spark.read.parquet(path), _CUT, _DAY, labels, dashboards.LOG_STEPS)
+
+
+@query(
+    "availability_filled",
+    f"""WITH steps AS (SELECT job, unnest(range(TIMESTAMP '2024-01-14 12:01:00', TIMESTAMP '2024-01-15 12:00:01', INTERVAL 1 MINUTE)) AS window_end
+            FROM (SELECT DISTINCT job FROM {_SAMPLES} WHERE value IS NOT NULL AND ts > TIMESTAMP '2024-01-14 11:30:00'
+                  AND ts <= TIMESTAMP '2024-01-15 12:00:00')),
+        seen AS (SELECT job, ts, arg_max(value, event_id) AS value FROM {_SAMPLES} WHERE value IS NOT NULL GROUP BY job, ts),
+        own AS (SELECT job, date_trunc('minute', ts - INTERVAL 1 MICROSECOND) + INTERVAL 1 MINUTE AS window_end, avg(value) AS up_ratio
+            FROM {_SAMPLES} WHERE value IS NOT NULL GROUP BY 1, 2)
+        SELECT s.job, s.window_end, CASE WHEN v.ts > s.window_end - INTERVAL 30 MINUTE THEN v.value END AS last, o.up_ratio,
+               CASE WHEN v.ts > s.window_end - INTERVAL 30 MINUTE THEN date_diff('microsecond', v.ts, s.window_end) / 1e6 END AS age_s
+        FROM steps s ASOF LEFT JOIN seen v ON s.job = v.job AND s.window_end >= v.ts
+        LEFT JOIN own o ON o.job = s.job AND o.window_end = s.window_end""",
+)
+def _(t):
+    return logs.availability_filled(samples(t), AS_OF, _DAY, step=MINUTE, staleness=timedelta(minutes=30), order=("ts", "event_id"))
+
+
 @query(
     "threshold_band",
     f"""SELECT compose_service, window_end, n, CASE WHEN n >= 5 THEN 'red' WHEN n >= 1 THEN 'orange' ELSE 'green' END AS band
