@@ -7,9 +7,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from llm.conftest import ODD, by_id
-from vitalake.llm import blocks, language, recurrent, toxicity
+from vitalake.llm import blocks, language, quality, recurrent, toxicity
 from vitalake.llm.queries import QUERIES, table
 
 SF = "/root/testdata/sf0.01"
@@ -144,3 +145,30 @@ def test_rounds_start_from_the_shared_weights(make, monkeypatch):
     docs = make(rows)
     one, three = (sum(r.score for r in language.score(docs, **kw).collect() if r.held_out) for kw in ({"rounds": 1}, {}))
     assert three > one
+
+
+def test_long_labelled_texts_are_learned_from(spark, make):
+    """One class has long texts only: stretches of them are learned from, whole texts are scored."""
+    good, bad = "a calm and friendly line of words ", "you awful nasty horrid fool "
+    rows = [(i, (bad if i % 2 else good) * (400 if i % 2 else 3)) for i in range(1, 160)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    network = toxicity.fit(make(rows), labels, longest=2000)
+    got = {r.doc_id: r.predicted for r in toxicity.score(make([(1, bad * 9), (2, good * 9), (3, good * 50 + bad * 40)]), network).collect()}
+    assert got == {1: 1, 2: 0, 3: 1}
+
+
+def test_stretches_are_spread_over_a_text(spark):
+    text = "".join(chr(0x100 + i % 0x100) for i in range(10_000))
+    df = spark.createDataFrame([(text,), (text[:160],), (None,)], "text string")
+    cut = [r[0] for r in df.select(toxicity._stretches(F.col("text"), 160)).collect()]
+    parts = cut[0].split(" ")
+    assert cut[1:] == [text[:160], None] and [len(x) for x in parts] == [10] * 16
+    assert text.startswith(parts[0]) and text.endswith(parts[-1]) and all(x in text for x in parts)
+
+
+def test_an_id_of_a_third_of_all_rows_is_bounded(spark, make):
+    """The rows of a sampled id are no more than the limit, whatever their number."""
+    rows = [(1, f"text {i} " + "a b c " * 30) for i in range(300)] + [(i, "good words " * 40) for i in range(2, 40)]
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 40)], "doc_id long, quality int, toxic int")
+    assert toxicity.fit(make(rows), labels, limit=20, total=2000) is not None
+    assert quality.train(make(rows), labels, limit=20) is not None

@@ -102,14 +102,16 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, text: str = "
     """Trees for P(quality = 1), fitted on at most `limit` labelled documents.
 
     Rows without an id or label are not used; an id labelled both ways counts as bad. The ids of the
-    sample are what is broadcast, and their statistics what is collected: both are bounded by `limit`.
+    sample are what is broadcast, and their statistics what is collected: both are bounded by `limit`. Rows of one id
+    that are alike count once, and of more than `limit` different ones those with the lowest hash are used.
     No labelled document, or one class only, gives trees that score every document alike.
     """
     rated = pick(labels, "doc_id", "quality").dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     rows = pick(docs, "doc_id", text).join(F.broadcast(sample), "doc_id")
     measured = add_columns(rows, lambda: _measure(text), Fields("_features doubles").spark, text)
-    table = measured.select("doc_id", "quality", "_features").toArrow().sort_by("doc_id")
+    different = measured.select("doc_id", "quality", "_features").distinct()
+    table = different.orderBy(F.xxhash64("doc_id", "_features"), "doc_id").limit(limit).toArrow().sort_by("doc_id")
     x = np.array(table.column("_features").to_pylist(), float).reshape(len(table), len(FEATURES))
     y = np.array(table.column("quality").to_pylist(), float) > 0
     # Ties of the sort (repeated rows) are equal in all but their features; put those in order too.

@@ -137,31 +137,42 @@ def resolve(records: DataFrame) -> DataFrame:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """Records of two crawls of a table of pages: each page in full, then asked for again and not modified.
+    """Records of a table of pages: each page is fetched, fetched again with other content, and asked for in between or after.
 
-    The time is the page's id, then that of the second crawl; the validators are those the first crawl would
-    have stored: an ETag from the text, or where the text's hash ends in a digit up to 3, Last-Modified alone.
-    Pages whose URLs have one canonical form thus meet, and a later one with another text makes an
-    earlier one's validator out of date.
+    With p for a page's id: its response `r` at time 4 p holds the text, another response `s` at 4 p + 2 a short text, and
+    the revisit `v` comes at 4 p + 1, when `s` is still to come, or at 4 p + 3, when `s` is the latest. The hash of the
+    text says which, and all else: one `r` in sixteen has status 404, every second `s` has status 500; `r` has an ETag,
+    or Last-Modified alone, or no validator, `s` an ETag; a revisit asks with the validator of `r`, with that of `s`,
+    or with none. Pages whose URLs have one canonical form meet.
     """
     tag = F.md5(F.col("html").cast("binary"))
-    dated = tag.rlike("[0-3]$")
-    day = F.concat(F.lit("day "), F.length("html").cast("string"))
-    validator = F.when(dated, F.concat(F.lit("Last-Modified: "), day)).otherwise(F.concat(F.lit('ETag: "'), tag, F.lit('"')))
+
+    def digit(i: int, among: str) -> Column:
+        return F.substring(tag, i, 1).rlike(f"[{among}]")
+
     end = "\r\n"
-    first = pages.select(
-        F.concat(F.lit("r"), F.col("page_id").cast("string")).alias("record_id"), F.lit("response").alias("type"), "url",
-        F.col("page_id").cast("long").alias("ts"), F.lit(200).alias("status"),
-        F.concat(F.lit(f"Content-Type: text/html{end}Content-Length: "), F.octet_length("html").cast("string"), F.lit(f"{end}Date: 1{end}"), validator).alias("headers"),
-        F.col("html").alias("payload"),
-    )
-    second = pages.select(
-        F.concat(F.lit("v"), F.col("page_id").cast("string")).alias("record_id"), F.lit("revisit").alias("type"), "url",
-        (F.col("page_id").cast("long") + F.lit(1 << 40)).alias("ts"), F.lit(304).alias("status"),
-        F.concat(F.lit(f"Content-Length: 0{end}Date: 2{end}Age: 5{end}"), validator).alias("headers"),
-        F.lit(None).cast("string").alias("payload"),
+    day = F.concat(F.lit("day "), F.length("html").cast("string"))
+    own = F.when(tag.rlike("[0-3]$"), F.concat(F.lit("Last-Modified: "), day)).otherwise(F.concat(F.lit('ETag: "'), tag, F.lit('"')))
+    other = F.concat(F.lit('ETag: "s'), F.col("page_id").cast("string"), F.lit('"'))
+    time = 4 * F.col("page_id").cast("long")
+
+    def record(kind: str, name: str, ts: Column, status: Column, headers: list[Column], payload: Column) -> DataFrame:
+        return pages.select(
+            F.concat(F.lit(kind), F.col("page_id").cast("string")).alias("record_id"), F.lit(name).alias("type"), "url",
+            ts.alias("ts"), status.alias("status"), F.concat(*headers).alias("headers"), payload.alias("payload"),
+        )
+
+    def response(text: Column) -> Column:
+        return F.concat(F.lit(f"Content-Type: text/html{end}Content-Length: "), F.octet_length(text).cast("string"), F.lit(f"{end}Date: 1{end}"))
+
+    short = F.concat(F.lit("page "), F.col("page_id").cast("string"))
+    asked = F.when(digit(5, "0-7"), own).when(digit(5, "89abcd"), other).otherwise("")
+    return (
+        record("r", "response", time, F.when(digit(2, "0"), 404).otherwise(200), [response(F.col("html")), F.when(digit(3, "01"), "").otherwise(own)], F.col("html"))
+        .unionByName(record("s", "response", time + 2, F.when(digit(4, "0-7"), 500).otherwise(200), [response(short), other], short))
+        .unionByName(record("v", "revisit", time + F.when(digit(1, "0-7"), 1).otherwise(3), F.lit(304),
+                            [F.lit(f"Content-Length: 0{end}Date: 2{end}Age: 5{end}"), asked], F.lit(None).cast("string")))
     )
-    return first.unionByName(second)
 
 
 def digest(resolved: DataFrame) -> DataFrame:
@@ -190,22 +201,34 @@ WITH p AS (
         || CASE WHEN len(pairs) > 0 THEN '?' || array_to_string(pairs, '&') ELSE '' END END AS page,
         CASE WHEN regexp_matches(tag, '[0-3]$') THEN 'last-modified=day ' || length(html) ELSE 'etag="' || tag || '"' END AS validator
     FROM q
-), l AS (
-    SELECT page, max(page_id) AS page_id FROM c WHERE html IS NOT NULL AND page IS NOT NULL GROUP BY page
-), s AS (
-    SELECT l.page, c.page_id, c.html, c.validator FROM l JOIN c ON c.page_id = l.page_id
+), own AS (
+    SELECT *, 'etag="s' || page_id || '"' AS other, 'page ' || page_id AS short FROM c
+), responses AS (
+    SELECT 'r' || page_id AS record_id, page, 4 * page_id AS ts, html AS payload, substr(tag, 2, 1) <> '0' AS usable,
+        CASE WHEN substr(tag, 3, 1) NOT IN ('0', '1') THEN validator END AS validator FROM own
+    UNION ALL
+    SELECT 's' || page_id, page, 4 * page_id + 2, short, NOT substr(tag, 4, 1) BETWEEN '0' AND '7', other FROM own
+), asked AS (
+    SELECT 'v' || page_id AS record_id, page, 4 * page_id + CASE WHEN substr(tag, 1, 1) BETWEEN '0' AND '7' THEN 1 ELSE 3 END AS ts,
+        CASE WHEN substr(tag, 5, 1) BETWEEN '0' AND '7' THEN validator WHEN substr(tag, 5, 1) IN ('8', '9', 'a', 'b', 'c', 'd') THEN other END
+        AS validator
+    FROM own
+), found AS (
+    SELECT v.*, s.record_id AS source, s.payload, s.validator AS stored,
+        CASE WHEN s.record_id IS NULL THEN 'missing' WHEN v.validator IS NOT NULL AND v.validator IS DISTINCT FROM s.validator THEN 'changed'
+             WHEN v.validator IS NULL AND s.validator IS NOT NULL THEN 'unverified' ELSE 'resolved' END AS outcome
+    FROM asked v ASOF LEFT JOIN (SELECT * FROM responses WHERE usable AND payload IS NOT NULL AND page IS NOT NULL) s
+        ON s.page = v.page AND s.ts < v.ts
 )
-SELECT 'r' || page_id AS record_id, 'response' AS outcome, CAST(NULL AS VARCHAR) AS refers_to, page,
-    'content-length=' || octet_length(encode(html)) || ';content-type=text/html;date=1;' || validator AS headers,
-    octet_length(encode(html)) AS payload_bytes, md5(html) AS payload_md5
-FROM c
+SELECT record_id, 'response' AS outcome, CAST(NULL AS VARCHAR) AS refers_to, page,
+    'content-length=' || octet_length(encode(payload)) || ';content-type=text/html;date=1' || coalesce(';' || validator, '') AS headers,
+    octet_length(encode(payload)) AS payload_bytes, md5(payload) AS payload_md5
+FROM responses
 UNION ALL
-SELECT 'v' || c.page_id, CASE WHEN s.page IS NULL THEN 'missing' WHEN s.validator = c.validator THEN 'resolved' ELSE 'changed' END,
-    'r' || s.page_id, c.page,
-    CASE WHEN s.validator = c.validator
-         THEN 'age=5;content-length=' || octet_length(encode(s.html)) || ';content-type=text/html;date=2;' || c.validator
-         ELSE 'age=5;content-length=0;date=2;' || c.validator END,
-    CASE WHEN s.validator = c.validator THEN octet_length(encode(s.html)) END,
-    CASE WHEN s.validator = c.validator THEN md5(s.html) END
-FROM c LEFT JOIN s ON s.page = c.page
+SELECT record_id, outcome, source, page,
+    CASE WHEN outcome = 'resolved' THEN 'age=5;content-length=' || octet_length(encode(payload)) || ';content-type=text/html;date=2'
+         ELSE 'age=5;content-length=0;date=2' END || coalesce(';' || validator, ''),
+    CASE WHEN outcome = 'resolved' THEN octet_length(encode(payload)) END,
+    CASE WHEN outcome = 'resolved' THEN md5(payload) END
+FROM found
 """

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalake.llm.arrays import Fields, add_columns, pick
 from vitalake.llm.recurrent import Network, Vocabulary, train
 
-#: Labelled documents that a fit uses at most, and the bytes that one of them may have.
-SAMPLE, LONGEST = 4_000, 1 << 18
+#: Labelled documents that a fit uses at most, characters of one of them, and bytes of all.
+SAMPLE, LONGEST, TOTAL = 4_000, 1 << 18, 96 << 20
+#: Stretches that stand for a longer text, evenly spread over it.
+STRETCHES = 16
 
 
 def held_out(doc_id: str = "doc_id", part: int = 0) -> Column:
@@ -19,18 +21,31 @@ def held_out(doc_id: str = "doc_id", part: int = 0) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == part
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, text: str = "text") -> Network:
+def _stretches(text: Column, longest: int) -> Column:
+    """A text of up to `longest` characters as it is; of a longer one, evenly spread stretches of that many in all."""
+    size, n = longest // STRETCHES, F.char_length(text)
+    starts = F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), lambda i: F.floor(i * (n - size) / (STRETCHES - 1)).cast("int") + 1)
+    return F.when(n <= longest, text).otherwise(F.array_join(F.transform(starts, lambda at: F.substring(text, at, F.lit(size))), " "))
+
+
+def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, longest: int = LONGEST, total: int = TOTAL, text: str = "text") -> Network:
     """A network for P(toxic = 1), from at most `limit` labelled documents that are not held out.
 
-    They are those with the lowest hash of their id; longer ones than LONGEST bytes are not trained on.
-    Rows without an id or label are not used; an id labelled both ways counts as toxic. Only texts enter.
-    Both bounds together bound what is broadcast and collected. No labelled document, or one class only,
+    They are those with the lowest hash of their id. Of a text of more than `longest` characters, evenly spread
+    stretches are learned from, so long labelled texts count as others do; of all rows, those with the lowest hash of id and
+    text, up to `limit` rows and `total` bytes. Rows without an id or label are not used, rows that repeat id and text
+    count once, and an id labelled both ways counts as toxic. Only texts enter.
+    These bounds together bound what is broadcast and collected. No labelled document, or one class only,
     gives one score for all.
     """
     rated = pick(labels, "doc_id", "toxic").dropna().filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = docs.select("doc_id", F.col(text).alias("text")).filter(F.octet_length("text") <= LONGEST)
-    table = rows.join(F.broadcast(sample), "doc_id").toArrow()
+    rows = docs.select("doc_id", _stretches(F.col(text), longest).alias("text")).filter("text IS NOT NULL")
+    rows = rows.join(F.broadcast(sample), "doc_id").distinct().withColumn("_hash", F.xxhash64("doc_id", "text"))
+    first = rows.orderBy("_hash", "doc_id", "text").limit(limit)
+    # At most `limit` rows: one task adds up their bytes.
+    upto = F.sum(F.octet_length("text")).over(Window.orderBy("_hash", "doc_id", "text"))
+    table = first.withColumn("_upto", upto).filter(F.col("_upto") <= total).select("doc_id", "text", "toxic").toArrow()
     table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
     column = table.column("text").cast(pa.large_string()).combine_chunks() if len(table) else pa.array([], pa.large_string())
     return train(column, np.array(table.column("toxic").to_pylist(), np.float32) if len(table) else np.zeros(1, np.float32))
