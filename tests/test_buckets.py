@@ -114,11 +114,11 @@ def load(spark, root, label, pairs, keep=20, day=0):
     except VersionNotFound:
         old = None
     folder = publications.claim(spark, root, "s/kv", label)
-    table, written = buckets.upsert_buckets(
+    merged = buckets.upsert_buckets(
         frame(spark, pairs), root, old, folder, "kv", ("key",), SCHEMA, keep, load_ts=LOAD_TS + timedelta(days=day)
     )
-    versions.publish(spark, root, [Version("s/kv", label, folder, (table,))])
-    return old, versions.resolve(spark, root, "s", "kv"), written.count()
+    versions.publish(spark, root, [Version("s/kv", label, folder, (merged.table,))])
+    return old, versions.resolve(spark, root, "s", "kv"), merged.written.count()
 
 
 def content(spark, root):
@@ -136,7 +136,9 @@ def test_touched_buckets_only(spark, tmp_path):
     assert 1 <= len(moved) <= 2 and set(now) == set(was) | moved
     # Files of the version before are as they were; the load wrote the rows of its buckets and no others.
     assert stored(tmp_path / "s").items() >= before.items()
-    assert written == sum(1 for i in [*range(400), 1000] if bucket(spark, i, new) in moved)
+    placed = frame(spark, [(i, "x") for i in [*range(400), 1000]]).select("key")
+    placed = placed.select(buckets.bucket_of(placed, ("key",), new.table("kv").buckets)).collect()
+    assert written == sum(b in moved for (b,) in placed)
     got = {r[0]: r[1:] for r in content(spark, root)}
     assert len(got) == 401 and got[7][0] == "newer" and got[1000][0] == "added" and got[8][0] == "old"
     assert got[7][1] < got[7][2] and got[1000][1] == got[1000][2] and got[8][1] == got[8][2]
@@ -216,20 +218,22 @@ def test_serving_loads_touch_few_buckets(spark, tmp_path):
     assert egg.meal_type == "Lunch" and egg.created_at < egg.updated_at
 
 
-def test_an_id_of_two_foods_stops_a_serving_load(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("keep", [1000, 1])
+def test_an_id_of_two_foods_stops_a_serving_load(spark, tmp_path, monkeypatch, keep):
+    """Also where the other row lies in a bucket that the load does not touch."""
     folder, root = write_folder(tmp_path / "in"), str(tmp_path / "lake")
     runs.dump_external(spark, str(folder), root)
-    runs.load_serving_dataset(spark, root, "food_item", LOAD_TS, "1")
+    runs.load_serving_dataset(spark, root, "food_item", LOAD_TS, "1", rows=keep)
     before = rows(versions.read_tables(spark, root, runs.SERVING, "food_item")["food_item"])
     path = folder / "daily_food_nutrition_dataset.csv"
-    path.write_text(path.read_text() + "Tofu,Dairy,78,6.3,0.6,5.3,0,0.6,62,186,Lunch,0\n")
+    path.write_text(path.read_text().splitlines()[0] + "\nTofu,Dairy,78,6.3,0.6,5.3,0,0.6,62,186,Lunch,0\n")
     runs.dump_external(spark, str(folder), root)
     taken = next(r[0] for r in before if r[1] == "Egg")
     real = runs.serving.stable_id
     # A new name gets the id that another name has from an earlier load.
     monkeypatch.setattr("vitalake.plans.serving.stable_id", lambda c, *more: F.when(F.col(c) == "Tofu", F.lit(taken)).otherwise(real(c, *more)))
     with pytest.raises(runs.IdCollision, match="food_item"):
-        runs.load_serving_dataset(spark, root, "food_item", LOAD_TS, "2")
+        runs.load_serving_dataset(spark, root, "food_item", LOAD_TS + timedelta(days=1), "2", rows=keep)
     assert rows(versions.read_tables(spark, root, runs.SERVING, "food_item")["food_item"]) == before
 
 

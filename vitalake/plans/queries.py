@@ -1015,8 +1015,8 @@ def _(t):
     old = None
     for label, batch, load_ts in (("1", first, OLD_TS), ("2", changed.unionByName(new), LOAD_TS)):
         folder = publications.claim(t.spark, t.scratch, "sales/orders", label)
-        table, _ = buckets.upsert_buckets(batch, t.scratch, old, folder, "orders", ("o_orderkey",), schema, 2000, load_ts=load_ts)
-        versions.publish(t.spark, t.scratch, [versions.Version("sales/orders", label, folder, (table,))])
+        merged = buckets.upsert_buckets(batch, t.scratch, old, folder, "orders", ("o_orderkey",), schema, 2000, load_ts=load_ts)
+        versions.publish(t.spark, t.scratch, [versions.Version("sales/orders", label, folder, (merged.table,))])
         old = versions.resolve(t.spark, t.scratch, "sales", "orders")
     rows = versions.read_tables(t.spark, t.scratch, "sales", "orders")["orders"]
     return rows.select("o_orderkey", "o_orderstatus", (F.col("updated_at") == F.lit(LOAD_TS)).alias("updated"))
@@ -1462,39 +1462,54 @@ def _(t):
     return merge.union_tagged({d: df.select("id", "name") for d, df in tables.items()}, "dim")
 
 
-def _sessions(df: DataFrame, **cells: Column) -> DataFrame:
-    rest = {name: F.lit("1") for _, name, _ in schemas.WORKOUT if name not in cells}
-    return df.select(*[_text(c).alias(n) for n, c in {**cells, **rest}.items()])
+def _sessions(df: DataFrame, columns, **cells: Column) -> DataFrame:
+    """Text cells under the headers of a source; a column without a cell holds 1."""
+    return df.select(*[_text(cells.get(name, F.lit("1"))).alias(header) for header, name, _ in columns])
 
 
-def raw_sessions(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Order lines as sessions of the external file and orders as sessions of the API: many are alike."""
+def landed_sessions(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Order lines as landed sessions of the external file and orders as those of the API: many are alike."""
     external = _sessions(
         t.lineitem,
+        schemas.WORKOUT,
         age=F.col("l_quantity").cast("int"),
         gender=F.col("l_returnflag"),
+        weight_kg=F.col("l_linenumber") + 40,
+        max_bpm=F.col("l_quantity").cast("int") + 100,
+        session_duration_hours=F.col("l_quantity") / 4,
+        workout_frequency_days_week=F.col("l_linenumber"),
         workout_type=F.when(F.col("l_linenumber") == 7, "").otherwise(F.concat(F.lit("W"), "l_linenumber")),
         calories_burned=F.col("l_quantity"),
     )
-    api = _sessions(t.orders, age=F.lit(30), gender=F.col("o_orderstatus"), workout_type=F.col("o_orderpriority"))
-    return _raw(external, schemas.WORKOUT_API), _raw(api, schemas.WORKOUT_API)
+    api = _sessions(
+        t.orders, schemas.WORKOUT_API, age=F.lit(30), gender=F.col("o_orderstatus"), bmi=F.length("o_orderpriority"), workout_type=F.col("o_orderpriority")
+    )
+    return external, api
 
 
-def _session_sql(source: str, table: str, age: str, gender: str, kind: str, calories: str) -> str:
-    cells = {"age": age, "gender": gender, "workout_type": kind, "calories_burned": f"{calories}"}
-    texts = []
-    for _, name, declared in schemas.WORKOUT:
-        if name in cells:
-            texts.append(cells[name])
-        else:
-            texts.append("'1.0'" if declared == "Float32" else "'1'")
-    inner = f"SELECT {age} AS age, {gender} AS gender, {kind} AS kind, {calories} AS calories FROM {table}"
-    named = {age: "age", gender: "gender", kind: "kind", calories: "calories"}
-    parts = [named.get(x, x) for x in texts]
-    content = f"({sid_text(f"'{source}'", *parts)})"
-    return f"""SELECT {sid(content, 'i')} AS id, '{source}' AS source, age::SMALLINT AS age, gender,
-        {sid('kind')} AS workout_type_id, kind AS workout_type_name, calories::DOUBLE AS calories FROM (SELECT *,
-        row_number() OVER (PARTITION BY age, gender, kind, calories) AS i FROM ({inner}))"""
+def raw_sessions(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The landed sessions with typed columns, each source by its own header."""
+    external, api = landed_sessions(t)
+    return _raw(external, schemas.WORKOUT), _raw(api, schemas.WORKOUT_API)
+
+
+#: Names of session measures in the warehouse, where they differ from those of the source.
+_SESSION_NAMES = {"workout_frequency_days_week": "workout_frequency_per_week", "session_duration_hours": "duration_hours", "calories_burned": "calories"}
+_SESSION_TYPES = {"Float32": "FLOAT::DOUBLE", "UInt8": "SMALLINT", "UInt16": "INTEGER", "String": "VARCHAR"}
+
+
+def _session_sql(source: str, table: str, **cells: str) -> str:
+    """The sessions of a source in SQL; each cell is the text of a column, and columns without one hold 1."""
+    texts = {name: cells.get(name, "'1.0'" if kind == "Float32" else "'1'") for _, name, kind in schemas.WORKOUT}
+    inner = ", ".join(f"{text} AS {name}" for name, text in texts.items())
+    out = [
+        f"{name}::{_SESSION_TYPES[kind]} AS {_SESSION_NAMES.get(name, name)}"
+        for _, name, kind in schemas.WORKOUT
+        if name != "workout_type"
+    ]
+    return f"""SELECT {sid(f"({sid_text(f"'{source}'", *texts)})", 'i')} AS id, '{source}' AS source, 0::BIGINT AS member_id, 0::BIGINT AS snapshot_id,
+        {', '.join(out)}, {sid('workout_type')} AS workout_type_id, workout_type AS workout_type_name, CAST(NULL AS VARCHAR) AS started_at
+        FROM (SELECT *, row_number() OVER (PARTITION BY {', '.join(texts)}) AS i FROM (SELECT {inner} FROM {table}))"""
 
 
 @query(
@@ -1502,17 +1517,22 @@ def _session_sql(source: str, table: str, age: str, gender: str, kind: str, calo
     _session_sql(
         "external_csv",
         "lineitem",
-        "CAST(l_quantity AS INTEGER)",
-        "l_returnflag",
-        "CASE WHEN l_linenumber = 7 THEN '' ELSE 'W' || l_linenumber END",
-        "l_quantity",
+        age="CAST(CAST(l_quantity AS INTEGER) AS VARCHAR)",
+        gender="l_returnflag",
+        weight_kg="(l_linenumber + 40) || '.0'",
+        max_bpm="CAST(CAST(l_quantity AS INTEGER) + 100 AS VARCHAR)",
+        session_duration_hours="CAST(l_quantity / 4 AS VARCHAR)",
+        workout_frequency_days_week="CAST(l_linenumber AS VARCHAR)",
+        workout_type="CASE WHEN l_linenumber = 7 THEN '' ELSE 'W' || l_linenumber END",
+        calories_burned="CAST(l_quantity AS VARCHAR)",
     )
     + " UNION ALL "
-    + _session_sql("api", "orders", "30", "o_orderstatus", "o_orderpriority", "'1.0'"),
+    + _session_sql("api", "orders", age="'30'", gender="o_orderstatus", bmi="length(o_orderpriority) || '.0'", workout_type="o_orderpriority"),
 )
 def _(t):
     session = _warehouse("workout_session", "session", *raw_sessions(t))
-    return _widened(session, "id", "source", "age", "gender", "workout_type_id", "workout_type_name", "calories")
+    columns = [c for c in session.columns if c not in ("created_at", "updated_at")]
+    return _widened(session.withColumn("started_at", _text("started_at")), *columns)
 
 
 @query(
@@ -1531,55 +1551,103 @@ def _written(t: Tables) -> str:
     """The landed shapes of the given tables as source files in a folder."""
     folder = f"{t.scratch}/in"
     names = {name: file for name, file, _, _ in landing.EXTERNAL}
-    landed_food(t).drop(readers.SEQ).write.option("header", True).csv(f"{folder}/{names['daily_food']}")
-    landed_diet(t).drop(readers.SEQ).write.option("header", True).csv(f"{folder}/{names['diet_recommendation']}")
+    external, api = landed_sessions(t)
+    files = {"daily_food": landed_food(t).drop(readers.SEQ), "diet_recommendation": landed_diet(t).drop(readers.SEQ), "workout_session": external}
+    for name, df in files.items():
+        df.write.option("header", True).csv(f"{folder}/{names[name]}")
+    api.write.option("header", True).csv(f"{folder}/workout_export.csv")
     landed_exercise(t).drop(readers.SEQ).write.json(f"{folder}/{names['exercise']}")
     return folder
 
 
-@query(
-    "job_warehouse",
-    f"""SELECT 'disease' AS dim, {sid('name')} AS id, name FROM (SELECT DISTINCT disease AS name FROM {_DIET}) WHERE name IS NOT NULL
-        UNION ALL SELECT 'patient', {sid('pid')}, pid FROM (SELECT DISTINCT pid FROM {_DIET})
-        UNION ALL SELECT 'food_item', {sid('p_name')}, p_name FROM (SELECT DISTINCT p_brand, p_size, p_name FROM {_FOOD})
-        UNION ALL SELECT 'exercise', p_partkey, p_name FROM part""",
-)
-def _(t):
-    # Source files to the lake, from there to the warehouse, and the published tables read back.
+#: Per table of a whole job: the query that has its rows, the columns compared as text, and those added up.
+_WHOLE_WAREHOUSE = {
+    "food_category": ("warehouse_food_category", ["name"], []),
+    "food_item": ("warehouse_food_item", ["name", "meal_type", "category_ids", "category_names"], ["calories", "protein_g", "water_intake_ml"]),
+    "patient": ("warehouse_patient", ["id_data_set", "gender", "allergy_ids", "allergy_names", "diseases"], ["age"]),
+    "metrics": ("warehouse_metrics", ["patient_id"], ["weight_kg", "height_cm", "bmi", "cholesterol_mg_dl", "blood_pressure_mmhg", "glucose_mg_dl"]),
+    "exercises": ("warehouse_exercises", ["patient_id", "physical_activity_level"], ["weekly_exercise_hours"]),
+    "diets": (
+        "warehouse_diets",
+        ["patient_id", "dietary_restriction_id", "preferred_cuisine_id", "diet_recommendation_id", "preferred_cuisine_name",
+         "dietary_restriction_name", "diet_recommendation_name", "patient_gender"],
+        ["daily_caloric_intake", "adherence_to_diet_plan", "dietary_nutrient_imbalance_score", "patient_age"],
+    ),
+    "exercise": (
+        "warehouse_exercise",
+        ["name", "force", "level", "instruction", "photo", "primary_muscle_ids", "secondary_muscle_ids", "category_id", "equipment_id", "equipment_name"],
+        [],
+    ),
+    "workout_type": ("warehouse_workout_type", ["name"], []),
+    "session": (
+        "warehouse_session",
+        ["source", "gender", "workout_type_id", "workout_type_name"],
+        ["member_id", "snapshot_id", "age", "height_m", "weight_kg", "bmi", "fat_percentage", "experience_level", "workout_frequency_per_week",
+         "duration_hours", "calories", "avg_bpm", "max_bpm", "resting_bpm", "water_intake_liters"],
+    ),
+}
+_WHOLE_SERVING = {
+    "food_category": ("serving_food_category", ["name"], []),
+    "food_item": ("serving_food_item", ["name", "meal_type", "category_ids"], ["calories", "protein_g", "water_intake_ml"]),
+    "patient": ("serving_patient", ["id_data_set", "gender", "allergy_ids", "diseases"], ["age"]),
+    "metrics": ("serving_metrics", ["patient_id"], ["weight_kg", "height_cm", "bmi", "cholesterol_mg_dl", "blood_pressure_mmhg", "glucose_mg_dl"]),
+    "exercises": ("serving_exercises", ["patient_id", "physical_activity_level"], ["weekly_exercise_hours"]),
+    "diets": (
+        "serving_diets",
+        ["patient_id", "dietary_restriction_id", "preferred_cuisine_id", "diet_recommendation_id"],
+        ["daily_caloric_intake", "adherence_to_diet_plan", "dietary_nutrient_imbalance_score"],
+    ),
+    "exercise": ("serving_exercise", ["name", "level", "mechanic", "primary_muscle_ids", "secondary_muscle_ids", "category_id", "equipment_id"], []),
+}
+
+
+def _whole_sql(tables: dict, dims: tuple[str, ...]) -> str:
+    """All rows of all tables, each with its columns as one text and its numbers weighted and added up."""
+    parts = [f"SELECT dim, CAST(id AS VARCHAR) AS id, name AS cells, 0.0::DOUBLE AS numbers FROM ({QUERIES[q].sql})" for q in dims]
+    for name, (of, texts, numbers) in tables.items():
+        cells = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in texts)
+        added = " + ".join(["0.0::DOUBLE", *[f"coalesce(CAST({c} AS DOUBLE), -1) * {i}" for i, c in enumerate(numbers, 1)]])
+        parts.append(f"SELECT '{name}', CAST(id AS VARCHAR), concat_ws('|', {cells}), {added} FROM ({QUERIES[of].sql})")
+    return " UNION ALL ".join(f"({p})" for p in parts)
+
+
+def _whole(frames: dict[str, DataFrame], tables: dict) -> DataFrame:
+    rows = []
+    for name, df in frames.items():
+        _, texts, numbers = tables.get(name, ("", ["name"], []))
+        df = _widened(df, "id", *texts, *numbers)
+        added = F.lit(0.0)
+        for i, c in enumerate(numbers, 1):
+            added = added + F.coalesce(F.col(c).cast("double"), F.lit(-1.0)) * i
+        cells = F.concat_ws("|", *[F.coalesce(_text(c), F.lit("~")) for c in texts])
+        rows.append(df.select(F.lit(name).alias("dim"), _text("id").alias("id"), cells.alias("cells"), added.alias("numbers")))
+    return merge.union_all(rows)
+
+
+def _published(t: Tables, root: str, section: str, datasets: tuple[str, ...]) -> dict[str, DataFrame]:
+    return {name: df for d in datasets for name, df in versions.read_tables(t.spark, root, section, d).items()}
+
+
+@query("job_warehouse", _whole_sql(_WHOLE_WAREHOUSE, ("warehouse_diet_dims", "warehouse_exercise_dims")))
+def _(t):
+    # Source files to the lake, from there to the warehouse in one publication, and every published table read back.
+    root, folder = f"{t.scratch}/lake", _written(t)
+    runs.dump_external(t.spark, folder, root)
+    runs.dump_exports(t.spark, {"workout_session": f"{folder}/workout_export.csv"}, root)
+    runs.load_warehouse(t.spark, root, LOAD_TS, together=True)
+    return _whole(_published(t, root, runs.WAREHOUSE, runs.WAREHOUSE_DATASETS), _WHOLE_WAREHOUSE)
+
+
+@query("job_serving", _whole_sql(_WHOLE_SERVING, ("serving_diet_dims", "serving_exercise_dims")))
+def _(t):
+    # Into a store that holds some rows already, with ids of its own; loaded twice, the second time bucket by bucket.
     root = f"{t.scratch}/lake"
-    runs.dump_external(t.spark, _written(t), root, exercise="jsonl")
-    runs.load_warehouse(t.spark, root, LOAD_TS, datasets=["daily_food", "diet_recommendation", "exercise_db"])
-    diet, food, moves = (versions.read_tables(t.spark, root, runs.WAREHOUSE, d) for d in ("diet_recommendation", "daily_food", "exercise_db"))
-    return merge.union_tagged(
-        {
-            "disease": diet["disease"].select("id", "name"),
-            "patient": diet["patient"].select("id", F.col("id_data_set").alias("name")),
-            "food_item": food["food_item"].select("id", "name"),
-            "exercise": moves["exercise"].select(F.col("id").cast("bigint").alias("id"), "name"),
-        },
-        "dim",
-    )
-
-
-@query(
-    "job_serving",
-    f"""SELECT 'food_category' AS dim, {sid('name')} AS id, name FROM (SELECT DISTINCT category AS name FROM {_FOOD}
-        WHERE category NOT IN ('', 'None')) UNION ALL SELECT 'exercise', {sid('p_name')}, p_name FROM (SELECT DISTINCT p_name FROM part)
-        UNION ALL SELECT 'exercise_category', {sid('p_brand')}, p_brand FROM (SELECT DISTINCT p_brand FROM part)""",
-)
-def _(t):
-    root = f"{t.scratch}/lake"
-    runs.dump_external(t.spark, _written(t), root, exercise="jsonl")
-    runs.load_serving(t.spark, root, LOAD_TS, datasets=["food_item", "exercise"])
-    food, moves = (versions.read_tables(t.spark, root, runs.SERVING, d) for d in ("food_item", "exercise"))
-    return merge.union_tagged(
-        {
-            "food_category": food["food_category"].select("id", "name"),
-            "exercise": moves["exercise"].select("id", "name"),
-            "exercise_category": moves["exercise_category"].select("id", "name"),
-        },
-        "dim",
-    )
+    versions.write_tables({"food_category": _known_categories(t)}, root, runs.SERVING, "food_item", "1")
+    versions.write_tables({"patient": _known_patients(t), "metrics": _known_metrics(t)}, root, runs.SERVING, "diet", "1")
+    runs.dump_external(t.spark, _written(t), root)
+    for label in ("2", "3"):
+        runs.load_serving(t.spark, root, LOAD_TS, label, together=True)
+    return _whole(_published(t, root, runs.SERVING, runs.SERVING_DATASETS), _WHOLE_SERVING)
 
 
 @query("job_land_export", "SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS status FROM orders")

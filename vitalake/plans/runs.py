@@ -19,7 +19,7 @@ from vitalake.session import bytes_under, size_shuffles
 from vitalake.sources import publications
 from vitalake.sources.backup import backup
 from vitalake.sources.landing import external_sources, land_all, land_export
-from vitalake.sources.buckets import ROWS, merge_buckets
+from vitalake.sources.buckets import ROWS, Merged, merge_buckets
 from vitalake.sources.publications import Table, Version
 from vitalake.sources.tolerance import tolerate
 from vitalake.sources.versions import (
@@ -80,13 +80,18 @@ def _check_ids(tables: dict[str, DataFrame]) -> None:
                 raise IdCollision(f"{table}: {first.a!r} and {first.b!r} have the id {first.id}")
 
 
-def _check_one_per_id(tables: dict[str, DataFrame]) -> None:
-    """Refuse a load in which an id stands for two rows, which in the serving store are two keys."""
-    _check_ids(tables)
-    for table, df in tables.items():
-        of = df.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
-        if (first := of.first()) is not None:
-            raise IdCollision(f"{table}: {first.n} rows have the id {first.id}")
+def _check_one_per_id(name: str, merged: Merged, load_ts: datetime) -> None:
+    """Refuse a load in which an id stands for two rows, which in the serving store are two keys.
+
+    Written rows are compared with each other, and ids that are new with those of the untouched buckets, of which one
+    column is read, and none where no row is new.
+    """
+    of = merged.written.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
+    if (first := of.first()) is not None:
+        raise IdCollision(f"{name}: {first.n} rows have the id {first.id}")
+    new = merged.written.filter(F.col("created_at") == F.lit(load_ts)).select("id")
+    if not new.isEmpty() and (first := merged.untouched.select("id").join(new, "id", "left_semi").first()) is not None:
+        raise IdCollision(f"{name}: a new row has the id {first.id} of another")
 
 
 def _landed_or_empty(spark: SparkSession, root: str, section: str, dataset: str, columns) -> DataFrame:
@@ -141,8 +146,8 @@ def stage_serving_dataset(
 ) -> tuple[Version, dict[str, int]]:
     """Merge the latest landed files into the serving tables: a version, not published, and rows skipped as malformed.
 
-    The tables are kept as buckets of their id, of about `rows` rows each. Only buckets that the landed rows touch are
-    read and written. An id that stands for two rows is refused: ids come from keys, so both are in one bucket.
+    The tables are kept as buckets of their key, of about `rows` rows each. Only buckets that the landed rows touch are
+    read and written. An id that stands for two rows is refused.
     """
     load_ts, label, root = load_ts or _now(), label or now_label(), root.rstrip("/")
     if dataset not in SERVING_DATASETS:
@@ -159,10 +164,10 @@ def stage_serving_dataset(
     folder = publications.claim(spark, root, dataset_name(SERVING, dataset), label)
 
     def write(name: str) -> Table:
-        schema = T.StructType.fromDDL(serving.TABLE_SCHEMA[name])
-        table, written = merge_buckets(found[name].rows, root, old, folder, name, ("id",), schema, found[name].apply, rows)
-        _check_one_per_id({name: written})
-        return table
+        schema, change = T.StructType.fromDDL(serving.TABLE_SCHEMA[name]), found[name]
+        merged = merge_buckets(change.rows, root, old, folder, name, (change.key,), schema, change.apply, rows)
+        _check_one_per_id(name, merged, load_ts)
+        return merged.table
 
     with ThreadPoolExecutor(max_workers=AT_ONCE) as pool:
         tables = tuple(pool.map(write, found))

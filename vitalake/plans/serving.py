@@ -61,10 +61,11 @@ TABLE_SCHEMA = {
 class Change:
     """What a load brings to a table: rows with their id, one per key, and how they join the rows that are there.
 
-    The id is made from the key, so `apply` needs only the rows there whose ids share a bucket with those of `rows`.
+    `apply` needs only the rows there that share a bucket of the key with those of `rows`.
     """
 
     rows: DataFrame
+    key: str
     apply: Callable[[DataFrame, DataFrame], DataFrame]
 
 
@@ -88,17 +89,18 @@ class Load:
         """Columns of a table without its stamps."""
         return [c for c in T.StructType.fromDDL(TABLE_SCHEMA[name]).names if c not in ("created_at", "updated_at")]
 
-    def merge(self, name: str, rows: DataFrame, keys: Sequence[str]) -> Change:
+    def merge(self, name: str, rows: DataFrame, key: str) -> Change:
         """Upsert rows that are already one per key."""
         return Change(
             rows.select(*self._columns(name)),
-            lambda there, new: upsert(there, new, keys, None, self.load_ts, keep=("id", "created_at"), reduced=True),
+            key,
+            lambda there, new: upsert(there, new, [key], None, self.load_ts, keep=("id", "created_at"), reduced=True),
         )
 
     def names(self, rows: DataFrame) -> Change:
         """Add the names a dimension lacks."""
         named = rows.select("name").distinct().select(stable_id("name").alias("id"), "name")
-        return Change(named, lambda there, new: upsert_dim(there, new, self.load_ts))
+        return Change(named, "name", lambda there, new: upsert_dim(there, new, self.load_ts))
 
     def add(self, name: str, rows: DataFrame, key: str) -> Change:
         """Add the rows whose key the table lacks."""
@@ -107,7 +109,7 @@ class Load:
             fresh = new.join(there.select(key).distinct(), key, "left_anti")
             return there.unionByName(stamp(fresh, self.load_ts).select(*there.columns))
 
-        return Change(rows.select(*self._columns(name)), apply)
+        return Change(rows.select(*self._columns(name)), key, apply)
 
 
 def _rows(landed: DataFrame, columns) -> DataFrame:
@@ -156,7 +158,7 @@ def food_item(load: Load) -> Change:
     items = lookup_or_new(last, load.current("food_category"), "category", "_category_id").withColumns(
         {"id": stable_id("name"), "category_ids": single_or_empty("_category_id", "category")}
     )
-    return load.merge("food_item", items, ["name"])
+    return load.merge("food_item", items, "name")
 
 
 def skipped_foods(landed: DataFrame) -> DataFrame:
@@ -195,7 +197,7 @@ def exercise(load: Load) -> Change:
     found = lookup_arrays(last, load.current("muscle"), muscles, ["name"], new_ids=True)
     found = lookup_or_new(found, load.current("exercise_category"), "category", "category_id")
     found = lookup_or_new(found, load.current("equipment"), "equipment", "equipment_id")
-    return load.merge("exercise", found.withColumn("id", stable_id("name")), ["name"])
+    return load.merge("exercise", found.withColumn("id", stable_id("name")), "name")
 
 
 # ── diet ─────────────────────────────────────────────────────────────────────
@@ -243,7 +245,7 @@ def patient(load: Load) -> Change:
         single_or_empty("_allergy_id", "allergies").alias("allergy_ids"),
         condition_entries("disease_type", F.col("_disease_id"), "severity").alias("diseases"),
     )
-    return load.merge("patient", patients, ["id_data_set"])
+    return load.merge("patient", patients, "id_data_set")
 
 
 def _added(load: Load, table: str, *cols: Column) -> Change:
@@ -285,7 +287,7 @@ def diets(load: Load) -> Change:
     found = _with_patient(load, latest_by_key(rows, ["id_data_set"], seq=SEQ), "diets")
     for name in dims:
         found = lookup_or_new(found, load.current(name), _DIET_DIMS[name], f"{name}_id")
-    return load.merge("diets", found, ["patient_id"])
+    return load.merge("diets", found, "patient_id")
 
 
 DATASETS = {

@@ -4,14 +4,14 @@ A version of such a table is a manifest: for each bucket, the folder that holds
 the buckets of its batch, joins the batch with their rows, writes these buckets anew, and lists the folders of all
 others as the version before did. What a load costs thus grows with its batch and not with its target.
 
-Rows go to buckets by the hash of the `on` columns. These must be a function of the key by which a merge
-joins, so that a key has one bucket; with an id made from the key, two keys with one id meet there too.
+Rows go to buckets by the hash of the `on` columns, by which a merge joins, so that a key has one bucket.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +27,15 @@ _MANIFEST = f"{BUCKET} int, folder string, n long"
 Merge = Callable[[DataFrame, DataFrame], DataFrame]
 
 
+@dataclass(frozen=True)
+class Merged:
+    """A merged table: what a version says of it, the rows that were written, and those of the buckets that stay."""
+
+    table: Table
+    written: DataFrame
+    untouched: DataFrame
+
+
 def bucket_of(df: DataFrame, on: tuple[str, ...], buckets: int) -> Column:
     """The bucket of a row. Rows that have only NULL in the `on` columns match no other and are spread by all they hold."""
     keys = [F.col(f"`{c}`") for c in on]
@@ -76,43 +85,46 @@ def _drop(spark: SparkSession, path: str) -> None:
 
 def merge_buckets(
     batch: DataFrame, root: str, old: Version | None, folder: str, name: str, on: tuple[str, ...], schema: T.StructType, apply: Merge, rows: int = ROWS
-) -> tuple[Table, DataFrame]:
+) -> Merged:
     """Write a table of a new version: what `apply` makes of the rows there and the batch, bucket by bucket.
 
     `apply` gets the rows of the touched buckets and the batch, and returns rows of `schema`; it must not need other
     rows, and the rows it returns must belong to buckets of the batch or come from those it got. `folder` is
-    that of the new version. Returns the table for the version and the rows that were written. A plain table of the
-    old version, and one that has more than `rows` rows a bucket, is written whole, as new buckets.
+    that of the new version. A plain table of the old version, one kept by other columns, and one that has more than
+    `rows` rows a bucket, is written whole, as new buckets.
     """
     spark = batch.sparkSession
     staged = f"{root}/{folder}/{name}/batch"
     batch.write.parquet(staged)
     batch = spark.read.schema(batch.schema).parquet(staged)
     before = old.table(name) if old else None
-    known = _manifest(spark, root, old, name) if before and before.buckets else None
+    known = _manifest(spark, root, old, name) if before and before.buckets and before.on == tuple(on) else None
     there = 0
     if known is not None:
         there = known.agg(F.sum("n")).first()[0] or 0
     elif before:
         there = read_table(spark, root, old, before).count()
-    buckets = (before.buckets if before else None) or 1
+    buckets = before.buckets if known is not None else 1
     while max(there, batch.count() if not before else 0) > rows * buckets:
         buckets *= 2
     table = Table(name, schema.json(), tuple(on), buckets)
     if known is not None and before.buckets == buckets:
-        touched = [r[0] for r in batch.select(bucket_of(batch, on, buckets)).distinct().collect()]
-        current = _rows_of(spark, root, schema, [r.folder for r in known.filter(F.col(BUCKET).isin(touched)).collect()])
+        touched = {r[0] for r in batch.select(bucket_of(batch, on, buckets)).distinct().collect()}
+        folders = bucket_folders(spark, root, old, name)
+        current = _rows_of(spark, root, schema, [f for b, f in folders.items() if b in touched])
+        untouched = _rows_of(spark, root, schema, [f for b, f in folders.items() if b not in touched])
         reused = known.filter(~F.col(BUCKET).isin(touched))
     else:
-        current, reused = read_table(spark, root, old, before) if before else spark.createDataFrame([], schema), None
+        current = read_table(spark, root, old, before) if before else spark.createDataFrame([], schema)
+        untouched, reused = spark.createDataFrame([], schema), None
     written = _write(apply(current, batch).select(*[F.col(f"`{c}`") for c in schema.names]), root, folder, table, reused)
     _drop(spark, staged)
-    return table, written
+    return Merged(table, written, untouched)
 
 
 def upsert_buckets(
     batch: DataFrame, root: str, old: Version | None, folder: str, name: str, keys: tuple[str, ...], schema: T.StructType, rows: int = ROWS, **options
-) -> tuple[Table, DataFrame]:
+) -> Merged:
     """`upsert` of a batch into a table kept as buckets of its key; see `operators.merge.upsert` for the options."""
     from vitalake.operators.merge import upsert
 
