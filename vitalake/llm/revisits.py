@@ -127,8 +127,12 @@ def resolve(records: DataFrame) -> DataFrame:
         F.when(F.col("outcome") == "resolved", merged_headers(stored, F.col("headers"))).otherwise(F.col("headers")).alias("headers"),
     )
     payloads = known.filter(full).groupBy(F.col("record_id").alias("refers_to")).agg(F.min("payload").alias("payload"))
-    revisits = judged.filter(is_revisit).withColumn("wanted", F.when(F.col("outcome") == "resolved", F.col("refers_to")))
-    revisits = revisits.join(payloads.withColumnRenamed("refers_to", "wanted"), "wanted", "left").drop("wanted")
+    # Revisits that want no payload are spread by their id instead of meeting in the group of a null.
+    wanted = F.when(F.col("outcome") == "resolved", F.col("refers_to"))
+    spread = F.when(wanted.isNotNull(), 0).otherwise(F.pmod(F.xxhash64("record_id", "url", "ts"), F.lit(4096)) + 1).cast("long")
+    revisits = judged.filter(is_revisit).withColumns({"wanted": wanted, "spread": spread})
+    payloads = payloads.withColumnRenamed("refers_to", "wanted").withColumn("spread", F.lit(0).cast("long"))
+    revisits = revisits.join(payloads, ["wanted", "spread"], "left").drop("wanted", "spread")
     others = known.filter(~is_revisit | F.col("type").isNull()).select(
         "record_id", "type", "url", "ts", F.lit("response").alias("outcome"), F.lit(None).cast(records.schema["record_id"].dataType).alias("refers_to"),
         "headers", "payload",

@@ -25,7 +25,7 @@ def _stretches(text: Column, longest: int) -> Column:
     """A text of up to `longest` characters as it is; of a longer one, evenly spread stretches of that many in all."""
     size, n = longest // STRETCHES, F.char_length(text)
     starts = F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), lambda i: F.floor(i * (n - size) / (STRETCHES - 1)).cast("int") + 1)
-    return F.when(n <= longest, text).otherwise(F.array_join(F.transform(starts, lambda at: F.substring(text, at, F.lit(size))), " "))
+    return F.when(n > longest, F.array_join(F.transform(starts, lambda at: F.substring(text, at, F.lit(size))), " ")).otherwise(text)
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, longest: int = LONGEST, total: int = TOTAL, text: str = "text") -> Network:
