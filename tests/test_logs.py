@@ -293,3 +293,39 @@ def test_panels(lines, spark):
     assert dashboards.overview(lines, df, T0 + timedelta(days=2))["status"].count() == 0
     assert over["errors_by_service"].filter("band = 'green'").count() == 0
     assert over["errors_legend"].count() == 2
+
+
+def test_refused_lines_are_kept_apart(spark, tmp_path):
+    """Stored and refused lines are all that was read, also when the last batch is run again."""
+    source, kept, refused, checkpoint = (tmp_path / x for x in ("in", "kept", "refused", "cp"))
+    source.mkdir()
+    now = T0
+    records = [
+        (json.dumps({"log": "fine", "stream": "stdout", "time": now.isoformat()}), "p", "api", "/c", "1", now.isoformat()),
+        (json.dumps({"log": "late", "stream": "stdout", "time": (now - timedelta(hours=169)).isoformat()}), "p", "api", "/c", "2", now.isoformat()),
+        ("no json", "p", "db", "/d", "3", now.isoformat()),
+        ("no service", "p", None, "/d", "4", now.isoformat()),
+        ("plain", "p", "api", "/c", "5", now.isoformat()),
+    ]
+    names = ("value", "meta_project", "meta_service", "meta_name", "meta_id", "arrived")
+
+    def run(*lines):
+        for i, r in enumerate(lines):
+            (source / f"{r[4]}.json").write_text(json.dumps(dict(zip(names, r, strict=True))))
+        stream = log_streams.open_json(spark, str(source), log_streams.RECORD_SCHEMA)
+        log_streams.store_with_refused(stream, ["api"], str(kept), str(refused), "apart", checkpoint=str(checkpoint), once=True).awaitTermination(300)
+
+    def stored():
+        away = spark.read.parquet(str(refused)).select("container_id", "refused").collect()
+        return sorted(r.container_id for r in spark.read.parquet(str(kept)).collect()), sorted(map(tuple, away))
+
+    run(*records[:3])
+    run(*records[3:])
+    want = (["1", "5"], [("2", "age"), ("3", "service"), ("4", "service")])
+    assert stored() == want
+    # The last batch was written, but its commit was lost with the driver.
+    last = max((checkpoint / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()
+    (checkpoint / "commits" / f".{last.name}.crc").unlink(missing_ok=True)
+    run()
+    assert stored() == want

@@ -50,9 +50,12 @@ def parse_logs(
     Only listed services are kept. A record that is not the driver's JSON stays as it is and takes
     its arrival time. Columns named in `also` are passed on.
     """
-    record = F.from_json("value", schemas.LOG_RECORD)
-    kept = df.filter(F.col("meta_service").isin(*keep)).withColumn("_record", record)
-    return kept.select(
+    return parsed(df.filter(F.col("meta_service").isin(*keep)), arrived, also)
+
+
+def parsed(df: DataFrame, arrived: str = "arrived", also: Sequence[str] = ()) -> DataFrame:
+    """All container records as log lines (see `parse_logs`)."""
+    return df.withColumn("_record", F.from_json("value", schemas.LOG_RECORD)).select(
         F.coalesce(F.col("_record.time").try_cast("timestamp"), F.col(arrived)).alias("ts"),
         F.coalesce("_record.log", "value").alias("line"),
         F.col("_record.stream").alias("stream"),
@@ -75,6 +78,21 @@ def reject_old(
     return df.filter(F.col(ts) >= arrived - F.expr(f"INTERVAL {max_age.total_seconds()} SECOND"))
 
 
+#: Why a record is not stored: its service is not kept, or its line was too old when it arrived.
+REFUSED_SERVICE, REFUSED_AGE = "service", "age"
+
+
+def judge_records(df: DataFrame, keep: Sequence[str], max_age: timedelta = MAX_AGE, arrived: str = "arrived") -> DataFrame:
+    """All container records as log lines with `arrived`, and `refused`: why a line is not stored, NULL if it is.
+
+    A record without a service is refused as one of a service that is not kept.
+    """
+    lines = parsed(df, arrived, also=[F.col(arrived).alias("arrived")])
+    old = F.col("ts") < F.col("arrived") - F.expr(f"INTERVAL {max_age.total_seconds()} SECOND")
+    kept = F.coalesce(F.col("compose_service").isin(*keep), F.lit(False))
+    return lines.withColumn("refused", F.when(~kept, REFUSED_SERVICE).when(old, REFUSED_AGE))
+
+
 def _at(df: DataFrame, ts: str, when: datetime) -> Column:
     """A moment as a literal of the type of the time column, so that the column itself is not cast."""
     return F.lit(when).cast(dict(df.dtypes)[ts])

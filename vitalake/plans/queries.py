@@ -583,7 +583,7 @@ _LINES = """(SELECT event_id, ts, 'svc-' || (user_id % 8) AS compose_service, 'c
 def _(t):
     time = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("000Z"))
     record = F.struct(F.concat_ws(" ", "event_type", "props").alias("log"), F.lit("stdout").alias("stream"), time.alias("time"))
-    records = t.events.select(
+    return t.events.select(
         F.to_json(record).alias("value"),
         F.lit("stack").alias("meta_project"),
         _service().alias("meta_service"),
@@ -611,11 +611,16 @@ def _(t):
     """SELECT event_id, ts, event_type || ' ' || props AS line FROM events WHERE user_id % 8 IN (1, 2, 5) AND user_id % 20 <= 7""",
 )
 def _(t):
-    # A record arrives as many days after its time as the user's number says, counted around 20.
+    kept = log_streams.ingest(_records(t), ["svc-1", "svc-2", "svc-5"])
+    return kept.select(F.col("container_id").cast("bigint").alias("event_id"), F.col("ts").cast("timestamp_ntz").alias("ts"), "line")
+
+
+def _records(t: Tables) -> DataFrame:
+    """Events as container records, which arrive as many days after their time as the user's number says, counted around 20."""
     time = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("000Z"))
     record = F.struct(F.concat_ws(" ", "event_type", "props").alias("log"), F.lit("stdout").alias("stream"), time.alias("time"))
     delay = F.make_dt_interval((F.col("user_id") % 20).cast("int"))
-    records = t.events.select(
+    return t.events.select(
         F.to_json(record).alias("value"),
         F.lit("stack").alias("meta_project"),
         _service().alias("meta_service"),
@@ -623,8 +628,26 @@ def _(t):
         F.col("event_id").cast("string").alias("meta_id"),
         (F.col("ts").cast("timestamp") + delay).alias("arrived"),
     )
-    kept = log_streams.ingest(records, ["svc-1", "svc-2", "svc-5"])
-    return kept.select(F.col("container_id").cast("bigint").alias("event_id"), F.col("ts").cast("timestamp_ntz").alias("ts"), "line")
+
+
+@query(
+    "ingest_refused",
+    """SELECT event_id, ts, event_type || ' ' || props AS line,
+       CASE WHEN user_id % 8 NOT IN (1, 2, 5) THEN 'service' WHEN user_id % 20 > 7 THEN 'age' END AS refused FROM events""",
+)
+def _(t):
+    # A stream of records in two runs with one checkpoint; what was stored and what was refused are read back together.
+    source, kept, refused = (f"{t.scratch}/{x}" for x in ("records", "kept", "refused"))
+    for odd in (0, 1):
+        _records(t).filter(F.col("meta_id").cast("bigint") % 2 == odd).write.mode("append").json(source)
+        stream = log_streams.open_json(t.spark, source, log_streams.RECORD_SCHEMA)
+        name = f"refused-{uuid.uuid4().hex}"
+        log_streams.store_with_refused(
+            stream, ["svc-1", "svc-2", "svc-5"], kept, refused, name, checkpoint=f"{t.scratch}/checkpoint", once=True
+        ).awaitTermination()
+    read = t.spark.read.parquet
+    both = read(kept).withColumn("refused", F.lit(None).cast("string")).unionByName(read(refused))
+    return both.select(F.col("container_id").cast("bigint").alias("event_id"), F.col("ts").cast("timestamp_ntz").alias("ts"), "line", "refused")
 
 
 _RANGE = "ts > TIMESTAMP '2024-01-15 12:00:00' - INTERVAL 24 HOUR AND ts <= TIMESTAMP '2024-01-15 12:00:00'"

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from vitalake.operators.logs import MAX_AGE, parse_logs, reject_old
+from vitalake.operators.logs import MAX_AGE, judge_records, parse_logs, reject_old
 from vitalake.session import shared_dir
 from vitalake.sources.readers import is_missing_path
 
@@ -73,6 +73,37 @@ def store_logs(
     return (writer.trigger(availableNow=True) if once else writer).start(path)
 
 
+def store_with_refused(
+    records: DataFrame,
+    keep: Sequence[str],
+    path: str,
+    refused: str,
+    name: str = "logs",
+    max_age: timedelta = MAX_AGE,
+    checkpoint: str | None = None,
+    once: bool = False,
+) -> StreamingQuery:
+    """Store the log lines of a stream of records under `path`, and those not stored, with the reason, under `refused`.
+
+    Both have a folder per batch, with folders of days in it, and are written from one reading of the batch. A batch that
+    is run again after a failure overwrites both of its folders, so each record is in one of the two tables, once.
+    """
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        judged = batch.withColumn("day", F.to_date("ts")).persist()
+        for rows, folder in ((judged.filter("refused IS NULL").drop("refused"), path), (judged.filter("refused IS NOT NULL"), refused)):
+            rows.write.mode("overwrite").partitionBy("day").parquet(f"{folder}/batch={batch_id}")
+        judged.unpersist()
+
+    writer = (
+        judge_records(records, keep, max_age)
+        .writeStream.queryName(name)
+        .option("checkpointLocation", _checkpoint(records.sparkSession, name, checkpoint))
+        .foreachBatch(save)
+    )
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def read_logs(spark: SparkSession, path: str, first: date, last: date) -> DataFrame:
     """Stored log lines of the days first..last; other days are not listed or read."""
     return spark.read.parquet(path).filter(F.col("day").between(F.lit(first), F.lit(last)))
