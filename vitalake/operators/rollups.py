@@ -27,11 +27,12 @@ _COUNTS = f"{SERVICE} string, is_error boolean, is_warning boolean, is_fatal boo
 
 
 def files_by_day(spark: SparkSession, path: str) -> DataFrame:
-    """(day, files, mark) of a log table in folders of days: `mark` changes with any file's name, size or time."""
+    """(day, files, mark, bytes) of a log table in folders of days: `mark` changes with any file's name, size or time."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
     day = F.to_date(F.regexp_extract("path", "/day=([0-9-]+)/[^/]+$", 1))
     mark = F.xxhash64("path", "length", "modificationTime")
-    return listed.groupBy(day.alias("day")).agg(F.count("*").alias("files"), F.bit_xor(mark).alias("mark")).filter("day IS NOT NULL")
+    by_day = listed.groupBy(day.alias("day")).agg(F.count("*").alias("files"), F.bit_xor(mark).alias("mark"), F.sum("length").alias("bytes"))
+    return by_day.filter("day IS NOT NULL")
 
 
 def count_lines(lines: DataFrame, step: timedelta = STEP, line: str = "line") -> DataFrame:

@@ -26,7 +26,7 @@ from vitalake.plans import dashboards, runs, serving, warehouse
 from vitalake.session import configure, shared_dir
 from vitalake.sources import backup as backups
 from vitalake.sources import buckets, landing, publications, readers, tolerance, versions
-from vitalake.streaming import log_streams
+from vitalake.streaming import clustered, log_streams
 
 LOAD_TS = datetime(2026, 6, 17, 3, 0, tzinfo=timezone.utc)
 OLD_TS = LOAD_TS - timedelta(days=1)
@@ -854,6 +854,19 @@ def _stored_lines(t: Tables) -> str:
     return path
 
 
+@query(
+    "log_search_clustered",
+    f"""SELECT event_id, ts, compose_service, line FROM {_LINES} WHERE {_ERRORS} AND {_RANGE} AND compose_service IN ('svc-1', 'svc-4')
+        ORDER BY ts DESC, event_id LIMIT 200""",
+)
+def _(t):
+    # All days but the last are compacted; a search by service opens the files that cover it.
+    path = _stored_lines(t)
+    clustered.compact(t.spark, path, t.scratch, AS_OF.date(), file_bytes=1 << 18)
+    lines = clustered.read_lines(t.spark, path, t.scratch, AS_OF, _DAY, ["svc-1", "svc-4"])
+    return logs.search(lines, None, values.ERROR_WORDS, logs.TAIL_LINES, tie=["event_id"]).select("event_id", "ts", "compose_service", "line")
+
+
 @query("panel_rate_rollup", QUERIES["panel_rate"].sql)
 def _(t):
     # The same panel from counts per step: no line is read for it.
