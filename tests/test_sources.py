@@ -12,7 +12,7 @@ from vitalake.operators.merge import insert_if_absent
 from vitalake.plans.runs import backup_services
 from vitalake.sources import readers, versions
 from vitalake.sources.backup import restore
-from vitalake.sources.landing import external_sources, land_all, land_export
+from vitalake.sources.landing import Source, external_sources, land, land_all, land_export
 from vitalake.sources.tolerance import TooManyBadRows, tolerate
 
 FOOD_HEADER = ",".join(h for h, _, _ in schemas.DAILY_FOOD)
@@ -231,3 +231,11 @@ def test_json_bad_element(spark, tmp_path):
     df.write.parquet(str(tmp_path / "raw"))
     good, bad = tolerate(spark.read.parquet(str(tmp_path / "raw")))
     assert rows(good, "id") == [("a",), ("b",)] and bad.count() == 2
+
+
+def test_line_breaks_in_quotes(spark, tmp_path):
+    path = tmp_path / "notes.csv"
+    path.write_text('id,note\n1,"two\nlines, one ""cell"""\n2,plain\n')
+    land(spark, Source("notes", str(path), multiline=True), str(tmp_path / "lake"))
+    got = versions.read_version(spark, str(tmp_path / "lake"), "raw/external", "notes")
+    assert rows(got, "id", "note") == [("1", 'two\nlines, one "cell"'), ("2", "plain")]

@@ -5,8 +5,9 @@ Every load of a dataset is published as one version: all its tables appear toget
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -192,9 +193,11 @@ def load_serving_dataset(
     return report
 
 
-def _size_for(spark: SparkSession, root: str, names: Iterable[tuple[str, str]]) -> None:
-    """Fit the shuffles to the largest of the landed datasets, before the loads start side by side."""
-    sizes = [0]
+@contextmanager
+def _sized_for(spark: SparkSession, root: str, names: Iterable[tuple[str, str]]) -> Iterator[None]:
+    """Shuffles that fit the largest of the landed datasets, while the loads run side by side."""
+    key = "spark.sql.shuffle.partitions"
+    before, sizes = spark.conf.get(key), [0]
     for section, name in names:
         try:
             folder = resolve(spark, root, section, name).folder
@@ -202,6 +205,10 @@ def _size_for(spark: SparkSession, root: str, names: Iterable[tuple[str, str]])
             continue
         sizes.append(bytes_under(spark, f"{root.rstrip('/')}/{folder}"))
     size_shuffles(spark, max(sizes))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 _LANDED = [(EXTERNAL, d) for d in ("daily_food", "diet_recommendation", "exercise", "workout_session")]
@@ -223,10 +230,10 @@ def load_warehouse(spark: SparkSession, root: str, load_ts: datetime | None = No
     `together` publishes them in one entry, so that readers see all of them change at once, or none if one fails.
     """
     load_ts = load_ts or _now()
-    _size_for(spark, root, [*_LANDED, (API, "workout_session")])
-    if not together:
-        return _in_parallel(datasets, lambda d: load_warehouse_dataset(spark, root, d, load_ts, label))
-    staged = _in_parallel(datasets, lambda d: stage_warehouse_dataset(spark, root, d, load_ts, label))
+    with _sized_for(spark, root, [*_LANDED, (API, "workout_session")]):
+        if not together:
+            return _in_parallel(datasets, lambda d: load_warehouse_dataset(spark, root, d, load_ts, label))
+        staged = _in_parallel(datasets, lambda d: stage_warehouse_dataset(spark, root, d, load_ts, label))
     if staged:
         publish(spark, root, list(staged.values()))
     return {name: version.label for name, version in staged.items()}
@@ -236,10 +243,10 @@ def load_serving(spark: SparkSession, root: str, load_ts: datetime | None = None
                  datasets: Iterable[str] = SERVING_DATASETS, enums: serving.Enums | None = None, together: bool = False):
     """Merge the serving datasets, all with one load time; `together` publishes them in one entry."""
     load_ts = load_ts or _now()
-    _size_for(spark, root, _LANDED)
-    if not together:
-        return _in_parallel(datasets, lambda d: load_serving_dataset(spark, root, d, load_ts, label, enums))
-    staged = _in_parallel(datasets, lambda d: stage_serving_dataset(spark, root, d, load_ts, label, enums))
+    with _sized_for(spark, root, _LANDED):
+        if not together:
+            return _in_parallel(datasets, lambda d: load_serving_dataset(spark, root, d, load_ts, label, enums))
+        staged = _in_parallel(datasets, lambda d: stage_serving_dataset(spark, root, d, load_ts, label, enums))
     if staged:
         publish(spark, root, [version for version, _ in staged.values()])
     return {name: report for name, (_, report) in staged.items()}

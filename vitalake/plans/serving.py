@@ -27,7 +27,7 @@ from vitalake.sources.readers import SEQ
 Tables = Mapping[str, DataFrame]
 Enums = Mapping[str, Iterable[str]]
 
-# Tables of the serving store, for a first load into nothing.
+# Names and types of the tables of the serving store, for a first load into nothing.
 _STAMPS = "created_at timestamp, updated_at timestamp"
 TABLE_SCHEMA = {
     "food_category": DIM_SCHEMA,

@@ -23,13 +23,17 @@ log = logging.getLogger(__name__)
 
 @dataclass(frozen=True)
 class Source:
-    """A file (or folder of files) to land, and how to read it."""
+    """A file (or folder of files) to land, and how to read it.
+
+    `multiline` lets cells of a CSV hold line breaks in quotes; its files are then read whole, each by one task.
+    """
 
     dataset: str
     path: str
     kind: str = "csv"
     schema: T.StructType | None = None
     section: str = "raw/external"
+    multiline: bool = False
 
 
 # Dataset name, file name and format of the external datasets.
@@ -43,7 +47,7 @@ EXPORTS = ("workout_session", "food_item", "exercise", "diet_recommendation")
 
 
 def external_sources(folder: str, exercise: str = "json") -> list[Source]:
-    """The external sources in a folder. A JSON array is read by one task; large exercise files should be "jsonl"."""
+    """The external sources in a folder; `exercise` is "jsonl" for a file with one object a line."""
     kinds = {"exercise": exercise}
     return [Source(name, f"{folder}/{file}", kinds.get(name, kind), schema) for name, file, kind, schema in EXTERNAL]
 
@@ -55,9 +59,9 @@ def read_source(spark: SparkSession, source: Source) -> DataFrame:
         )
     schema = source.schema
     if schema is None:
-        header = spark.read.option("header", True).csv(source.path).columns
+        header = spark.read.option("header", True).option("multiLine", source.multiline).csv(source.path).columns
         schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
-    return read_csv(spark, source.path, schema, corrupt=True, seq=True)
+    return read_csv(spark, source.path, schema, corrupt=True, seq=True, multiline=source.multiline)
 
 
 def land(spark: SparkSession, source: Source, root: str, label: str | None = None) -> str:
