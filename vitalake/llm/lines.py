@@ -134,7 +134,9 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, documents: int = DOCUMEN
     edges = rows.agg(F.percentile_approx("doc", shares, 1000).alias("cuts")).first().cuts if shares else []
     cuts = sorted(set(edges or []))
     keyed = rows.select("doc", "s1", "s2", F.explode(line_keys(F.col("text"), least)).alias("line"))
-    keyed.select("doc", "s1", "s2", "line.*", _batch("doc", cuts).alias("batch")).write.partitionBy("batch").parquet(f"{folder}/lines")
+    # Sorted in its files by batch, so that a batch skips the pages of others; folders of batches would be many small files.
+    numbered = keyed.select("doc", "s1", "s2", "line.*", _batch("doc", cuts).alias("batch"))
+    numbered.sortWithinPartitions("batch").write.parquet(f"{folder}/lines")
     lines = spark.read.schema("doc long, s1 long, s2 long, pos int, k1 long, k2 long, batch int").parquet(f"{folder}/lines")
 
     runs = LineRuns(spark, folder)
