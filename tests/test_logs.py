@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vitalake.functions.values import ERROR_WORDS
 from vitalake.operators import logs
-from vitalake.plans import dashboards
+from vitalake.plans import dashboards, queries
 from vitalake.session import shared_dir
 from vitalake.streaming import log_streams
 
@@ -329,3 +329,15 @@ def test_refused_lines_are_kept_apart(spark, tmp_path):
     (checkpoint / "commits" / f".{last.name}.crc").unlink(missing_ok=True)
     run()
     assert stored() == want
+
+
+def test_parse_logs_query(spark, tmp_path):
+    """The query returns log lines of the kept services, not the raw records."""
+    rows_in = [(1, T0, 9, "click", "{}"), (2, T0 + MIN, 2, "error", '{"a": 1}'), (3, T0, 8, "click", "{}")]
+    events = spark.createDataFrame(rows_in, "event_id long, ts timestamp, user_id long, event_type string, props string")
+    events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    got = queries.run("parse_logs", spark, str(tmp_path))
+    assert rows(got, "event_id", "ts", "line", "stream", "container") == [
+        (1, T0.replace(tzinfo=None), "click {}", "stdout", "c9"),
+        (2, (T0 + MIN).replace(tzinfo=None), 'error {"a": 1}', "stdout", "c2"),
+    ]
