@@ -89,6 +89,14 @@ def test_copies_are_counted_once_and_dealt_out(spark):
     assert numbered.count() == 40_000 and numbered.select("id").distinct().count() == 40_000
 
 
+def test_rows_of_a_few_thousand_copies_are_dealt_out_too(spark):
+    # 40 distinct rows of 500 copies: their counts fit one small partition, the rows they stand for must not.
+    numbered = occurrence_id(spark.range(20_000).selectExpr("id % 40 AS key"), "t")
+    sizes = [n for _, n in rows(numbered.groupBy(F.spark_partition_id()).count())]
+    assert sum(sizes) == 20_000 and max(sizes) < 14_000
+    assert numbered.select("id").distinct().count() == 20_000
+
+
 def test_series_spread_buckets_and_not_rows(spark):
     lines = spark.range(0, 1000, 1, 4).select(
         F.timestamp_seconds(F.col("id") * 7).alias("ts"), F.lit("a").alias("s"), F.lit("x").alias("line")
