@@ -252,3 +252,16 @@ def test_datasets_are_published_together(spark, tmp_path):
     got = runs.load_serving(spark, root, LOAD_TS, "1", ["exercise", "diet"], together=True)
     assert got == {"exercise": {"skipped": 0}, "diet": {"skipped": 0}}
     assert set(publications.publication(spark, root, number + 1)) == {"serving/exercise", "serving/diet"}
+
+
+def test_small_buckets_are_bounded(spark, tmp_path, monkeypatch):
+    """A large table gets larger buckets before it gets more of them, and reads as before."""
+    root = str(tmp_path)
+    monkeypatch.setattr(buckets, "SMALL_BUCKETS", 4, raising=False)
+    _, one, _ = load(spark, root, "1", [(i, "old") for i in range(400)], keep=2)
+    assert one.table("kv").buckets == 4
+    monkeypatch.setattr(buckets, "ROWS", 50)
+    _, two, written = load(spark, root, "2", [(7, "new"), (1000, "added")], keep=2, day=1)
+    assert two.table("kv").buckets == 8 and written == 401
+    got = {r[0]: r[1] for r in content(spark, root)}
+    assert len(got) == 401 and got[7] == "new" and got[1000] == "added" and got[8] == "old"
