@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import types as T
 
+from vitalake.plans import queries
 from vitalake.sources import readers
 
 SCHEMA = T.StructType().add("id", "long").add("text", "string").add("more", T.MapType(T.StringType(), T.StringType())).add("list", T.ArrayType(T.StringType()))
@@ -80,3 +81,26 @@ def test_malformed_objects_are_kept(spark, tmp_path):
     got = readers.read_json(spark, str(path), SCHEMA, corrupt=True, seq=True).orderBy(readers.SEQ).collect()
     assert [(r.id, r[readers.CORRUPT]) for r in got][0] == (1, None)
     assert [r[readers.CORRUPT] for r in got][1:] == ['{"id": "x"}', '{"id": 3, "text": "cut o']
+
+
+def test_the_ranges_of_the_query_grow_with_its_input(spark, tmp_path, monkeypatch):
+    """The query reads its arrays in a bounded number of ranges, and the rows are the same in any number."""
+    orders = [(i, i % 500, "1-URGENT" if i % 3 else "5-LOW", i / 4) for i in range(5000)]
+    names = "o_orderkey long, o_custkey long, o_orderpriority string, o_totalprice double"
+    spark.createDataFrame(orders, names).write.parquet(f"{tmp_path}/orders.parquet")
+    seen, real = [], readers.read_json
+
+    def watched(spark, path, schema, **options):
+        found = real(spark, path, schema, **options)
+        seen.append(spark.read.text(path).rdd.getNumPartitions())
+        return found
+
+    monkeypatch.setattr(readers, "read_json", watched)
+    monkeypatch.setattr(queries, "_LEAST_RANGE", 512)
+    got = []
+    for ranges in (1000, 10):
+        monkeypatch.setattr(queries, "_RANGES", ranges)
+        got.append(sorted(tuple(r) for r in queries.run("json_array_split", spark, str(tmp_path)).collect()))
+    assert got[0] == got[1] and len(got[0]) == 5000
+    assert seen[1] < 30 < seen[0]
+    assert queries.range_bytes(0) == 512 and queries.range_bytes(10**10) == 128 * 1024**2

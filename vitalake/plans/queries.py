@@ -23,7 +23,7 @@ from vitalake.ml import models
 from vitalake.operators import clean, dims, logs, lookups, merge, rollups
 from vitalake.operators.occurrences import occurrence_id
 from vitalake.plans import dashboards, runs, serving, warehouse
-from vitalake.session import configure, shared_dir
+from vitalake.session import bytes_under, configure, shared_dir
 from vitalake.sources import backup as backups
 from vitalake.sources import buckets, landing, publications, readers, tolerance, versions
 from vitalake.streaming import clustered, log_streams
@@ -956,20 +956,29 @@ def _(t):
     return read.withColumn("words", joined("words"))
 
 
+#: Ranges of a read of JSON arrays: no shorter than 64 KB, and about 256 in all until they have the size that Spark's own have.
+_LEAST_RANGE, _RANGES, _MOST_RANGE = 65_536, 256, 128 * 1024**2
+
+
+def range_bytes(total: int) -> int:
+    """Bytes of a range, of which each costs two tasks: their number must not grow with every 64 KB of the input."""
+    return min(max(_LEAST_RANGE, total // _RANGES), _MOST_RANGE)
+
+
 @query(
     "json_array_split",
     """SELECT o_orderkey, o_custkey, o_orderpriority, o_totalprice, array_length(string_split(o_orderpriority, '-')) AS n_parts,
        row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders""",
 )
 def _(t):
-    # The orders of a customer as one JSON array after the other, read back in ranges of 64 KB, in the order of the files.
+    # The orders of a customer as one JSON array after the other, read back in ranges of 64 KB or more, in the order of the files.
     order = F.struct("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice", F.split("o_orderpriority", "-").alias("parts"))
     arrays_of = t.orders.groupBy("o_custkey").agg(F.to_json(F.array_sort(F.collect_list(order))).alias("value"))
     arrays_of.select("value").write.text(f"{t.scratch}/arrays")
     schema = T.StructType.fromDDL("o_orderkey bigint, o_custkey bigint, o_orderpriority string, o_totalprice double, parts array<string>")
     size = "spark.sql.files.maxPartitionBytes"
     before = t.spark.conf.get(size)
-    t.spark.conf.set(size, "65536")
+    t.spark.conf.set(size, str(range_bytes(bytes_under(t.spark, f"{t.scratch}/arrays"))))
     try:
         readers.read_json(t.spark, f"{t.scratch}/arrays", schema, seq=True).write.parquet(f"{t.scratch}/read")
     finally:

@@ -19,9 +19,12 @@ from pyspark.sql import types as T
 SPLIT = ["file", "block"]
 
 
-def _count(text: Column, kept: str) -> Column:
-    """How many characters of a class a text has."""
-    return F.length(F.regexp_replace(text, f"[^{kept}]", ""))
+def _count(text: Column, *signs: str) -> Column:
+    """How often a text has any of some ASCII signs."""
+    left = text
+    for sign in signs:
+        left = F.replace(left, F.lit(sign), F.lit(""))
+    return F.octet_length(text) - F.octet_length(left)
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -35,15 +38,16 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"), F.col("value").alias("text"),
     )
-    between = F.split(F.regexp_replace("text", r"(?s)\\.", ""), '"')
+    bare = F.when(F.contains("text", F.lit("\\")), F.regexp_replace("text", r"(?s)\\.", "")).otherwise(F.col("text"))
+    # What is left without the strings, for a text that starts outside or inside one.
+    unquoted = (F.regexp_replace(bare, r'"[^"]*("|\z)', ""), F.regexp_replace(bare, r'(^|")[^"]*("|\z)', ""))
 
     def change(parity: int) -> Column:
-        part = F.array_join(F.filter(between, lambda _, i: i % 2 == parity), "")
-        return (_count(part, r"\[\{") - _count(part, r"\]")).cast("long")
+        return (_count(unquoted[parity], "[", "{") - _count(unquoted[parity], "]")).cast("long")
 
     head = F.substring(F.regexp_replace("text", r"^[\s﻿]+", ""), 1, 1)
     return read.withColumns(
-        {"quotes": ((F.size(between) - 1) % 2).cast("long"), "outside": change(0), "inside": change(1), "head": head}
+        {"quotes": (_count(bare, '"') % 2).cast("long"), "outside": change(0), "inside": change(1), "head": head}
     )
 
 
