@@ -91,3 +91,21 @@ def test_training_from_the_warehouse(spark, sessions, tmp_path):
     versions.write_version(raw, root, "warehouse/raw", "workout_csv")
     training.train(spark, root, "gym")
     assert training.score_latest(spark, root, "gym", raw).count() == 80
+
+
+def test_trees_of_a_large_table_read_small_partitions(spark, monkeypatch):
+    """Rows are dealt out before a fit of trees, whose tasks read what a partition holds; no row is lost."""
+    rule = spark.range(0, 4000, 1, 1).selectExpr("cast(id % 2 AS double) AS x", "cast(id % 2 * 10 + 1 AS double) AS y")
+    monkeypatch.setattr(models, "TREE_ROWS", 500, raising=False)
+    monkeypatch.setattr(models, "SPREAD_FROM", 1000, raising=False)
+    seen, real = [], models.GBTRegressor.fit
+
+    def watched(self, rows, *more):
+        seen.extend(n for _, n in rows.groupBy(F.spark_partition_id()).count().collect())
+        return real(self, rows, *more)
+
+    monkeypatch.setattr(models.GBTRegressor, "fit", watched)
+    model = models.fit(models.boosted_regression(["x"], [], "y", trees=1, depth=1), rule)
+    assert sum(seen) == 4000 and max(seen) <= 600
+    got = models.score(rule, model).select("y", "prediction").distinct().collect()
+    assert sorted((r.y, round(r.prediction, 6)) for r in got) == [(1.0, 1.0), (11.0, 11.0)]

@@ -21,6 +21,9 @@ from vitalake.sources.versions import dataset_name, now_label, publish, refuse_p
 SECTION = "models"
 #: Distinct values that a text column or target may have in a fit.
 MAX_CLASSES = 10_000
+#: Rows of a partition of a fit of trees, which keeps its rows in memory, some hundred bytes each, and reads them for every tree.
+#: A file of columns packs millions of rows into a partition, so tables of more than SPREAD_FROM rows are dealt out.
+TREE_ROWS, SPREAD_FROM = 250_000, 1_000_000
 
 DURATION_FEATURES = (
     "age",
@@ -105,7 +108,20 @@ def fit(pipeline: Pipeline, df: DataFrame) -> PipelineModel:
     targets = [s.getLabelCol() for s in stages if hasattr(s, "getLabelCol")]
     classes = [c for s in stages if isinstance(s, StringIndexer) for c in s.getInputCols()]
     _check_classes(df, classes)
-    return pipeline.fit(df.dropna(subset=[c for c in [*_numbers(stages), *targets] if c in df.columns]))
+    rows = df.dropna(subset=[c for c in [*_numbers(stages), *targets] if c in df.columns])
+    if not isinstance(stages[-1], (GBTRegressor, OneVsRest)):
+        return pipeline.fit(rows)
+    # All but the trees take one pass each, over the rows where they lie.
+    prepared = Pipeline(stages=stages[:-1]).fit(rows)
+    inputs = [c for c in dict.fromkeys([*_numbers(stages), *classes, *targets]) if c in df.columns]
+    trees = stages[-1].fit(prepared.transform(_spread(rows.select(*inputs))))
+    return PipelineModel(stages=[*prepared.stages, trees])
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt out so that no partition has more than about TREE_ROWS; a small table stays as it lies."""
+    n = rows.count()
+    return rows.repartition(-(-n // TREE_ROWS)) if n > SPREAD_FROM else rows
 
 
 def scaled_linear(features: Sequence[str], target: str, prediction: str = "prediction") -> Pipeline:
