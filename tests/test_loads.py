@@ -3,6 +3,7 @@
 import hashlib
 import json
 from datetime import timedelta
+from pathlib import Path
 
 import pytest
 from conftest import LOAD_TS, rows
@@ -145,6 +146,22 @@ def test_serving_diet(spark, lake):
     assert p5.height_cm == 175
 
 
+def test_serving_diet_reduces_landed_rows_once(spark, lake, tmp_path):
+    landed, kept = read_version(spark, lake[0], runs.EXTERNAL, "diet_recommendation"), []
+
+    def keep(df):
+        kept.append(f"{tmp_path}/{len(kept)}")
+        df.write.parquet(kept[-1])
+        return spark.read.parquet(kept[-1])
+
+    found = serving.changes("diet", landed, {}, LOAD_TS, keep=keep)
+    assert len(kept) == 1
+    for name, change in serving.changes("diet", landed, {}, LOAD_TS).items():
+        assert rows(found[name].rows, *change.rows.columns) == rows(change.rows, *change.rows.columns), name
+    for dataset in runs.SERVING_DATASETS:
+        assert not list(Path(lake[0]).glob(f"serving/{dataset}/*/reduced"))
+
+
 def test_serving_twice_changes_only_updated_at(spark, lake):
     root = lake[0]
     before = {d: read_tables(spark, root, "serving", d) for d in runs.SERVING_DATASETS}

@@ -1,5 +1,6 @@
 import json
 from datetime import datetime, timezone
+from threading import Barrier
 
 import pytest
 from conftest import rows
@@ -10,7 +11,7 @@ from vitalake.operators.clean import delete_in, marker_counts, starts_with
 from vitalake.operators.lookups import insert_from, scalar
 from vitalake.operators.merge import insert_if_absent
 from vitalake.plans.runs import backup_services
-from vitalake.sources import readers, versions
+from vitalake.sources import landing, publications, readers, versions
 from vitalake.sources.backup import restore
 from vitalake.sources.landing import Source, external_sources, land, land_all, land_export
 from vitalake.sources.tolerance import TooManyBadRows, tolerate
@@ -126,6 +127,18 @@ def test_land_all_skips_or_fails(spark, food_csv, tmp_path):
         land_all(spark, external_sources(str(folder)), root, "2026-01-02T00-00-00Z", missing="fail")
 
 
+def test_land_all_reads_side_by_side_and_publishes_in_order(spark, food_csv, tmp_path, monkeypatch):
+    met, published = Barrier(2), []
+    read, publish = landing.read_source, publications.publish
+    monkeypatch.setattr(landing, "read_source", lambda spark, source: (met.wait(60), read(spark, source))[1])
+    monkeypatch.setattr(publications, "publish", lambda spark, root, found: (published.append(found[0].dataset), publish(spark, root, found))[1])
+    schema, root = schemas.text_schema(schemas.DAILY_FOOD), str(tmp_path / "lake")
+    sources = [Source(name, food_csv, schema=schema) for name in ("b", "a")]
+    assert list(land_all(spark, sources, root, "2026-01-01T00-00-00Z")) == ["b", "a"]
+    assert published == ["raw/external/b", "raw/external/a"]
+    assert [versions.read_version(spark, root, "raw/external", name).count() for name in "ab"] == [5, 5]
+
+
 def test_land_export(spark, tmp_path):
     (tmp_path / "w.csv").write_text(",".join(n for _, n, _ in schemas.WORKOUT_API) + "\n")
     root = str(tmp_path / "lake")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 from functools import cached_property
@@ -1598,10 +1599,12 @@ def _written(t: Tables) -> str:
     names = {name: file for name, file, _, _ in landing.EXTERNAL}
     external, api = landed_sessions(t)
     files = {"daily_food": landed_food(t).drop(readers.SEQ), "diet_recommendation": landed_diet(t).drop(readers.SEQ), "workout_session": external}
-    for name, df in files.items():
-        df.write.option("header", True).csv(f"{folder}/{names[name]}")
-    api.write.option("header", True).csv(f"{folder}/workout_export.csv")
-    landed_exercise(t).drop(readers.SEQ).write.json(f"{folder}/{names['exercise']}")
+    with ThreadPoolExecutor(max_workers=versions.AT_ONCE) as pool:
+        written = [pool.submit(df.write.option("header", True).csv, f"{folder}/{names[name]}") for name, df in files.items()]
+        written.append(pool.submit(api.write.option("header", True).csv, f"{folder}/workout_export.csv"))
+        written.append(pool.submit(landed_exercise(t).drop(readers.SEQ).write.json, f"{folder}/{names['exercise']}"))
+        for one in written:
+            one.result()
     return folder
 
 

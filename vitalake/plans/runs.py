@@ -20,11 +20,10 @@ from vitalake.session import bytes_under, size_shuffles
 from vitalake.sources import publications
 from vitalake.sources.backup import backup
 from vitalake.sources.landing import external_sources, land_all, land_export
-from vitalake.sources.buckets import ROWS, Merged, merge_buckets
+from vitalake.sources.buckets import ROWS, Merged, drop, merge_buckets
 from vitalake.sources.publications import Table, Version
 from vitalake.sources.tolerance import tolerate
 from vitalake.sources.versions import (
-    AT_ONCE,
     VersionNotFound,
     dataset_name,
     now_label,
@@ -160,9 +159,15 @@ def stage_serving_dataset(
         old = None
     source = {"food_item": "daily_food", "exercise": "exercise", "diet": "diet_recommendation"}[dataset]
     landed = read_version(spark, root, EXTERNAL, source)
-    found = serving.changes(dataset, landed, tables_of(spark, root, old) if old else {}, load_ts, enums)
-    skipped = serving.skipped_foods(landed).count() if dataset == "food_item" else 0
     folder = publications.claim(spark, root, dataset_name(SERVING, dataset), label)
+    kept = f"{root}/{folder}/reduced"
+
+    def keep(df: DataFrame) -> DataFrame:
+        df.write.parquet(kept)
+        return spark.read.schema(df.schema).parquet(kept)
+
+    found = serving.changes(dataset, landed, tables_of(spark, root, old) if old else {}, load_ts, enums, keep=keep)
+    skipped = serving.skipped_foods(landed).count() if dataset == "food_item" else 0
 
     def write(name: str) -> Table:
         schema, change = T.StructType.fromDDL(serving.TABLE_SCHEMA[name]), found[name]
@@ -170,8 +175,10 @@ def stage_serving_dataset(
         _check_one_per_id(name, merged, load_ts)
         return merged.table
 
-    with ThreadPoolExecutor(max_workers=AT_ONCE) as pool:
+    # All side by side, so that the last ones do not idle the cluster.
+    with ThreadPoolExecutor(max_workers=len(found)) as pool:
         tables = tuple(pool.map(write, found))
+    drop(spark, kept)
     others = [t for t in (old.tables if old else ()) if t.name not in found]
     if others:
         raise ValueError(f"{dataset}: the published version has further tables: {', '.join(t.name for t in others)}")

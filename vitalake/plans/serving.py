@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ from vitalake.sources.readers import SEQ
 
 Tables = Mapping[str, DataFrame]
 Enums = Mapping[str, Iterable[str]]
+#: Writes a frame that several tables of a load need, and reads it back.
+Keep = Callable[[DataFrame], DataFrame]
 
 # Names and types of the tables of the serving store, for a first load into nothing.
 _STAMPS = "created_at timestamp, updated_at timestamp"
@@ -72,10 +75,12 @@ class Change:
 class Load:
     """What a table of a load is made from: landed rows, tables before the load, its time, enums."""
 
-    def __init__(self, landed: DataFrame, current: Tables, load_ts: datetime, enums: Enums | None = None):
+    def __init__(
+        self, landed: DataFrame, current: Tables, load_ts: datetime, enums: Enums | None = None, keep: Keep | None = None
+    ):
         if SEQ not in landed.columns:
             raise ValueError(f"landed rows need {SEQ}, their order decides which duplicate counts")
-        self.landed, self.tables, self.load_ts, self.enums = landed, current, load_ts, enums or {}
+        self.landed, self.tables, self.load_ts, self.enums, self.keep = landed, current, load_ts, enums or {}, keep
 
     def current(self, name: str) -> DataFrame:
         if name in self.tables:
@@ -85,6 +90,21 @@ class Load:
     def enum(self, col: str) -> Column:
         return require_enum(col, self.enums.get(col))
 
+    @cached_property
+    def patients(self) -> DataFrame:
+        """Each patient's `first` and `last` row with what the tables take from it, reduced once for all of them and kept."""
+        cols = {table: of(self) for table, (_, of) in _OF_PATIENT.items()}
+        rows = _diet_rows(self, *[c for of in cols.values() for c in of])
+        picked = []
+        for which, pick in (("first", F.min), ("last", F.max)):
+            names = [n for table in cols if _OF_PATIENT[table][0] == which for n in self.landed_names(table)]
+            picked.append(pick(F.struct(SEQ, *names)).alias(which))
+        return self.keep(rows.groupBy("id_data_set").agg(*picked))
+
+    def landed_names(self, table: str) -> list[str]:
+        """Names of the columns that a table takes from a row of its patient."""
+        return _diet_rows(self, *_OF_PATIENT[table][1](self)).drop("id_data_set", SEQ).columns
+
     def _columns(self, name: str) -> list[str]:
         """Columns of a table without its stamps."""
         return [c for c in T.StructType.fromDDL(TABLE_SCHEMA[name]).names if c not in ("created_at", "updated_at")]
@@ -229,13 +249,46 @@ def _with_patient(load: Load, rows: DataFrame, table: str) -> DataFrame:
     return found.withColumn("id", stable_id("patient_id", F.lit(table)))
 
 
+#: For the tables with a row a patient: the row of the patient that counts, and the columns it gives.
+_OF_PATIENT: dict[str, tuple[str, Callable[[Load], list[Column | str]]]] = {
+    "patient": (
+        "last",
+        lambda load: [required("age", parse_number("age", "bigint")), load.enum("gender"), "disease_type", "severity", "allergies"],
+    ),
+    "metrics": (
+        "first",
+        lambda load: [
+            number("height_cm", "double").cast("bigint").alias("height_cm"),
+            *[number(c, "double") for c in ("weight_kg", "bmi", "cholesterol_mg_dl", "blood_pressure_mmhg", "glucose_mg_dl")],
+        ],
+    ),
+    "exercises": ("first", lambda load: [number("weekly_exercise_hours", "double"), load.enum("physical_activity_level")]),
+    "diets": (
+        "last",
+        lambda load: [
+            number("daily_caloric_intake", "bigint"),
+            number("adherence_to_diet_plan", "double"),
+            number("dietary_nutrient_imbalance_score", "double"),
+            "dietary_restrictions",
+            required("preferred_cuisine"),
+            required("diet_recommendation"),
+        ],
+    ),
+}
+
+
+def _one_per_patient(load: Load, table: str) -> DataFrame:
+    """The row of each patient that counts for a table, with the columns it takes."""
+    which, cols = _OF_PATIENT[table]
+    if load.keep is not None:
+        return load.patients.select("id_data_set", *[F.col(f"{which}.{name}") for name in load.landed_names(table)])
+    reduced = latest_by_key if which == "last" else first_by_key
+    return reduced(_diet_rows(load, *cols(load)), ["id_data_set"], seq=SEQ)
+
+
 def patient(load: Load) -> Change:
     """Patients merged by their id in the data set; the last row of a patient counts."""
-    rows = _diet_rows(
-        load, required("age", parse_number("age", "bigint")), load.enum("gender"), "disease_type", "severity", "allergies"
-    )
-    last = latest_by_key(rows, ["id_data_set"], seq=SEQ)
-    found = lookup_or_new(last, load.current("disease"), "disease_type", "_disease_id")
+    found = lookup_or_new(_one_per_patient(load, "patient"), load.current("disease"), "disease_type", "_disease_id")
     found = lookup_or_new(found, load.current("allergy"), "allergies", "_allergy_id")
     patients = found.select(
         stable_id("id_data_set").alias("id"),
@@ -248,24 +301,19 @@ def patient(load: Load) -> Change:
     return load.merge("patient", patients, "id_data_set")
 
 
-def _added(load: Load, table: str, *cols: Column) -> Change:
+def _added(load: Load, table: str) -> Change:
     """The first row of every patient that has no row in the table yet."""
-    first = first_by_key(_diet_rows(load, *cols), ["id_data_set"], seq=SEQ)
-    return load.add(table, _with_patient(load, first, table), "patient_id")
+    return load.add(table, _with_patient(load, _one_per_patient(load, table), table), "patient_id")
 
 
 def metrics(load: Load) -> Change:
     """Body measures, one row per patient."""
-    doubles = ("weight_kg", "bmi", "cholesterol_mg_dl", "blood_pressure_mmhg", "glucose_mg_dl")
-    height = number("height_cm", "double").cast("bigint").alias("height_cm")
-    return _added(load, "metrics", height, *[number(c, "double") for c in doubles])
+    return _added(load, "metrics")
 
 
 def exercises(load: Load) -> Change:
     """Exercise habits, one row per patient."""
-    return _added(
-        load, "exercises", number("weekly_exercise_hours", "double"), load.enum("physical_activity_level")
-    )
+    return _added(load, "exercises")
 
 
 def diets(load: Load) -> Change:
@@ -274,18 +322,8 @@ def diets(load: Load) -> Change:
     A cuisine or advice is in its dimension unless it is missing, so the lookups that must hit are
     checked as columns that must be there.
     """
-    dims = ("dietary_restriction", "preferred_cuisine", "diet_recommendation")
-    rows = _diet_rows(
-        load,
-        number("daily_caloric_intake", "bigint"),
-        number("adherence_to_diet_plan", "double"),
-        number("dietary_nutrient_imbalance_score", "double"),
-        "dietary_restrictions",
-        required("preferred_cuisine"),
-        required("diet_recommendation"),
-    )
-    found = _with_patient(load, latest_by_key(rows, ["id_data_set"], seq=SEQ), "diets")
-    for name in dims:
+    found = _with_patient(load, _one_per_patient(load, "diets"), "diets")
+    for name in ("dietary_restriction", "preferred_cuisine", "diet_recommendation"):
         found = lookup_or_new(found, load.current(name), _DIET_DIMS[name], f"{name}_id")
     return load.merge("diets", found, "patient_id")
 
@@ -309,10 +347,14 @@ DATASETS = {
 
 
 def changes(
-    dataset: str, landed: DataFrame, current: Tables, load_ts: datetime, enums: Enums | None = None, only: Sequence[str] = ()
+    dataset: str, landed: DataFrame, current: Tables, load_ts: datetime, enums: Enums | None = None, only: Sequence[str] = (),
+    keep: Keep | None = None,
 ) -> dict[str, Change]:
-    """What the landed rows bring to the tables of a dataset (or `only` some), with one load time."""
-    load = Load(landed, current, load_ts, enums)
+    """What the landed rows bring to the tables of a dataset (or `only` some), with one load time.
+
+    With `keep`, rows that several tables are made from are reduced once and written by it.
+    """
+    load = Load(landed, current, load_ts, enums, keep)
     return {name: table(load) for name, table in DATASETS[dataset].items() if not only or name in only}
 
 
