@@ -2,6 +2,7 @@
 
 import collections
 import math
+import time
 import zlib
 
 import numpy as np
@@ -147,6 +148,32 @@ def test_rounds_start_from_the_shared_weights(make, monkeypatch):
     assert three > one
 
 
+def test_a_round_replaces_the_one_before(spark, make, monkeypatch, tmp_path):
+    """Of three rounds the last table of weights is left, and all rows are scored from it."""
+    monkeypatch.setattr(blocks, "BLOCK", 20_000)
+    monkeypatch.setattr(language, "scratch", lambda spark: f"{tmp_path}/scratch")
+    scored = language.score(make([(i, f"word{i % 7} and word{i % 11} " * 300) for i in range(40)]))
+    assert sorted(p.name for p in (tmp_path / "scratch").iterdir()) == ["counts", "weights2"]
+    assert scored.count() == 40
+
+
+def test_shuffle_files_end_with_their_job(spark, tmp_path):
+    files, key = spark._jsc.sc().env().blockManager().diskBlockManager(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def shuffled():
+        every = files.getAllFiles()
+        return {name for i in range(every.size()) if (name := every.apply(i).getName()).startswith("shuffle_")}
+
+    before, setting = shuffled(), spark.conf.get(key, None)
+    with blocks.shuffles_end_with_jobs(spark):
+        spark.range(100_000).repartition(3, "id").write.parquet(f"{tmp_path}/out")
+    until = time.time() + 5  # files go in the background
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert spark.conf.get(key, None) == setting and spark.read.parquet(f"{tmp_path}/out").count() == 100_000
+
+
 def test_long_labelled_texts_are_learned_from(spark, make):
     """One class has long texts only: stretches of them are learned from, whole texts are scored."""
     good, bad = "a calm and friendly line of words ", "you awful nasty horrid fool "
