@@ -174,6 +174,16 @@ def test_shuffle_files_end_with_their_job(spark, tmp_path):
     assert spark.conf.get(key, None) == setting and spark.read.parquet(f"{tmp_path}/out").count() == 100_000
 
 
+def test_weights_are_handed_over_in_pieces(monkeypatch):
+    """Rows are made one after the other, and no piece holds much more than PIECE bytes."""
+    monkeypatch.setattr(blocks, "PIECE", 1000)
+    rows = [(i, 7, bytes([i]) * (i % 5 * 100)) for i in range(50)]
+    made = blocks.in_pieces(language.HELD, iter(rows))
+    assert [tuple(r.values()) for r in made.to_pylist()] == rows
+    assert max(b.column("weights").nbytes for b in made.to_batches()) < 2000 and len(made.to_batches()) > 5
+    assert blocks.in_pieces(language.HELD, iter([])).num_rows == 0
+
+
 def test_long_labelled_texts_are_learned_from(spark, make):
     """One class has long texts only: stretches of them are learned from, whole texts are scored."""
     good, bad = "a calm and friendly line of words ", "you awful nasty horrid fool "
