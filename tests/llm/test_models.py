@@ -157,6 +157,46 @@ def test_a_round_replaces_the_one_before(spark, make, monkeypatch, tmp_path):
     assert scored.count() == 40
 
 
+def test_a_round_holds_a_row_of_weights_once(spark, make, monkeypatch, tmp_path):
+    """However many blocks ask for it; and every block gets the rows of its names, in their order."""
+    monkeypatch.setattr(blocks, "BLOCK", 20_000)
+    monkeypatch.setattr(language, "SHARE", 30_000)
+    docs = make([(i, " ".join(f"w{(i * k + k) % 50}" for k in range(400))) for i in range(60)])
+    by_block = blocks.dealt(docs, blocks.text_bytes(docs)).cache()
+    held, buckets = language.train(by_block, blocks.text_bytes(docs), f"{tmp_path}/t", 2, 1)
+    asked, own = {}, collections.defaultdict(list)
+    for row in by_block.collect():
+        own[row.block].append(row.text)
+    for number, texts in own.items():
+        tokens = language.Tokens(pa.array(texts))
+        asked[number] = language._keys(tokens.contexts(), tokens.slot, buckets)
+    names = np.unique(np.concatenate([keys.keys for keys in asked.values()]))
+    table = spark.read.parquet(f"{tmp_path}/t/weights1").select("weights").collect()
+    assert len(asked) > 3 and buckets > 2
+    assert sum(len(r.weights) for r in table) == len(names) * 2 * language.CLASSES < sum(len(k.keys) for k in asked.values()) * 2 * language.CLASSES
+    answers = {(r.block, r.bucket): np.frombuffer(r.weights, np.float16).reshape(-1, language.CLASSES) for r in held.collect()}
+    seen = {}
+    for number, keys in asked.items():
+        for bucket, at in keys.parts():
+            assert len(answers[number, bucket]) == len(at)
+            for name, weights in zip(keys.keys[at].tolist(), answers[number, bucket], strict=True):
+                assert (seen.setdefault(name, weights) == weights).all()
+    assert len(seen) == len(names) and any(w.any() for w in seen.values())
+
+
+def test_blocks_without_training_texts(make, monkeypatch):
+    """They ask for weights in the last round only, and get those that others learned."""
+    monkeypatch.setattr(blocks, "BLOCK", 3000)
+    text = "the cat sat on the mat and the dog sat on the cat " * 12
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1]
+    learned = [i for i in range(200) if i not in held]
+    got = language.score(make([(i, text) for i in [*held[:8], *learned[:2]]])).collect()
+    assert sorted(r.doc_id for r in got if r.held_out) == sorted(held[:8])
+    assert all(r.score > r.base_score for r in got)
+    none = language.score(make([(i, text) for i in held[:8]])).collect()
+    assert len(none) == 8 and all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in none)
+
+
 def test_shuffle_files_end_with_their_job(spark, tmp_path):
     files, key = spark._jsc.sc().env().blockManager().diskBlockManager(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
